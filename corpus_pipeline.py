@@ -1,11 +1,74 @@
-"""The corpus pipeline: documents in, token digests out."""
+"""The corpus pipeline: toxic documents go, then exact and near copies, then documents that hold
+benchmark passages; what stays is encoded.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns the rows of docs that it keeps, with their
+columns; the last returns token digests. Rows that share an id are one document in
+each decision: they stay if one of them does, except that of equal texts one row stays.
+A null id is an id like any other here.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from studyloom.llm.byte_bpe import encode_digests
+from studyloom.llm.common import stage
+from studyloom.llm.decontaminate import contaminated
+from studyloom.llm.exact_dedup import grace_dedup
+from studyloom.llm.near_dedup import near_duplicates
+from studyloom.llm.tokenizer_files import default_path
+from studyloom.llm.toxicity import fold_held_out, toxicity
+
+#: SQL cannot state the toxicity model, the sketches or the encoder; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def keep(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of docs whose id is (left_semi) or is not (left_anti) among ids, null matching null."""
+    ids = ids.select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), how)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored, _ = stage(toxicity(docs, labels, fold_held_out()).where("predicted = 0").select("doc_id"), "pipeline-clean")
+    return keep(docs, scored)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found, _ = stage(grace_dedup(docs), "pipeline-exact")
+    # Where several rows have an id that stays, their texts decide; those are few.
+    several = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    kept = found.where("kept").select("doc_id", "text_sha256")
+    plain = keep(keep(docs, kept), several, "left_anti")
+    again = keep(keep(docs, several), kept)
+    content = F.sha2(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
+    same = kept.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    marked = again.withColumn("_sha_own", content)
+    matched = marked.join(same.distinct(), marked["doc_id"].eqNullSafe(same["_id"]) & (F.col("_sha_own") == F.col("_sha")), "left_semi")
+    return plain.unionByName(matched.dropDuplicates(["doc_id", "_sha_own"]).drop("_sha_own"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found, _ = stage(near_duplicates(docs, width=5, num=80, den=100).where("kept").select("doc_id"), "pipeline-near")
+    return keep(docs, found)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found, _ = stage(contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id"), "pipeline-leaks")
+    return keep(docs, found, "left_anti")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode_digests(docs, default_path("byte_bpe_multi_50k.tiktoken"))
+
+
+STAGES = [("toxicity", toxic), ("exact_dedup", exact), ("near_dedup", near), ("decontamination", benchmark), ("byte_bpe", encode)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, function in STAGES[:-1]:
+        docs, _ = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,6 +10,8 @@ from .byte_bpe import op8_byte_bpe
 from .curve_shards import op7_curve_shards
 from .decontaminate import op3_decontaminate
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .katz import op5_katz_scores
+from .near_dedup import op10_near_dedup
 from .pii import op9_pii
 from .token_counts import op2_token_counts
 from .token_files import op1_token_files
@@ -19,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_files, op2_token_counts, op3_decontaminate, op4_exact_dedup, op6_toxicity, op7_curve_shards, op8_byte_bpe, op9_pii]
+    found = [op1_token_files, op2_token_counts, op3_decontaminate, op4_exact_dedup, op5_katz_scores, op6_toxicity, op7_curve_shards, op8_byte_bpe, op9_pii, op10_near_dedup]
     return {f.__name__: f for f in found}
 
 
