@@ -2,8 +2,9 @@
 benchmark passages; what stays is encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns the rows of docs that it keeps, with their
-columns; the last returns token digests. Rows that share an id are one document in
-each decision: they stay if one of them does, except that of equal texts one row stays.
+columns; the last returns token digests. Toxicity is decided row by row. In the other
+decisions rows that share an id are one document and stay if one of them does (with
+a benchmark passage, if none has one), except that of equal texts one row stays.
 A null id is an id like any other here.
 """
 
@@ -18,7 +19,7 @@ from studyloom.llm.decontaminate import contaminated
 from studyloom.llm.exact_dedup import grace_dedup
 from studyloom.llm.near_dedup import near_duplicates
 from studyloom.llm.tokenizer_files import default_path
-from studyloom.llm.toxicity import fold_held_out, toxicity
+from studyloom.llm.toxicity import THRESHOLD, fold_held_out, score_of, train
 
 #: SQL cannot state the toxicity model, the sketches or the encoder; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -32,8 +33,8 @@ def keep(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored, _ = stage(toxicity(docs, labels, fold_held_out()).where("predicted = 0").select("doc_id"), "pipeline-clean")
-    return keep(docs, scored)
+    scorer = train(docs, labels, fold_held_out())
+    return docs.where(score_of(scorer, F.col("text")) < THRESHOLD)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

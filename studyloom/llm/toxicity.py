@@ -19,11 +19,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, doc_text, documents, stage
+from .common import crc32_of_id, doc_text, documents, drop_path, stage
 
 THRESHOLD = 0.3
 #: The sample's expected size: rows with a label, rows without. The bound of what is learnt from.
@@ -262,23 +263,33 @@ def fit(sample: DataFrame) -> tuple[Scorer, LabelModel, np.ndarray]:
     return Scorer(entries, weights, bias), model, model.accuracies(votes)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> DataFrame:
-    """(doc_id, held_out, score, predicted), one row per input row; held_out is a condition on doc_id.
-
-    Nothing is learnt from rows that are held out. A null or empty text gets the score of a text
-    without any hit. Null and repeated ids each give their row, an empty table gives none, texts of any
-    length are scored whole. Other columns are not read.
-    """
-    rows = doc_text(docs, id_col, text_col)
+def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Scorer:
+    """A scorer learnt from rows that are not held out; held_out is a condition on doc_id."""
     marked = labels.select(labels[label_id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label"))
-    sample, _ = stage(sampled(rows, marked, ~held_out, labelled, unlabelled), "toxicity-sample")
+    sample, path = stage(sampled(doc_text(docs, id_col, text_col), marked, ~held_out, labelled, unlabelled), "toxicity-sample")
     scorer = fit(sample)[0]
+    drop_path(docs.sparkSession, path)
+    return scorer
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([scorer.score(t.as_py()) for t in b.column("text")], pa.float64())], ["doc_id", "score"])
 
-    scored = rows.mapInArrow(run, "doc_id long, score double")
+def score_of(scorer: Scorer, text: Column) -> Column:
+    """The score of each text as a column; a null text counts as empty."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([scorer.score(t) for t in texts], dtype="float64")
+
+    return score(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", **learning) -> DataFrame:
+    """(doc_id, held_out, score, predicted), one row per input row.
+
+    A null or empty text gets the score of a text without any hit. Null and repeated ids each give their
+    row, an empty table gives none, texts of any length are scored whole. Other columns are not read.
+    """
+    scorer = train(docs, labels, held_out, id_col, text_col, **learning)
+    scored = doc_text(docs, id_col, text_col).withColumn("score", score_of(scorer, F.col("text")))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
