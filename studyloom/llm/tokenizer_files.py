@@ -11,13 +11,27 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import unicodedata
 from collections.abc import Iterable
 
-#: Pieces remembered by one worker at most; beyond that it starts anew.
+#: Pieces that a worker remembers before it starts a new cache; it keeps the last one beside it.
 CACHE_PIECES = 700_000
+#: ASCII punctuation but the apostrophe, which may begin a suffix like 's.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _LOADED: dict = {}
 
 
+def byte_alphabet() -> dict[int, int]:
+    """The characters that stand for bytes in byte-level vocabularies: printable Latin-1 ones for themselves, the
+    others for 256, 257 and so on in turn."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: b if b in plain else next(others) for b in range(256)}
+
+
+ALPHABET = byte_alphabet()
+
+
 def default_path(name: str) -> str:
     import public_tokenizers
 
@@ -59,8 +73,10 @@ class PieceEncoder:
             self.vocab = lib.get_vocab_size(with_added_tokens=True)
             self.special = [a["content"] for a in spec.get("added_tokens") or []]
             self.separable = lower_and_space(spec)
+            self.model = lib.model
         self.dtype = np.dtype("<u2" if self.vocab <= 1 << 16 else "<u4")
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _pack(self, ids: Iterable[int]) -> bytes:
         import numpy as np
@@ -74,31 +90,52 @@ class PieceEncoder:
         whole = [any(s in t or s in t.lower() for s in self.special) for t in texts]
         pieces = [None if w else t.encode("utf-8").lower().split() for w, t in zip(whole, texts, strict=True)]
         if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        self._learn({p for own in pieces if own for p in own}.difference(self.cache))
+            self.cache, self.older = {}, self.cache
+        self._learn(set().union(*filter(None, pieces)).difference(self.cache))
         get, out = self.cache.__getitem__, []
         for t, own in zip(texts, pieces, strict=True):
             out.append(self._pack(self.raw([t])[0]) if own is None else b"".join(map(get, own)))
         return out
 
     def _learn(self, missing: set[bytes]) -> None:
-        cache, parts = self.cache, {}
+        cache, older, parts = self.cache, self.older, {}
         for p in missing:
-            # A last stop or comma after an ASCII letter is a token run of its own.
-            if len(p) > 1 and p[-1:] in b".," and p[-2:-1].isalpha():
-                parts[p] = (p[:-1], p[-1:])
+            if p in older:
+                cache[p] = older[p]
+                continue
+            # Punctuation at the end, after what stays a letter in lower case, is a token run of its own.
+            stem = p.rstrip(MARKS)
+            if stem != p and stem and last_char(stem).lower().isalpha():
+                parts[p] = (stem, p[len(stem) :])
         needed = [p for p in (missing | {x for two in parts.values() for x in two}) if p not in cache and p not in parts]
-        for p, ids in zip(needed, self.raw([p.decode("utf-8") for p in needed]) if needed else [], strict=True):
+        rest = []
+        for p in needed:
+            text = p.decode("utf-8")
+            if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+                # One run of small letters passes the library's first steps unchanged, up to the byte alphabet.
+                cache[p] = self._pack([k.id for k in self.model.tokenize(text if text.isascii() else p.decode("latin-1").translate(ALPHABET))])
+            else:
+                rest.append(p)
+        for p, ids in zip(rest, self.raw([p.decode("utf-8") for p in rest]) if rest else [], strict=True):
             cache[p] = self._pack(ids)
         for p, (a, b) in parts.items():
             cache[p] = cache[a] + cache[b]
 
 
+def last_char(p: bytes) -> str:
+    k = len(p) - 1
+    while k and 0x80 <= p[k] < 0xC0:
+        k -= 1
+    return p[k:].decode("utf-8")
+
+
 def lower_and_space(spec: dict) -> bool:
     """True for a file that lower-cases, folds white space and splits words before merging, and drops the space."""
     normal, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
     steps = [s.get("type") for s in normal.get("normalizers", [])]
-    first = (pre.get("pretokenizers") or [{}])[0]
+    first, *rest = pre.get("pretokenizers") or [{}]
+    if [(r.get("type"), r.get("add_prefix_space"), r.get("use_regex")) for r in rest] != [("ByteLevel", False, False)]:
+        return False
     return steps == ["NFC", "Replace", "Lowercase"] and first.get("behavior") == "Removed" and bool(first.get("invert")) and not (spec.get("post_processor") or {})
 
 
