@@ -6,8 +6,10 @@
    one (star), the pair's similarity is estimated by likelihood, and what can be a link is
    verified on the full sets. Links give components.
 3. In buckets that still hold several components, all pairs between different components are
-   estimated (in blocks of at most BLOCK by BLOCK, so no task holds a large bucket) and
-   verified. So each pair of classes that shares a bucket is tested or already connected.
+   estimated and verified where they lie, in blocks of at most BLOCK by BLOCK, so no task holds
+   a large bucket; a pair is tested in the first of its buckets only. A block sends out only links
+   that join what it has not yet joined, fewer than it has members. So each pair of classes
+   that shares a bucket is tested or already connected, and no list of pairs is ever made.
 4. Components of all links; the smallest id of a component names it.
 
 A pair of similarity s shares a bucket with probability 1 - (1 - s**4)**32: at 0.8 all but 5 in
@@ -31,6 +33,8 @@ BLOCK = 1024
 #: Members verified against one hub by one sorted run.
 RUN = 256
 MARGIN = 5.0
+#: Equal registers are at least as probable as the similarity; that share is looked at before the likelihood.
+ROUGH = MARGIN * 0.5 / setsketch.REGISTERS**0.5
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -111,12 +115,16 @@ def estimated(pairs: DataFrame, classes: DataFrame, share: float) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").mapInArrow(run, "a long, b long")
 
 
+def texts_of(nodes: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, set_key, text): the texts of the documents that the classes are named after."""
+    named = nodes.distinct().join(classes.select("node", "least_id", "set_key"), "node")
+    return rows.join(named, rows["doc_id"].eqNullSafe(named["least_id"])).select("node", "set_key", "text")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Of (a, b), the links: den * |intersection| >= num * |union| on full sets. Texts are read again for the
     classes at hand; a text whose set is another one (its id stands for several texts) is passed over."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "least_id", "set_key"), "node")
-    texts = rows.join(nodes, rows["doc_id"].eqNullSafe(nodes["least_id"])).select("node", "set_key", "text")
-    texts, path = stage(texts, "near-texts")
+    texts, path = stage(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), classes, rows), "near-texts")
     runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs"))
     members = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), "runs").cast("int").alias("run"), "b")
     hubs = runs.select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run")).withColumn("b", F.col("a"))
@@ -178,50 +186,84 @@ def star_pairs(shared: DataFrame) -> DataFrame:
     return shared.join(hubs, "band").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
-def between_components(shared: DataFrame, roots: DataFrame, classes: DataFrame, share: float) -> DataFrame:
-    """Pairs of classes in one bucket but different components that sketches allow, less those tested as a star."""
+def between_components(shared: DataFrame, roots: DataFrame, classes: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(a, b): links between classes of one bucket but different components, as many as connect what is linked
+    in a block; pairs with the bucket's smallest class were tested as a star."""
     labelled = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.min("node").alias("hub")).where("low <> high and size > 2")
     members = labelled.join(mixed.select("band", "size", "hub"), "band")
     members = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = members.select("band", "hub", "node", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "hub", "node", "root", "own")
-    with_sketch = dealt.join(classes.select("node", "sketch", "n"), "node")
-
-    def pairs_of(rows: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        low, high, hub = rows[0][1], rows[0][2], rows[0][3]
-        node, root, own, n = (np.asarray([r[k] for r in rows]) for k in (4, 5, 6, 8))
-        regs = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(len(rows), -1)
-        right = np.flatnonzero(own == high)
-        for i in np.flatnonzero(own == low):
-            k = right[(root[right] != root[i]) & (node[right] != hub) & (node[i] != hub)]
-            if low == high:
-                k = k[k > i]
-            if len(k):
-                k = k[possible(np.broadcast_to(regs[i], (len(k), regs.shape[1])), regs[k], np.full(len(k), n[i]), n[k], share)]
-                yield np.minimum(node[i], node[k]), np.maximum(node[i], node[k])
+    dealt, path = stage(dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "hub", "node", "root", "own"), "near-dealt")
+    texts = texts_of(dealt.select("node"), classes, rows)
+    full = dealt.join(classes.select("node", "sketch"), "node").join(texts, "node")
+
+    def links_of(held: list[tuple]) -> tuple[list[int], list[int]]:
+        low, high, hub = held[0][1], held[0][2], held[0][3]
+        node, root, own = (np.asarray([r[k] for r in held]) for k in (4, 5, 6))
+        regs = np.frombuffer(b"".join(r[7] for r in held), np.uint16).reshape(len(held), -1)
+        keys = setsketch.band_keys(regs)
+        here = int(np.flatnonzero(keys[0] == held[0][0])[0])
+        sets: dict[int, np.ndarray | None] = {}
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        def set_of(k: int) -> np.ndarray | None:
+            if k not in sets:
+                s = shingle_set(held[k][9], width)
+                sets[k] = s if set_key(s) == held[k][8] else None
+            return sets[k]
+
+        out: tuple[list[int], list[int]] = ([], [])
+        right = np.flatnonzero((own == high) & (node != hub))
+        for i in np.flatnonzero((own == low) & (node != hub)).tolist():
+            k = right[(root[right] != root[i]) & ((low != high) | (right > i))]
+            # Tested here if this is the first bucket that the two share.
+            k = k[~(keys[k, :here] == keys[i, :here]).any(1)]
+            if not len(k):
+                continue
+            a = set_of(i)
+            if a is None:
+                continue
+            equal = (regs[k] == regs[i]).mean(1)
+            k = k[equal >= num / den - ROUGH]
+            for j in k.tolist():
+                if find(int(root[i])) == find(int(root[j])):
+                    continue
+                b = set_of(j)
+                if b is None or not possible(regs[i : i + 1], regs[j : j + 1], np.asarray([len(a)]), np.asarray([len(b)]), num / den)[0]:
+                    continue
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                if den * common >= num * (len(a) + len(b) - common):
+                    parent[find(int(root[i]))] = find(int(root[j]))
+                    out[0].append(int(node[i]))
+                    out[1].append(int(node[j]))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
+        held: list[tuple] = []
 
-        def flush():
-            found = list(pairs_of(held)) if len(held) > 1 else []
-            if found:
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found, strict=True)], ["a", "b"])
-            return None
+        def flush() -> pa.RecordBatch:
+            a, b = links_of(held) if len(held) > 1 else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for x in batches:
-            for row in zip(*(x.column(c).to_pylist() for c in ("band", "low", "high", "hub", "node", "root", "own", "sketch", "n")), strict=True):
+            for row in zip(*(x.column(c).to_pylist() for c in ("band", "low", "high", "hub", "node", "root", "own", "sketch", "set_key", "text")), strict=True):
                 if held and row[:3] != held[0][:3]:
-                    if (out := flush()) is not None:
-                        yield out
+                    yield flush()
                     held = []
                 held.append(row)
-        if (out := flush()) is not None:
-            yield out
+        if held:
+            yield flush()
 
-    ordered = with_sketch.repartition(slots(classes.sparkSession), "band", "low", "high").sortWithinPartitions("band", "low", "high")
-    return ordered.select("band", "low", "high", "hub", "node", "root", "own", "sketch", "n").mapInArrow(run, "a long, b long").distinct()
+    ordered = full.repartition(slots(rows.sparkSession), "band", "low", "high").sortWithinPartitions("band", "low", "high", "node")
+    links, _ = stage(ordered.select("band", "low", "high", "hub", "node", "root", "own", "sketch", "set_key", "text").mapInArrow(run, "a long, b long").distinct(), "near-links")
+    drop_path(rows.sparkSession, path)
+    return links
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,14 +287,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     star, star_path = stage(estimated(star_pairs(shared), classes, share), "near-pairs")
     links = verified(star, classes, rows, width, num, den)
     roots, _ = stage(components(links), "near-roots")
-    rest, rest_path = stage(between_components(shared, roots, classes, share), "near-pairs")
-    if not rest.isEmpty():
-        more = verified(rest, classes, rows, width, num, den)
+    more = between_components(shared, roots, classes, rows, width, num, den)
+    if not more.isEmpty():
         roots, _ = stage(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)), "near-roots")
     named = classes.select("set_key", "least_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named, _ = stage(named.select("set_key", "root").join(least, "root").select("set_key", "component_id"), "near-named")
-    drop_path(spark, shared_path, star_path, rest_path, classes_path)
+    drop_path(spark, shared_path, star_path, classes_path)
     free_shuffles(spark)
     full = own.where("n > 0").select("doc_id", "n", "set_key").join(named, "set_key").select("doc_id", "n", "component_id")
     empty = own.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
