@@ -82,13 +82,13 @@ def anomaly_scores(reference: DataFrame, queries: DataFrame, k: int, key: str =
 
 
 def nearest_rank(df: DataFrame, value: str, q: float) -> float:
-    """The value at place round(q * (n - 1)) in ascending order, halves up; 0 for none. One pass finds n, then
-    percentile() of exactly that place is the value, as no two are mixed."""
+    """The value at place round(q * (n - 1)) in ascending order, halves up; 0 for none. One pass finds n,
+    the next takes the first value whose share of rows reaches the middle of that place."""
     n = df.where(F.col(value).isNotNull()).count()
     if not n:
         return 0.0
     at = int(np.floor(min(max(q, 0.0), 1.0) * (n - 1) + 0.5))
-    return float(df.agg(F.percentile(value, F.lit(at / (n - 1) if n > 1 else 0.0))).first()[0])
+    return float(df.agg(F.expr(f"percentile_disc({(at + 0.5) / n!r}D) WITHIN GROUP (ORDER BY `{value}`)")).first()[0])
 
 
 def f1(df: DataFrame, label: str, predicted: str) -> DataFrame:
