@@ -66,8 +66,8 @@ def frequencies(staged: DataFrame, width: int) -> DataFrame:
 
         total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column("ids"):
-                own = np.bincount(unpack(x.as_py(), width))
+            for k in range(0, b.num_rows, 500):
+                own = np.bincount(np.concatenate([unpack(x.as_py(), width) for x in b.column("ids").slice(k, 500)]))
                 if len(own) > len(total):
                     own, total = total, own.astype(np.int64)
                 total[: len(own)] += own

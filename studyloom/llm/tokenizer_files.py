@@ -54,7 +54,7 @@ class PieceEncoder:
     def __init__(self, path: str) -> None:
         import numpy as np
 
-        self.special: list[str] = []
+        self.special: list[bytes] = []
         if path.endswith(".model"):
             import sentencepiece
 
@@ -71,7 +71,7 @@ class PieceEncoder:
             lib.no_padding()
             self.raw = lambda texts: [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
             self.vocab = lib.get_vocab_size(with_added_tokens=True)
-            self.special = [a["content"] for a in spec.get("added_tokens") or []]
+            self.special = [a["content"].encode("utf-8").lower() for a in spec.get("added_tokens") or []]
             self.separable = lower_and_space(spec)
             self.model = lib.model
         self.dtype = np.dtype("<u2" if self.vocab <= 1 << 16 else "<u4")
@@ -87,8 +87,8 @@ class PieceEncoder:
         if not self.separable:
             return [self._pack(x) for x in self.raw(texts)] if texts else []
         # A text with a special string goes to the library as it is; lower-casing could make or break one.
-        whole = [any(s in t or s in t.lower() for s in self.special) for t in texts]
-        pieces = [None if w else t.encode("utf-8").lower().split() for w, t in zip(whole, texts, strict=True)]
+        lower = [t.encode("utf-8").lower() for t in texts]
+        pieces = [None if any(s in b for s in self.special) else b.split() for b in lower]
         if len(self.cache) > CACHE_PIECES:
             self.cache, self.older = {}, self.cache
         self._learn(set().union(*filter(None, pieces)).difference(self.cache))
