@@ -196,11 +196,11 @@ def between_components(shared: DataFrame, roots: DataFrame, classes: DataFrame,
     dealt = members.select("band", "hub", "node", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt, path = stage(dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "hub", "node", "root", "own"), "near-dealt")
     texts = texts_of(dealt.select("node"), classes, rows)
-    full = dealt.join(classes.select("node", "sketch"), "node").join(texts, "node")
+    full = dealt.join(classes.select("node", "sketch", "n"), "node").join(texts, "node")
 
     def links_of(held: list[tuple]) -> tuple[list[int], list[int]]:
         low, high, hub = held[0][1], held[0][2], held[0][3]
-        node, root, own = (np.asarray([r[k] for r in held]) for k in (4, 5, 6))
+        node, root, own, n = (np.asarray([r[k] for r in held]) for k in (4, 5, 6, 10))
         regs = np.frombuffer(b"".join(r[7] for r in held), np.uint16).reshape(len(held), -1)
         keys = setsketch.band_keys(regs)
         here = int(np.flatnonzero(keys[0] == held[0][0])[0])
@@ -224,18 +224,14 @@ def between_components(shared: DataFrame, roots: DataFrame, classes: DataFrame,
             k = right[(root[right] != root[i]) & ((low != high) | (right > i))]
             # Tested here if this is the first bucket that the two share.
             k = k[~(keys[k, :here] == keys[i, :here]).any(1)]
-            if not len(k):
-                continue
-            a = set_of(i)
-            if a is None:
-                continue
-            equal = (regs[k] == regs[i]).mean(1)
-            k = k[equal >= num / den - ROUGH]
+            k = k[(regs[k] == regs[i]).mean(1) >= num / den - ROUGH]
+            if len(k):
+                k = k[possible(np.broadcast_to(regs[i], (len(k), regs.shape[1])), regs[k], np.full(len(k), n[i]), n[k], num / den)]
             for j in k.tolist():
                 if find(int(root[i])) == find(int(root[j])):
                     continue
-                b = set_of(j)
-                if b is None or not possible(regs[i : i + 1], regs[j : j + 1], np.asarray([len(a)]), np.asarray([len(b)]), num / den)[0]:
+                a, b = set_of(i), set_of(j)
+                if a is None or b is None:
                     continue
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 if den * common >= num * (len(a) + len(b) - common):
@@ -252,7 +248,7 @@ def between_components(shared: DataFrame, roots: DataFrame, classes: DataFrame,
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for x in batches:
-            for row in zip(*(x.column(c).to_pylist() for c in ("band", "low", "high", "hub", "node", "root", "own", "sketch", "set_key", "text")), strict=True):
+            for row in zip(*(x.column(c).to_pylist() for c in ("band", "low", "high", "hub", "node", "root", "own", "sketch", "set_key", "text", "n")), strict=True):
                 if held and row[:3] != held[0][:3]:
                     yield flush()
                     held = []
@@ -261,7 +257,7 @@ def between_components(shared: DataFrame, roots: DataFrame, classes: DataFrame,
             yield flush()
 
     ordered = full.repartition(slots(rows.sparkSession), "band", "low", "high").sortWithinPartitions("band", "low", "high", "node")
-    links, _ = stage(ordered.select("band", "low", "high", "hub", "node", "root", "own", "sketch", "set_key", "text").mapInArrow(run, "a long, b long").distinct(), "near-links")
+    links, _ = stage(ordered.select("band", "low", "high", "hub", "node", "root", "own", "sketch", "set_key", "text", "n").mapInArrow(run, "a long, b long").distinct(), "near-links")
     drop_path(rows.sparkSession, path)
     return links
 
