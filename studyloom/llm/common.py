@@ -37,7 +37,7 @@ def stage(df: DataFrame, label: str, *partition_by: str) -> tuple[DataFrame, str
     path = scratch(spark, label)
     writer = df.write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path), path
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def free_shuffles(spark: SparkSession) -> None:

@@ -127,18 +127,3 @@ def test_toxicity_awkward(spark):
     seed = toxicity.toxicity(frame(spark, [(1, "you idiot"), (2, "a kind word")]), none, toxicity.fold_held_out()).collect()
     assert {r["doc_id"]: r["predicted"] for r in seed} == {1: 1, 2: 0}
     assert toxicity.toxicity(frame(spark, []), none, toxicity.fold_held_out()).count() == 0
-
-
-def test_label_model_ignores_echoes():
-    """Two voters that copy each other weigh like one; a good voter's accuracy is estimated as such."""
-    rng = np.random.default_rng(3)
-    y = rng.random(4000) < 0.3
-    vote = lambda right: np.where(rng.random(4000) < right, np.where(y, 1, 2), np.where(y, 2, 1))
-    bad, good, fair = vote(0.6), vote(0.95), vote(0.8)
-    gold = np.where(rng.random(4000) < 0.3, np.where(y, 1, 2), 0)
-    votes = np.stack([gold, bad, bad, bad, good, fair], 1)
-    model = toxicity.LabelModel().fit(votes, 0, np.asarray([1, 2, 3, 4, 5]))
-    a = model.accuracies(votes)
-    assert a[4] > a[5] > a[1]
-    assert abs(a[4] - 0.95) < 0.04
-    assert ((model.posterior(votes) > 0.5) == y).mean() > 0.93
