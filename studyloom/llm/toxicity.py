@@ -203,8 +203,8 @@ def sampled(rows: DataFrame, labels: DataFrame, training: Column, labelled: int,
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([least_shingle(t.as_py()) for t in b.column("text")], pa.int64())], ["text", "label", "sign"])
 
-    # A text that was copied a thousand times teaches as much as one copy.
-    return drawn.mapInArrow(sign, "text string, label int, sign long").dropDuplicates(["sign", "label"]).select("text", "label")
+    # A text that was copied a thousand times teaches as much as one copy: the least of near copies, in any run.
+    return drawn.mapInArrow(sign, "text string, label int, sign long").groupBy("sign", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
 def find_entries(sample: DataFrame) -> dict[str, int]:
@@ -247,6 +247,7 @@ def fit(sample: DataFrame) -> tuple[Scorer, LabelModel, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int32())), b.column("label")], ["hits", "label"])
 
     rows = sample.mapInArrow(run, "hits array<int>, label int").collect()  # as many as the sample's bound
+    rows.sort(key=lambda r: (-1 if r["label"] is None else r["label"], r["hits"]))  # sums must not depend on the order of arrival
     x, gold = np.zeros((len(rows), width), np.float32), np.zeros(len(rows), np.int64)
     for k, r in enumerate(rows):
         x[k, r["hits"]] = 1
