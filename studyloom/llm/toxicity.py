@@ -34,10 +34,17 @@ LABELLED, UNLABELLED = 30_000, 10_000
 ENTRIES, SUPPORT, PURITY, EVIDENCE = 400, 6, 0.9, 18.0
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
+ASCII_UPPER, ASCII_LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
+BEYOND_ASCII = re.compile(r"[^\x00-\x7f]+")
+#: Pieces of text that a worker remembers at most as holding no entry, for the entries it last met.
+BLANKS = 300_000
+_BLANK: dict[tuple[str, ...], set[str]] = {}
 #: How often a label is taken to be right.
 GOLD = 0.98
 #: Seed lexicon of fixed words: votes even where the sample holds too few of them.
 SEED_WORDS = ("idiot", "idiots", "moron", "scum", "stupid", "loser", "pathetic", "disgusting", "worthless", "trash", "dumb", "filthy")
+ADDRESSES = ("you are", "you're", "tu es", "du bist", "eres")
+ADDRESS = re.compile(rf"\b({'|'.join(ADDRESSES)})\b")
 PATTERNS = ("seed", "shouting", "exclaims", "symbols", "names the reader", "no entry")
 
 
@@ -52,25 +59,46 @@ def marks(text: str) -> set[str]:
     return out
 
 
-def hits(text: str, entries: dict[str, int]) -> np.ndarray:
-    """1 for each entry in the text, then for each pattern."""
+def cases(text: str) -> tuple[int, int]:
+    """How many characters are upper case, and how many lower case."""
+    data = text.encode("ascii", "ignore")
+    upper, lower = len(data) - len(data.translate(None, ASCII_UPPER)), len(data) - len(data.translate(None, ASCII_LOWER))
+    other = "" if text.isascii() else "".join(BEYOND_ASCII.findall(text))
+    return upper + sum(map(str.isupper, other)), lower + sum(map(str.islower, other))
+
+
+def blanks(entries: dict[str, int]) -> set[str]:
+    key = tuple(entries)
+    if key not in _BLANK:
+        _BLANK.clear()
+        _BLANK[key] = set()
+    return _BLANK[key]
+
+
+def hits(text: str, entries: dict[str, int], blank: set[str] | None = None) -> np.ndarray:
+    """1 for each entry in the text, then for each pattern. blank: what is known to hold no entry and no seed word
+    between white space; it is added to."""
     out = np.zeros(len(entries) + len(PATTERNS), np.float32)
+    n, size = len(entries), max(1, len(text))
     lower = text.lower()
-    words = WORD.findall(lower)
     get = entries.get
-    for w in set(words):
-        for m in ("w:" + w, *("s:" + w[:n] for n in STEMS if len(w) > n)):
-            k = get(m)
-            if k is not None:
-                out[k] = 1
-    n, size = len(entries), max(1, len(text))
-    upper = sum(map(str.isupper, text))
-    letters = upper + sum(map(str.islower, text))
-    out[n] = any(w in SEED_WORDS for w in words)
+    pieces = set(lower.split())
+    for piece in pieces if blank is None else pieces - blank:
+        found = []
+        for w in WORD.findall(piece):
+            found += [k for m in ("w:" + w, *("s:" + w[:j] for j in STEMS if len(w) > j)) if (k := get(m)) is not None]
+            if w in SEED_WORDS:
+                found.append(n)
+        if found:
+            out[found] = 1
+        elif blank is not None and len(blank) < BLANKS:
+            blank.add(piece)
+    upper, small = cases(text)
+    letters = upper + small
     out[n + 1] = letters > 20 and upper > 0.6 * letters
     out[n + 2] = text.count("!") > 0.02 * size
     out[n + 3] = sum(text.count(c) for c in "#$%&*") > 0.05 * size
-    out[n + 4] = bool(re.search(r"\b(you are|you're|tu es|du bist|eres)\b", lower))
+    out[n + 4] = any(x in lower for x in ADDRESSES) and bool(ADDRESS.search(lower))
     out[n + 5] = not out[: n + 1].any()
     return out
 
@@ -122,18 +150,30 @@ class LabelModel:
 def conditional(votes: np.ndarray, v: int, p: int, q: np.ndarray) -> np.ndarray:
     at = votes[:, p] if p >= 0 else np.zeros(len(votes), np.int64)
     out = np.full((2, 3, 3), 0.02)
-    np.add.at(out[1], (at, votes[:, v]), q)
-    np.add.at(out[0], (at, votes[:, v]), 1 - q)
+    cell = 3 * at + votes[:, v]
+    for label, weight in enumerate((1 - q, q)):
+        out[label] += np.bincount(cell, weights=weight, minlength=9).reshape(3, 3)
     return out / out.sum(2, keepdims=True)
 
 
 def tree(votes: np.ndarray, q: np.ndarray) -> list[int]:
     """Each voter's parent in the maximum spanning tree of mutual information given the label; -1 for the root."""
     n, v = votes.shape
-    one = np.concatenate([votes == k for k in range(3)], axis=1).astype(np.float32)
+    cast = np.concatenate([votes == 1, votes == 2], axis=1)
+    used = np.flatnonzero(cast.any(0))
+    one = cast[:, used].astype(np.float32)
     info = np.zeros((v, v))
     for w in (q, 1 - q):
-        both = ((one * w[:, None].astype(np.float32)).T @ one + 1e-3).reshape(3, v, 3, v).transpose(1, 3, 0, 2)
+        # Who abstains follows from sums, so only votes that were cast are multiplied.
+        both = np.zeros((3, v, 3, v))
+        inner, sums = np.zeros((2 * v, 2 * v)), np.zeros(2 * v)
+        inner[np.ix_(used, used)] = (one * w[:, None].astype(np.float32)).T @ one
+        sums[used] = w @ one
+        both[1:, :, 1:, :], sums = inner.reshape(2, v, 2, v), sums.reshape(2, v)
+        both[1:, :, 0, :] = sums[:, :, None] - both[1:, :, 1:, :].sum(2)
+        both[0, :, 1:, :] = sums[None, :, :] - both[1:, :, 1:, :].sum(0)
+        both[0, :, 0, :] = w.sum() - sums.sum(0)[None, :] - both[1:, :, 0, :].sum(0)
+        both = np.maximum(both, 0).transpose(1, 3, 0, 2) + 1e-3
         both = both / both.sum((2, 3), keepdims=True)
         a, b = both.sum(3, keepdims=True), both.sum(2, keepdims=True)
         info += w.sum() / max(1, n) * (both * np.log(both / (a * b))).sum((2, 3))
@@ -156,8 +196,8 @@ class Scorer:
     weights: np.ndarray
     bias: float
 
-    def score(self, text: str) -> float:
-        z = float(hits(text, self.entries) @ self.weights) + self.bias
+    def score(self, text: str, blank: set[str] | None = None) -> float:
+        z = float(hits(text, self.entries, blank) @ self.weights) + self.bias
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -243,7 +283,8 @@ def fit(sample: DataFrame) -> tuple[Scorer, LabelModel, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [np.flatnonzero(hits(t, entries)).astype(np.int32) for t in b.column("text").to_pylist()]
+            blank = blanks(entries)
+            x = [np.flatnonzero(hits(t, entries, blank)).astype(np.int32) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int32())), b.column("label")], ["hits", "label"])
 
     rows = sample.mapInArrow(run, "hits array<int>, label int").collect()  # as many as the sample's bound
@@ -278,7 +319,8 @@ def score_of(scorer: Scorer, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([scorer.score(t) for t in texts], dtype="float64")
+        blank = blanks(scorer.entries)
+        return pd.Series([scorer.score(t, blank) for t in texts], dtype="float64")
 
     return score(F.coalesce(text.cast("string"), F.lit("")))
 
