@@ -127,3 +127,13 @@ def test_toxicity_awkward(spark):
     seed = toxicity.toxicity(frame(spark, [(1, "you idiot"), (2, "a kind word")]), none, toxicity.fold_held_out()).collect()
     assert {r["doc_id"]: r["predicted"] for r in seed} == {1: 1, 2: 0}
     assert toxicity.toxicity(frame(spark, []), none, toxicity.fold_held_out()).count() == 0
+
+
+def test_hits_are_the_same_with_remembered_words_and_case_counts_are_exact():
+    texts = ["", "You ARE scum_trash!! 123 idiot's", "ÉÀß Ǆǅ ΑΒΓαβγ 你好 İ", "eres tonto", "plain words plain words", "scummy idiotic"]
+    entries = {"w:trash": 0, "s:idiot": 1, "w:tonto": 2, "s:plai": 3}
+    blank: set[str] = set()
+    for t in texts * 2:
+        assert (toxicity.hits(t, entries, blank) == toxicity.hits(t, entries)).all()
+        assert toxicity.cases(t) == (sum(c.isupper() for c in t), sum(c.islower() for c in t))
+    assert "words" in blank and "plain" not in blank and not any(w in blank for w in ("scum_trash!!", "idiot's"))
