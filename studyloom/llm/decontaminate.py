@@ -53,12 +53,11 @@ def overlap(a: Counter, b: Counter) -> float:
     return common / (sum(a.values()) + sum(b.values()) - common) if common else 0.0
 
 
-def shingle_hashes(words: list[str]) -> np.ndarray:
-    """Two 64-bit hashes for each shingle, as (n, 2)."""
+def shingle_hashes(words: list[str], q: int) -> np.ndarray:
+    """Two 64-bit hashes for each shingle of q words, as (n, 2)."""
     import xxhash
 
     h = np.asarray([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-    q = min(SHINGLE, len(words))
     out = np.zeros((len(words) - q + 1, 2), np.uint64)
     for col, (seed, times) in enumerate(((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F))):
         acc = np.full(len(out), seed, np.uint64)
@@ -72,7 +71,7 @@ def shingle_hashes(words: list[str]) -> np.ndarray:
 
 def fingerprints(words: list[str], starts: np.ndarray, size: int) -> np.ndarray:
     """SimHash of the windows of `size` words at these starts, as 16 bytes each."""
-    bits = np.unpackbits(shingle_hashes(words).view(np.uint8), axis=1)
+    bits = np.unpackbits(shingle_hashes(words, min(SHINGLE, size)).view(np.uint8), axis=1)
     signs = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(2 * bits.astype(np.int32) - 1, axis=0)])
     n = max(1, size - SHINGLE + 1)
     return np.packbits(signs[starts + n] - signs[starts] > 0, axis=1)

@@ -183,6 +183,12 @@ def test_decontamination(spark):
     assert contaminated(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_short_items_that_occur_twice():
+    for text in ("one", "one two", "one two three four", "one two three four five"):
+        found = Items([(1, text)]).matches(f"x {text} y {text} z", 0.8)
+        assert found == [(1, 1.0, 1, len(text.split()), 0)]
+
+
 def test_blocks_find_all_within_radius():
     from studyloom.llm import decontaminate as d
 
