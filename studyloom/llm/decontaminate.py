@@ -7,8 +7,12 @@ differs in 40 // 16 = 2 bits at most, so looking up every block within 2 bits fi
 within the radius. What is found is verified: the shingle counts of window and item must
 overlap by `similarity` (sum of the smaller counts over sum of the larger).
 
-Windows that hold no shingle of an item of their size have similarity 0 to all of those items;
-they are passed over before any fingerprint is made, which decides nothing by itself.
+The radius holds for distinct shingles only: one that repeats weighs as often as it occurs and can turn
+any number of bits. So where a shingle repeats in the window or in the item, their overlap is counted
+exactly, whatever their fingerprints.
+
+Windows with fewer shingles of items of their size than `similarity` takes are passed over
+before any fingerprint is made: their overlap with each such item is smaller still.
 """
 
 from __future__ import annotations
@@ -77,37 +81,75 @@ def fingerprints(words: list[str], starts: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(signs[starts + n] - signs[starts] > 0, axis=1)
 
 
+def repeating(words: list[str], q: int) -> np.ndarray:
+    """For each place, where the first shingle of q words ends up that repeats one from that place on; else a place past all."""
+    first = np.full(len(words) + 1, 1 << 62, np.int64)
+    last: dict[tuple[str, ...], int] = {}
+    for p, s in enumerate(zip(*(words[k:] for k in range(q)), strict=False)):
+        if s in last:
+            first[last[s]] = p
+        last[s] = p
+    return np.minimum.accumulate(first[::-1])[::-1]
+
+
 class Items:
     """Benchmark items of one pass, by size in words."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.by_size: dict[int, list] = {}
         self.word_ids: dict[str, int] = {}
-        self.owners: dict[tuple[int, ...], set[int]] = {}
+        self.counts: dict[int, list[Counter]] = {}  # of word numbers
+        self.owners: dict[tuple[int, ...], dict[int, list[int]]] = {}
         for item, text in items:
             words = words_of(text)
             if words:
                 ids = [self.word_ids.setdefault(w, len(self.word_ids) + 1) for w in words]
-                for s in shingles_of(ids):
-                    self.owners.setdefault(s, set()).add(len(words))
+                for s in set(shingles_of(ids)):
+                    self.owners.setdefault(s, {}).setdefault(len(words), []).append(len(self.by_size.get(len(words), ())))
+                self.counts.setdefault(len(words), []).append(Counter(shingles_of(ids)))
                 self.by_size.setdefault(len(words), []).append((item, Counter(shingles_of(words)), fingerprints(words, np.zeros(1, np.int64), len(words))[0]))
         self.prints = {m: np.stack([x[2] for x in own]) for m, own in self.by_size.items()}
         # For each block and byte, which items have a block within reach.
         self.index = {m: np.stack([NEAR[:, p[:, k]] for k in range(BLOCKS)]) for m, p in self.prints.items()}
+        self.repeats = {m: {k for k, x in enumerate(own) if max(x[1].values()) > 1} for m, own in self.by_size.items()}
         self.widths = sorted({len(s) for s in self.owners})
 
-    def hits(self, words: list[str]) -> dict[int, list[int]]:
-        """For each item size, the places in words where a shingle of such an item begins."""
+    def hits(self, words: list[str]) -> dict[int, list[tuple[int, tuple[int, ...]]]]:
+        """For each item size, the places in words where a shingle of such an item begins, with the shingle."""
         ids = np.fromiter((self.word_ids.get(w, 0) for w in words), np.int64, len(words))
-        found: dict[int, list[int]] = {}
+        found: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
         for q in self.widths:
             if len(ids) >= q:
                 known = np.cumsum(np.concatenate([[0], ids > 0]))
                 for p in np.flatnonzero(known[q:] - known[:-q] == q).tolist():
-                    for m in self.owners.get(tuple(ids[p : p + q].tolist()), ()):
-                        found.setdefault(m, []).append(p)
+                    s = tuple(ids[p : p + q].tolist())
+                    for m in self.owners.get(s, ()):
+                        found.setdefault(m, []).append((p, s))
         return found
 
+    def exact(self, m: int, places: list[tuple[int, tuple[int, ...]]], starts: np.ndarray, again: np.ndarray, n: int, similarity: float) -> Iterator[tuple[int, int, float]]:
+        """(item's number, index into starts, similarity) of each item's best window, of those in which a shingle
+        repeats (again) or, if one repeats in the item, of all. Windows have n shingles."""
+        where: dict[int, dict[tuple[int, ...], list[int]]] = {}
+        every, repeats = bool(again.any()), self.repeats[m]
+        for p, s in places if every or repeats else ():
+            for k in self.owners[s][m]:
+                if every or k in repeats:
+                    where.setdefault(k, {}).setdefault(s, []).append(p)
+        total = n + max(1, m - SHINGLE + 1)
+        for k, own in where.items():
+            if (1 + similarity) * sum(map(len, own.values())) < similarity * total - 1e-9:
+                continue
+            able = np.arange(len(starts)) if k in repeats else np.flatnonzero(again)
+            common = np.zeros(len(able), np.int64)
+            for s, at in own.items():
+                held = np.searchsorted(at, starts[able] + n) - np.searchsorted(at, starts[able])
+                common += np.minimum(held, self.counts[m][k][s])
+            best = int(common.argmax())
+            alike = float(common[best] / (total - common[best]))
+            if common[best] and alike >= similarity:
+                yield k, int(able[best]), alike
+
     def matches(self, text: str, similarity: float) -> list[tuple]:
         """(item, similarity, start, words, distance): the best window for each item that the text holds."""
         words = words_of(text)
@@ -115,21 +157,40 @@ class Items:
         for m, places in self.hits(words).items():
             size = min(m, len(words))
             reach = max(1, m - SHINGLE + 1)
-            near = np.unique(np.clip((np.asarray(places)[:, None] - np.arange(reach)[None, :]).ravel(), 0, len(words) - size))
+            n = max(1, size - SHINGLE + 1)
+            held = np.zeros(len(words) + 1, np.int64)
+            held[[p + 1 for p, _ in places]] = 1
+            held = np.cumsum(held)
+            near = np.unique(np.clip((np.asarray([p for p, _ in places])[:, None] - np.arange(reach)[None, :]).ravel(), 0, len(words) - size))
+            # Common shingles over all shingles can reach the similarity only from here on.
+            near = near[(1 + similarity) * (held[near + n] - held[near]) >= similarity * (n + reach) - 1e-9]
+            if not len(near):
+                continue
             low = int(near[0])
             prints = fingerprints(words[low : int(near[-1]) + size], near - low, size)
+
+            def keep(k: int, w: int, s: float, m=m, size=size, near=near, prints=prints) -> None:
+                start = int(near[w])
+                if (-s, start) < out.get((m, k), (0, 0, 0))[:2]:
+                    distance = int(POPCOUNT[prints[w] ^ self.prints[m][k]].sum())
+                    out[m, k] = (-s, start, (self.by_size[m][k][0], s, start, size, distance))
+
             reached = np.zeros((len(near), len(self.prints[m])), bool)
             for k in range(BLOCKS):
                 reached |= self.index[m][k][prints[:, k]]
+            again = repeating(words, min(SHINGLE, size))[near] < near + n
+            # What exact() counts need not be counted here.
+            reached &= ~again[:, None]
+            reached[:, list(self.repeats[m])] = False
             for w, k in zip(*np.nonzero(reached), strict=True):
-                distance = int(POPCOUNT[prints[w] ^ self.prints[m][k]].sum())
-                if distance > RADIUS:
+                if int(POPCOUNT[prints[w] ^ self.prints[m][k]].sum()) > RADIUS:
                     continue
-                item, counts, _ = self.by_size[m][k]
                 start = int(near[w])
-                s = overlap(Counter(shingles_of(words[start : start + size])), counts)
-                if s >= similarity and (-s, start) < out.get((m, k), (0, 0, 0))[:2]:
-                    out[m, k] = (-s, start, (item, s, start, size, distance))
+                s = overlap(Counter(shingles_of(words[start : start + size])), self.by_size[m][k][1])
+                if s >= similarity:
+                    keep(int(k), int(w), s)
+            for k, w, s in self.exact(m, places, near, again, n, similarity):
+                keep(k, w, s)
         return [x[2] for x in out.values()]
 
 

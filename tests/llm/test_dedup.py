@@ -189,6 +189,34 @@ def test_short_items_that_occur_twice():
         assert found == [(1, 1.0, 1, len(text.split()), 0)]
 
 
+def test_repeated_shingles_on_either_side():
+    rng = random.Random(4)
+    for shared, tail in ((53, 10), (90, 14), (260, 30)):
+        for k in range(5):
+            own = [sentence(rng, shared), sentence(rng, tail), " ".join(["blah"] * tail)]
+            plain, masked, after = f"{own[0]} {own[1]}", f"{own[0]} {own[2]}", sentence(rng, 30)
+            for item, passage in ((plain, masked), (masked, plain), (masked, masked)):
+                items, docs = [(1, item), (2, sentence(rng, shared + tail))], [(k, f"{after} {passage} {after}")]
+                found = {(k, x[0]) for x in Items(items).matches(docs[0][1], 0.8)}
+                assert found == brute_leaks(docs, items)
+    assert found == {(4, 1)}
+
+
+def test_best_windows_equal_brute_force():
+    rng = random.Random(5)
+    for _ in range(300):
+        words = ["a", "b", "c"] if rng.random() < 0.5 else sentence(rng, 20).split()
+        text = [rng.choice(words) for _ in range(rng.randint(1, 40))]
+        items = [(k, " ".join(text[s : s + rng.randint(1, 30)] + [rng.choice(words)] * rng.randint(0, 2))) for k in range(4) for s in [rng.randrange(len(text))]]
+        got = {x[0]: x[1:4] for x in Items(items).matches(" ".join(text), 0.8)}
+        for k, item in items:
+            own = item.split()
+            size = min(len(own), len(text))
+            best = min((-overlap(Counter(shingles_of(text[s : s + size])), Counter(shingles_of(own))), s) for s in range(len(text) - size + 1))
+            if any(n > 1 for n in Counter(shingles_of(own)).values()) or len(own) <= 5 or best[0] == -1 or k in got:
+                assert got.get(k) == ((-best[0], best[1], size) if -best[0] >= 0.8 else None)
+
+
 def test_blocks_find_all_within_radius():
     from studyloom.llm import decontaminate as d
 
