@@ -1,8 +1,8 @@
 """Personal data: four base kinds by rule, further identifiers by bootstrapped context.
 
-Base spans come from regular expressions and checks of what they match. They are the seeds: the
-words around a seed make patterns, and patterns and the identifier-like tokens that they surround
-form a graph. Spark scores it in rounds: a pattern is as trustworthy as the instances that it
+Base spans come from regular expressions and checks of what they match. They are the seeds, with
+white space inside or not: the words around a whole seed make patterns, and patterns, seeds and the
+identifier-like tokens beside base spans that they surround form a graph. Spark scores it in rounds: a pattern is as trustworthy as the instances that it
 surrounds, an instance is as likely as its patterns make it. What stands in a pattern of
 high confidence and is no base span is a new identifier (kind `id`).
 
@@ -68,51 +68,92 @@ RULES = {
     "phone": (PHONE, lambda t: F.contains(t, F.lit("+")), lambda m: F.length(digits(m)).between(10, 15)),
 }
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
+#: Both hold the text found and its contexts.
+SEED = "array<struct<start:int,kind:int,stop:int,token:string,contexts:array<string>>>"
+CANDIDATE = "array<struct<start:int,stop:int,token:string,contexts:array<string>>>"
+#: What is left of the words beside a match: the rest of its own, and of each further word at most so many characters.
+BESIDE, WORD = r"^\S*+\s*+\S*+\s*+\S*+", 80
+
+
+def near(side: Column) -> Column:
+    """The rest of a word and two words, shortened to WORD, that the text to one side of a match begins with."""
+    spaced = F.regexp_replace(F.regexp_extract(side, BESIDE, 0), r"\s+", " ")
+    return F.regexp_replace(spaced, rf"(?<!\S)(\S{{{WORD}}})\S++", "$1")
+
+
+def sides(pairs: Column, piece, matched) -> Column:
+    """near() of what lies on one side of each match: a piece, then the match before it with its own side."""
+
+    def step(acc: Column, x: Column) -> Column:
+        side = near(F.concat(piece(x), acc["m"], F.coalesce(F.try_element_at(acc["out"], F.lit(-1)), F.lit(""))))
+        return F.struct(matched(x).alias("m"), F.concat(acc["out"], F.array(side)).alias("out"))
+
+    return F.aggregate(pairs, F.struct(F.lit("").alias("m"), F.array().cast("array<string>").alias("out")), step, lambda acc: acc["out"])
+
+
+def contexts(before: Column, after: Column) -> Column:
+    """Two words before; a word before and one after. before is reversed; what touches the match is part of neither."""
+    two = F.lower(F.reverse(F.regexp_extract(before, r"^\S* (\S+ \S+)", 1)))
+    one, following = F.lower(F.reverse(F.regexp_extract(before, r"^\S* (\S+)", 1))), F.lower(F.regexp_extract(after, r"^\S* (\S+)", 1))
+    return F.filter(F.array(F.when(two != "", F.concat(F.lit("< "), two)), F.when((one != "") & (following != ""), F.concat(one, F.lit(" <> "), following))), lambda c: c.isNotNull())
 
 
 def place(text: Column, pattern: str, build, kind: str) -> Column:
-    """build(acc, start, match, piece before, piece after) for each match in turn, over an array of type `kind`."""
+    """build(acc, start, match, contexts) for each match in turn, over an array of type `kind`."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), F.zip_with(found, F.slice(gaps, F.lit(2), F.size(found)), lambda m, after: F.struct(m.alias("m"), after.alias("after"))), lambda gap, x: F.struct(gap.alias("gap"), x["m"].alias("m"), x["after"].alias("after")))
+    pieces = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), F.zip_with(found, F.slice(gaps, F.lit(2), F.size(found)), lambda m, after: F.struct(m.alias("m"), after.alias("after"))), lambda gap, x: F.struct(gap.alias("gap"), x["m"].alias("m"), x["after"].alias("after")))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        return F.struct((start + F.length(x["m"])).alias("at"), build(acc["out"], start, x["m"], x["gap"], x["after"]).alias("out"))
+        start = acc["at"] + F.length(x["x"]["gap"])
+        return F.struct((start + F.length(x["x"]["m"])).alias("at"), build(acc["out"], start, x["x"]["m"], contexts(x["side"]["before"], x["side"]["after"])).alias("out"))
+
+    def run(pairs: Column) -> Column:
+        before = sides(pairs, lambda x: F.reverse(x["gap"]), lambda x: F.reverse(x["m"]))
+        after = F.reverse(sides(F.reverse(pairs), lambda x: x["after"], lambda x: x["m"]))
+        both = F.zip_with(before, after, lambda b, a: F.struct(b.alias("before"), a.alias("after")))
+        each = F.zip_with(pairs, both, lambda x, side: F.struct(x.alias("x"), side.alias("side")))
+        return F.aggregate(each, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+    # An array of one, so that the pieces are made once.
+    return F.element_at(F.transform(F.array(pieces), run), 1)
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    """The kind's spans in code points; a match that fails its check is dropped and not tried again."""
+def base_seeds(text: Column, kind: str) -> Column:
+    """The kind's spans in code points, with contexts; a match that fails its check is dropped and not tried again."""
     pattern, needs, holds = RULES[kind]
     number = KINDS.index(kind)
 
-    def build(out: Column, start: Column, m: Column, *_: Column) -> Column:
-        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), (start + F.length(m)).alias("stop"))
-        return F.when(holds(m), F.concat(out, F.array(span))).otherwise(out)
-
-    return F.when(needs(text), place(text, pattern, build, SPAN)).otherwise(F.array().cast(SPAN))
+    def build(out: Column, start: Column, m: Column, around: Column) -> Column:
+        seed = F.struct(start.alias("start"), F.lit(number).alias("kind"), (start + F.length(m)).alias("stop"), m.alias("token"), around.alias("contexts"))
+        return F.when(holds(m), F.concat(out, F.array(seed))).otherwise(out)
 
-
-CANDIDATE = "array<struct<start:int,stop:int,token:string,contexts:array<string>>>"
+    return F.when(needs(text), place(text, pattern, build, SEED)).otherwise(F.array().cast(SEED))
 
 
 def candidates(text: Column) -> Column:
-    """Identifier-like tokens with their contexts: two words before; a word before and one after."""
+    """Identifier-like tokens with their contexts."""
 
-    def build(out: Column, start: Column, m: Column, gap: Column, after: Column) -> Column:
-        tail, head = F.lower(F.substring(gap, -80, 80)), F.lower(F.substring(after, 1, 60))
-        two = F.regexp_replace(F.regexp_extract(tail, r"(\S+\s+\S+)\s+$", 1), r"\s+", " ")
-        one, following = F.regexp_extract(tail, r"(\S+)\s+$", 1), F.regexp_extract(head, r"^\s+(\S+)", 1)
-        contexts = F.filter(F.array(F.when(two != "", F.concat(F.lit("< "), two)), F.when((one != "") & (following != ""), F.concat(one, F.lit(" <> "), following))), lambda c: c.isNotNull())
+    def build(out: Column, start: Column, m: Column, around: Column) -> Column:
         bare = F.regexp_replace(m, r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$", "")
         lead = F.length(F.regexp_extract(m, r"^[^\p{L}\p{N}+]+", 0))
-        found = F.struct((start + lead).alias("start"), (start + lead + F.length(bare)).alias("stop"), bare.alias("token"), contexts.alias("contexts"))
+        found = F.struct((start + lead).alias("start"), (start + lead + F.length(bare)).alias("stop"), bare.alias("token"), around.alias("contexts"))
         return F.concat(out, F.array(found))
 
     return F.when(text.rlike("[0-9@]"), place(text, TOKEN, build, CANDIDATE)).otherwise(F.array().cast(CANDIDATE))
 
 
+def seed_edges(seeds: Column) -> Column:
+    """(token, contexts) of each seed. Base spans that overlap are one instance, so they go by the first one's text."""
+
+    def step(acc: Column, s: Column) -> Column:
+        inside = s["start"] < acc["stop"]
+        token = F.when(inside, acc["token"]).otherwise(s["token"])
+        return F.struct(F.greatest(acc["stop"], s["stop"]).alias("stop"), token.alias("token"), F.concat(acc["out"], F.array(F.struct(token.alias("token"), s["contexts"].alias("contexts")))).alias("out"))
+
+    first = F.struct(F.lit(0).alias("stop"), F.lit("").alias("token"), F.array().cast("array<struct<token:string,contexts:array<string>>>").alias("out"))
+    return F.aggregate(seeds, first, step, lambda acc: acc["out"])
+
+
 def trusted(edges: DataFrame, rule: Bootstrap) -> DataFrame:
     """(pattern, confidence) of patterns that may add spans; edges: (pattern, token, seed)."""
     # A token counts once for a pattern, however often it stands there.
@@ -141,14 +182,15 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     text = F.col("text")
     rows = doc_text(docs, id_col, text_col)
-    spans = F.array_sort(F.concat(*[F.col(k) for k in KINDS]))
-    found = rows.select("doc_id", *[base_spans(text, k).alias(k) for k in KINDS], candidates(text).alias("tokens"))
-    found = found.select("doc_id", spans.alias("base"), "tokens").withColumn("row", F.monotonically_increasing_id())
+    seeds = F.array_sort(F.concat(*[F.col(k) for k in KINDS]))
+    found = rows.select("doc_id", *[base_seeds(text, k).alias(k) for k in KINDS], candidates(text).alias("tokens"))
+    found = found.select("doc_id", seeds.alias("seeds"), "tokens").withColumn("base", F.transform("seeds", lambda s: F.struct(s["start"], s["kind"], s["stop"]))).withColumn("row", F.monotonically_increasing_id())
     found, _ = stage(found, "pii-base")
     each = found.where(F.size("tokens") > 0).select("row", "base", F.explode("tokens").alias("t")).select("row", "t.*", F.exists("base", lambda s: (s["start"] < F.col("t.stop")) & (s["stop"] > F.col("t.start"))).alias("seed"))
-    edges = each.select("row", "start", "stop", "token", "seed", F.explode("contexts").alias("pattern"))
-    good = trusted(edges.select("pattern", "token", "seed"), rule)
-    new = edges.where(~F.col("seed") & (F.length("token") > 0)).join(good, "pattern").select("row", F.struct(F.col("start"), F.lit(len(KINDS)).alias("kind"), F.col("stop")).alias("span")).groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("added"))
+    edges = each.where(~F.col("seed")).select("row", "start", "stop", "token", F.explode("contexts").alias("pattern"))
+    own = found.where(F.size("seeds") > 0).select(F.explode(seed_edges(F.col("seeds"))).alias("t")).select("t.token", F.explode("t.contexts").alias("pattern"))
+    good = trusted(edges.select("pattern", "token", F.lit(False).alias("seed")).unionAll(own.select("pattern", "token", F.lit(True).alias("seed"))), rule)
+    new = edges.where(F.length("token") > 0).join(good, "pattern").select("row", F.struct(F.col("start"), F.lit(len(KINDS)).alias("kind"), F.col("stop")).alias("span")).groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("added"))
     out = found.join(new, "row", "left")
     return out.select("doc_id", "base", F.coalesce("added", F.array().cast(SPAN)).alias("added"))
 

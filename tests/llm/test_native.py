@@ -59,6 +59,29 @@ def test_bootstrapping_finds_unseen(spark):
         assert spans == (re.findall(r"account-\S+", t) if i < 100 and i % 4 == 0 else [])
 
 
+def test_seeds_with_spaces_make_patterns(spark):
+    rng = random.Random(3)
+    phones = [f"+1 (017) 555-{7000 + k}" for k in range(12)]
+    cards = [c for c in (f"4111 1111 11{k:02d} {k:02d}1{d}" + " 11" for k in range(100) for d in range(10)) if luhn(c.replace(" ", ""))][:12]
+    assert len(cards) == 12
+    rows = []
+    for n, (seed, unseen, lead, tail) in enumerate([(phones, "ext-44{}7731", "please call", "before"), (cards, "acc{}-889912", "charge my", "today")]):
+        for k in range(12):
+            rows.append((100 * n + k, f"{sentence(rng, 5)} {lead} {seed[k]} {tail} {sentence(rng, 4)}"))
+            # Glued marks are not words, and an identifier may follow another one.
+            rows.append((1000 + 100 * n + k, f"{sentence(rng, 5)} 99{k}88177 {lead} ({unseen.format(k)}), {tail} {sentence(rng, 4)}"))
+    got = {r["doc_id"]: r for r in pii.personal_data(frame(spark, rows)).collect()}
+    for i, t in rows:
+        spans = [t[s["start"] : s["stop"]] for s in got[i]["added"]]
+        assert spans == (re.findall(r"ext-\d+|acc\d+-\d+", t) if i >= 1000 else [])
+        assert len(got[i]["base"]) == (i < 1000)
+
+
+def test_overlapping_base_spans_are_one_seed(spark):
+    rows = [(k, f"aa bb {who} cc") for k, who in enumerate(("10.0.0.1@x.yz", "10.0.0.2@x.yz", "id-123456"))]
+    assert not any(r["added"] for r in pii.personal_data(frame(spark, rows)).collect())
+
+
 def test_op9_digest(spark, tmp_path):
     rows = [(1, "mail a@b.cd now"), (2, None)]
     frame(spark, rows, extra=False).write.parquet(str(tmp_path / "documents.parquet"))
