@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -217,14 +218,9 @@ def logistic(x: np.ndarray, q: np.ndarray, ridge: float = 2.0, rounds: int = 25)
     return w[:-1], float(w[-1])
 
 
-def least_shingle(text: str) -> int:
-    """The smallest hash of three words in a row: the same for copies, and mostly for near copies."""
-    import xxhash
-
-    words = WORD.findall(text.lower())
-    if len(words) < 3:
-        return xxhash.xxh3_64_intdigest(" ".join(words)) >> 1
-    return min(xxhash.xxh3_64_intdigest(" ".join(words[k : k + 3])) for k in range(len(words) - 2)) >> 1
+def digest(text: str) -> bytes:
+    """The same for copies that differ in white space at most; case and marks are evidence and make others."""
+    return hashlib.blake2b(" ".join(text.split()).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def sampled(rows: DataFrame, labels: DataFrame, training: Column, labelled: int, unlabelled: int) -> DataFrame:
@@ -241,10 +237,10 @@ def sampled(rows: DataFrame, labels: DataFrame, training: Column, labelled: int,
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([least_shingle(t.as_py()) for t in b.column("text")], pa.int64())], ["text", "label", "sign"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([digest(t.as_py()) for t in b.column("text")], pa.binary())], ["text", "label", "sign"])
 
-    # A text that was copied a thousand times teaches as much as one copy: the least of near copies, in any run.
-    return drawn.mapInArrow(sign, "text string, label int, sign long").groupBy("sign", "label").agg(F.min("text").alias("text")).select("text", "label")
+    # A text that was copied a thousand times teaches as much as one copy: the least of them, in any run.
+    return drawn.mapInArrow(sign, "text string, label int, sign binary").groupBy("sign", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
 def find_entries(sample: DataFrame) -> dict[str, int]:

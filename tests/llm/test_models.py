@@ -129,6 +129,16 @@ def test_toxicity_awkward(spark):
     assert toxicity.toxicity(frame(spark, []), none, toxicity.fold_held_out()).count() == 0
 
 
+def test_sample_folds_copies_alone(spark):
+    rng = random.Random(9)
+    passage = "a passage that many documents share word for word " * 2
+    texts = [f"{sentence(rng, 30)} {passage}{sentence(rng, 30)}" for _ in range(60)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, t) for k, t in enumerate(texts[:20])] + [(200 + k, f" {texts[k]}".replace(" ", "\n ")) for k in range(20)]
+    lab = spark.createDataFrame([(i, i % 100 % 2) for i, _ in rows], "doc_id long, label int")
+    got = toxicity.sampled(spark.createDataFrame(rows, "doc_id long, text string"), lab, F.lit(True), 30_000, 10_000).collect()
+    assert Counter(" ".join(r["text"].split()) for r in got) == Counter(" ".join(t.split()) for t in texts)
+
+
 def test_hits_are_the_same_with_remembered_words_and_case_counts_are_exact():
     texts = ["", "You ARE scum_trash!! 123 idiot's", "ÉÀß Ǆǅ ΑΒΓαβγ 你好 İ", "eres tonto", "plain words plain words", "scummy idiotic"]
     entries = {"w:trash": 0, "s:idiot": 1, "w:tonto": 2, "s:plai": 3}
