@@ -135,15 +135,103 @@ def test_sample_folds_copies_alone(spark):
     texts = [f"{sentence(rng, 30)} {passage}{sentence(rng, 30)}" for _ in range(60)]
     rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, t) for k, t in enumerate(texts[:20])] + [(200 + k, f" {texts[k]}".replace(" ", "\n ")) for k in range(20)]
     lab = spark.createDataFrame([(i, i % 100 % 2) for i, _ in rows], "doc_id long, label int")
-    got = toxicity.sampled(spark.createDataFrame(rows, "doc_id long, text string"), lab, F.lit(True), 30_000, 10_000).collect()
+    got = toxicity.sampled(spark.createDataFrame(rows, "doc_id long, text string"), lab, 30_000).collect()
     assert Counter(" ".join(r["text"].split()) for r in got) == Counter(" ".join(t.split()) for t in texts)
 
 
 def test_hits_are_the_same_with_remembered_words_and_case_counts_are_exact():
-    texts = ["", "You ARE scum_trash!! 123 idiot's", "ÉÀß Ǆǅ ΑΒΓαβγ 你好 İ", "eres tonto", "plain words plain words", "scummy idiotic"]
-    entries = {"w:trash": 0, "s:idiot": 1, "w:tonto": 2, "s:plai": 3}
+    texts = ["", "You ARE scum_trash!! 123 idiot's", "ÉÀß Ǆǅ ΑΒΓαβγ 你好 İ", "eres tonto", "plain words plain words", "scummy idiotic"]
+    table = {"w:trash": ((1, 5),), "s:idiot": ((1, 6), (2, 7)), "w:tonto": ((1, 8),), "s:plai": ((2, 9), (3, 10))}
     blank: set[str] = set()
     for t in texts * 2:
-        assert (toxicity.hits(t, entries, blank) == toxicity.hits(t, entries)).all()
+        assert toxicity.hits(t, table, blank) == toxicity.hits(t, table)
         assert toxicity.cases(t) == (sum(c.isupper() for c in t), sum(c.islower() for c in t))
+        brute = toxicity.counted(t)
+        assert [k for k in toxicity.hits(t, table) if k >= 5] == sorted(k for m, x in table.items() for level, k in x if brute.get(m, 0) >= level)
     assert "words" in blank and "plain" not in blank and not any(w in blank for w in ("scum_trash!!", "idiot's"))
+
+
+def test_toxicity_by_repetition(spark):
+    """A mark that clean texts hold once, and toxic ones several times, tells them apart."""
+    rng = random.Random(3)
+    common = [sentence(rng, 1) for _ in range(200)]
+    docs, labels = [], []
+    for k in range(1200):
+        bad = k % 6 == 0
+        w = [rng.choice(common) for _ in range(40)] + ["vexorium"] * (3 if bad else rng.random() < 0.4)
+        rng.shuffle(w)
+        docs.append((k, " ".join(w)))
+        labels.append((k, 1, int(bad)))
+    got = toxicity.toxicity(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), toxicity.fold_held_out()).collect()
+    assert all(r["predicted"] == (r["doc_id"] % 6 == 0) for r in got)
+
+
+def synthetic_votes(seed, n=12_000):
+    """Rows of votes with their truth: a strong voter, two fair ones, a weak one and two that copy it."""
+    rng = np.random.default_rng(seed)
+    truth = rng.random(n) < 0.3
+    rate = [(0.70, 0.01), (0.60, 0.05), (0.55, 0.05), (0.45, 0.15)]
+    cast = [rng.random(n) < np.where(truth, a, b) for a, b in rate]
+    columns = [*cast, cast[3] ^ (rng.random(n) < 0.01), cast[3] ^ (rng.random(n) < 0.01)]
+    return truth, [[v for v in range(6) if columns[v][k]] or [6] for k in range(n)]
+
+
+def patterns_of(spark, votes, given):
+    counts = Counter((tuple(v), g) for v, g in zip(votes, given, strict=True))
+    return spark.createDataFrame([(list(v), g, n) for (v, g), n in sorted(counts.items())], "votes array<int>, given int, n long")
+
+
+def test_label_model_finds_accuracies_and_copies_without_labels(spark):
+    truth, votes = synthetic_votes(4)
+    model = toxicity.LabelModel(np.full(7, -1)).fit(patterns_of(spark, votes, [-1] * len(votes)), rounds=40)
+    true = [np.mean([truth[k] for k, v in enumerate(votes) if x in v]) for x in range(6)]
+    assert np.abs(model.accuracies[:6] - true).max() < 0.06, (model.accuracies, true)
+    assert abs(model.prior - truth.mean()) < 0.05
+    edges = {frozenset((v, int(p))) for v, p in enumerate(model.parent) if p >= 0}
+    assert len(edges & {frozenset(x) for x in ((3, 4), (3, 5), (4, 5))}) == 2  # copies are each other's kin
+    # Three copies say hardly more than one of them.
+    one, three = (model.posterior(toxicity.Sparse.of([x], 7), np.asarray([-1]))[0] for x in ([3], [3, 4, 5]))
+    strong = model.posterior(toxicity.Sparse.of([[0]], 7), np.asarray([-1]))[0]
+    assert strong > 0.9 and three < 0.75, (one, three, strong)
+
+
+def test_label_model_finds_wrong_labels(spark):
+    truth, votes = synthetic_votes(5)
+    rng = np.random.default_rng(6)
+    given = np.where(rng.random(len(truth)) < 0.1, ~truth, truth).astype(int)
+    given[rng.random(len(truth)) < 0.5] = -1
+    model = toxicity.LabelModel(np.full(7, -1)).fit(patterns_of(spark, votes, given.tolist()))
+    assert np.abs(model.gold - [[0.9, 0.1], [0.1, 0.9]]).max() < 0.03
+    q = model.posterior(toxicity.Sparse.of(votes, 7), given)
+    told = given >= 0
+    assert np.mean((q > 0.5)[told] == truth[told]) > np.mean(given[told] == truth[told])
+
+
+def test_label_model_sums_against_brute_force(spark):
+    _, votes = synthetic_votes(7, 300)
+    given = [k % 3 - 1 for k in range(300)]
+    model = toxicity.LabelModel(np.asarray([-1, 0, 0, 0, 3, 4, -1]))
+    got = model.sums(patterns_of(spark, votes, given), True)
+    q = np.rint(model.posterior(toxicity.Sparse.of(votes, 7), np.asarray(given)) * toxicity.UNIT).astype(int)
+    for a in range(7):
+        rows = [k for k in range(300) if a in votes[k]]
+        assert got.get(a, (0, 0)) == (sum(q[rows]), len(rows) * toxicity.UNIT - sum(q[rows]))
+        for b in range(7):
+            both = [k for k in rows if b in votes[k]]
+            assert got.get(7 * (a + 1) + b, (0, 0)) == (sum(q[both]), len(both) * toxicity.UNIT - sum(q[both]))
+
+
+def test_regression_against_dense_newton():
+    rng = np.random.default_rng(1)
+    lists = [sorted(set(rng.integers(0, 12, rng.integers(0, 5)).tolist())) for _ in range(300)]
+    q = rng.random(300)
+    x = np.zeros((300, 13))
+    x[:, -1] = 1
+    for k, own in enumerate(lists):
+        x[k, own] = 1
+    w, penalty = np.zeros(13), np.asarray([0.5] * 12 + [1e-6])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (p - q) + penalty * w)
+    got, bias = toxicity.regression(toxicity.Sparse.of(lists, 12), q)
+    assert np.allclose([*got, bias], w, atol=1e-5)
