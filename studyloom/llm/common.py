@@ -31,21 +31,40 @@ def drop_path(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def stage(df: DataFrame, label: str, *partition_by: str) -> tuple[DataFrame, str]:
-    """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
+#: Spark's own switch: shuffle files go when the execution that made them ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, label: str, *partition_by: str, compression: str = "zstd") -> tuple[DataFrame, str]:
+    """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors. What was
+    shuffled on the way is deleted as soon as the table stands."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    writer = df.write.mode("overwrite").option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    writer = df.write.mode("overwrite").option("compression", compression)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let the driver forget finished jobs, so that Spark's cleaner removes their shuffle files."""
-    import gc
+class Tables:
+    """The scratch tables of one operator. finish() writes its result as a table and deletes all others."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def stage(self, df: DataFrame, label: str, *partition_by: str) -> DataFrame:
+        out, path = stage(df, label, *partition_by)
+        self.paths.append(path)
+        return out
 
-    gc.collect()
-    spark._jvm.System.gc()
+    def finish(self, df: DataFrame, label: str) -> DataFrame:
+        out, _ = stage(df, label)
+        drop_path(self.spark, *self.paths)
+        return out
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

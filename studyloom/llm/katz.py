@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, doc_text, documents, free_shuffles, slots, stage
+from .common import crc32_of_id, doc_text, documents, drop_path, slots, Tables
 from .words import mixed, pack, unpack, word_hashes
 
 BATCH = 1_000_000
@@ -319,6 +319,22 @@ def add_up_pairs(unigrams: Unigrams) -> Callable:
     return run
 
 
+def sums_of_hot(rows: DataFrame) -> tuple[np.ndarray, Sums]:
+    """The very frequent contexts, fewer than 4 * buckets, and their sums over all buckets."""
+    small = [f"r{r}" for r in range(1, K + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                context, part = unpack(b.column("a")[k].as_py(), True), Sums.load(*(b.column(c)[k].as_py() for c in "bcd"))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (context.astype(np.int64), *part.small.T, part.large, part.lower)], ["context", *small, "large", "lower"])
+
+    each = rows.select("a", "b", "c", "d").mapInArrow(run, f"context long, {', '.join(f'{r} long' for r in small)}, large long, lower double")
+    got = sorted(each.groupBy("context").agg(*[F.sum(c).alias(c) for c in (*small, "large", "lower")]).collect())
+    column = lambda c, kind: np.asarray([r[c] for r in got], kind)
+    return column("context", np.uint64), Sums(np.stack([column(c, np.int64) for c in small], 1), column("large", np.int64), column("lower", np.float64))
+
+
 def scores(rows: DataFrame, first: np.ndarray, unigrams: Unigrams, docs: int, hot: int, hot_sums: tuple[np.ndarray, Sums], discounts: Discounts, buckets: int) -> DataFrame:
     """Each token's log10 probability by backing off from its pair to its word, added up by document."""
     words = unigrams.distinct
@@ -368,11 +384,10 @@ def katz_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     buckets = slots(spark)
     rows = doc_text(docs, id_col, text_col).select("doc_id", held_out.alias("held_out"), "text")
-    tokens, _ = stage(tokens_and_asks(rows, buckets, batch), "katz-tokens", "kind")
-    tokens = tokens.select(*_COLUMNS)
-    unigrams, _ = stage(by(tokens.where(F.col("kind") == ASK), "bucket", "batch").mapInArrow(add_up_words, ROWS), "katz-unigrams", "kind")
-    unigrams = unigrams.select(*_COLUMNS)
-    free_shuffles(spark)
+    tables = Tables(spark)
+    tokens = tables.stage(tokens_and_asks(rows, buckets, batch), "katz-tokens", "kind").select(*_COLUMNS)
+    unigrams = tables.stage(by(tokens.where(F.col("kind") == ASK), "bucket", "batch").mapInArrow(add_up_words, ROWS), "katz-unigrams", "kind").select(*_COLUMNS)
+    drop_path(spark, f"{tables.paths[0]}/kind={ASK}")
     # A row for each bucket, each with its different counts: small beside the corpus, and needed by every task.
     sizes: dict[int, int] = {}
     in_bucket = np.zeros(buckets + 1, np.int64)
@@ -388,22 +403,13 @@ def katz_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     hot = max(1, lower.total // (4 * buckets)) if hot is None else hot
     both = tokens.where(F.col("kind") == TOKENS).unionAll(unigrams.where(F.col("kind") == ANSWER))
     asks = pair_asks(both, first, lower.distinct, n_docs, hot, buckets)
-    bigrams, _ = stage(by(asks, "bucket", "batch").mapInArrow(add_up_pairs(lower), ROWS), "katz-bigrams", "kind")
-    bigrams = bigrams.select(*_COLUMNS)
-    free_shuffles(spark)
+    bigrams = tables.stage(by(asks, "bucket", "batch").mapInArrow(add_up_pairs(lower), ROWS), "katz-bigrams", "kind").select(*_COLUMNS)
     pairs = [0] * (K + 2)
     for r in bigrams.where(F.col("kind") == SUMS).collect():
         pairs = [x + int(y) for x, y in zip(pairs, unpack(bytes(r["a"])), strict=True)]
-    parts: dict[int, list] = {}
-    for r in bigrams.where(F.col("kind") == HOT).collect():  # fewer than 4 * buckets contexts, from each bucket
-        s = Sums.load(bytes(r["b"]), bytes(r["c"]), bytes(r["d"]))
-        for k, v in enumerate(unpack(bytes(r["a"]), True).tolist()):
-            old = parts.setdefault(v, [np.zeros(K, np.int64), 0, 0.0])
-            parts[v] = [old[0] + s.small[k], old[1] + s.large[k], old[2] + s.lower[k]]
-    known = sorted(parts)
-    hot_sums = np.asarray(known, np.uint64), Sums(np.asarray([parts[v][0] for v in known]).reshape(-1, K), np.asarray([parts[v][1] for v in known]), np.asarray([parts[v][2] for v in known]))
+    hot_sums = sums_of_hot(bigrams.where(F.col("kind") == HOT))
     scored = scores(both.unionAll(bigrams.where(F.col("kind") == ANSWER)), first, lower, n_docs, hot, hot_sums, Discounts.of(pairs), buckets)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(lower.total).cast("long").alias("train_tokens"), "base_score", "score")
+    return tables.finish(scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(lower.total).cast("long").alias("train_tokens"), "base_score", "score"), "katz-scores")
 
 
 def fold_held_out() -> Column:

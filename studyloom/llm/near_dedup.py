@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import setsketch
-from .common import doc_text, documents, drop_path, free_shuffles, slots, stage
+from .common import doc_text, documents, drop_path, slots, stage
 from .words import word_hashes
 
 BLOCK = 1024
@@ -290,7 +290,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named, _ = stage(named.select("set_key", "root").join(least, "root").select("set_key", "component_id"), "near-named")
     drop_path(spark, shared_path, star_path, classes_path)
-    free_shuffles(spark)
     full = own.where("n > 0").select("doc_id", "n", "set_key").join(named, "set_key").select("doc_id", "n", "component_id")
     empty = own.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return full.unionAll(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
