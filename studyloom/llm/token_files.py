@@ -18,47 +18,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import doc_text, documents, drop_path, free_shuffles, scratch, slots, stage
+from .common import doc_text, documents, drop_path, scratch, slots, stage
 from .tokenizer_files import default_path, encoder
+from .words import pack, unpack
 
 BLOCK_IDS = 1 << 16
-STAGED = "doc_id long, n_tokens long, ids binary"
+STAGED = "doc_id long, n_tokens long, ids binary, counts binary"
 BLOCKS = "part int, block int, start_in_part long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
-def pack(ids: bytes, width: int) -> bytes:
-    """Ids as zstd-compressed byte planes, which is smaller than the interleaved bytes."""
-    import numpy as np
-    import zstandard
-
-    return zstandard.compress(np.frombuffer(ids, np.uint8).reshape(-1, width).T.tobytes(), 3)
-
-
-def unpack(data: bytes, width: int):
-    import numpy as np
-    import zstandard
-
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(width, -1).T).view(f"<u{width}").ravel()
-
-
 def tokenise(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """A row for each document, and one for each task with how often it met each id (counts, packed)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         enc = encoder(path)
-        width = enc.dtype.itemsize
         end = np.asarray([end_id], enc.dtype).tobytes()
+        total = np.zeros(max(enc.vocab, end_id + 1), np.int64)
         for whole in batches:
             for k in range(0, whole.num_rows, 400):
                 b = whole.slice(k, 400)
-                ids = [x + end for x in enc.ids(b.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([pack(x, width) for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
+                own = [x + end for x in enc.ids(b.column("text").to_pylist())]
+                total += np.bincount(np.frombuffer(b"".join(own), enc.dtype), minlength=len(total))
+                own = [np.frombuffer(x, enc.dtype) for x in own]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(len, own), pa.int64()), pa.array([pack(x) for x in own], pa.binary()), pa.nulls(b.num_rows, pa.binary())], ["doc_id", "n_tokens", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pack(total)], pa.binary())], ["doc_id", "n_tokens", "ids", "counts"])
 
     return doc_text(docs, id_col, text_col).mapInArrow(run, STAGED)
 
 
-def frequencies(staged: DataFrame, width: int) -> DataFrame:
+def frequencies(staged: DataFrame) -> DataFrame:
     """(id, n) over all rows; a task sends each id once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,15 +56,13 @@ def frequencies(staged: DataFrame, width: int) -> DataFrame:
 
         total = np.zeros(0, np.int64)
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                own = np.bincount(np.concatenate([unpack(x.as_py(), width) for x in b.column("ids").slice(k, 500)]))
-                if len(own) > len(total):
-                    own, total = total, own.astype(np.int64)
-                total[: len(own)] += own
+            for x in b.column("counts"):
+                own = unpack(x.as_py())
+                total = own + total if len(total) else own
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    return staged.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return staged.where("counts is not null").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -91,9 +79,9 @@ def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = 2, id_
     spark = docs.sparkSession
     enc = encoder(path)
     width, vocab = enc.dtype.itemsize, max(enc.vocab, end_id + 1)
-    staged, staged_path = stage(tokenise(docs, path, end_id, id_col, text_col), "token-ids")
+    staged, staged_path = stage(tokenise(docs, path, end_id, id_col, text_col), "token-ids", compression="none")
     counts = np.zeros(vocab, np.int64)
-    for i, n in frequencies(staged, width).collect():  # as many rows as the vocabulary at most
+    for i, n in frequencies(staged).collect():  # as many rows as the vocabulary at most
         counts[i] = n
     table = rans.Table.scaled(counts).dump()
     spark.createDataFrame([(bytearray(table), width)], "freq binary, width int").coalesce(1).write.parquet(f"{out}/table")
@@ -121,7 +109,7 @@ def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = 2, id_
         for b in batches:
             for p, i, x in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
                 part = p
-                ids.append((i, unpack(x.as_py(), width)))
+                ids.append((i, unpack(x.as_py())))
                 size += len(ids[-1][1])
                 if size >= BLOCK_IDS:
                     pending.append(ids)
@@ -134,10 +122,9 @@ def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = 2, id_
             yield flush()
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"), F.col("ids")]
-    ordered = staged.select("doc_id", "ids").repartitionByRange(slots(spark), *order[:2]).sortWithinPartitions(*order)
+    ordered = staged.where("ids is not null").select("doc_id", "ids").repartitionByRange(slots(spark), *order[:2]).sortWithinPartitions(*order)
     ordered.withColumn("part", F.spark_partition_id()).mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{out}/blocks")
     drop_path(spark, staged_path)
-    free_shuffles(spark)
 
 
 def read_token_files(spark: SparkSession, out: str, ids: bool = True) -> DataFrame:

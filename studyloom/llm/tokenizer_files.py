@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import struct
 import unicodedata
 from collections.abc import Iterable
 
@@ -78,10 +79,8 @@ class PieceEncoder:
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def _pack(self, ids: Iterable[int]) -> bytes:
-        import numpy as np
-
-        return np.asarray(ids, self.dtype).tobytes()
+    def _pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.dtype.char}", *ids)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if not self.separable:
@@ -98,29 +97,38 @@ class PieceEncoder:
         return out
 
     def _learn(self, missing: set[bytes]) -> None:
-        cache, older, parts = self.cache, self.older, {}
-        for p in missing:
-            if p in older:
-                cache[p] = older[p]
-                continue
-            # Punctuation at the end, after what stays a letter in lower case, is a token run of its own.
-            stem = p.rstrip(MARKS)
-            if stem != p and stem and last_char(stem).lower().isalpha():
-                parts[p] = (stem, p[len(stem) :])
-        needed = [p for p in (missing | {x for two in parts.values() for x in two}) if p not in cache and p not in parts]
-        rest = []
-        for p in needed:
+        cache, older, parts, rest = self.cache, self.older, [], []
+
+        def look(pieces: Iterable[bytes], whole: bool) -> None:
+            for p in pieces:
+                if p in older:
+                    cache[p] = older[p]
+                elif p.isalpha():  # ASCII letters, small ones by now
+                    cache[p] = self._word(p.decode("ascii"))
+                elif whole or (stem := p.rstrip(MARKS)) == p or not stem or not last_char(stem).lower().isalpha():
+                    rest.append(p)
+                else:
+                    # Punctuation at the end, after what stays a letter in lower case, is a token run of its own.
+                    parts.append((p, stem, p[len(stem) :]))
+
+        look(missing, False)
+        look({x for _, *two in parts for x in two}.difference(cache, rest), True)
+        odd = []
+        for p in rest:
             text = p.decode("utf-8")
             if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
-                # One run of small letters passes the library's first steps unchanged, up to the byte alphabet.
-                cache[p] = self._pack([k.id for k in self.model.tokenize(text if text.isascii() else p.decode("latin-1").translate(ALPHABET))])
+                cache[p] = self._word(p.decode("latin-1").translate(ALPHABET))
             else:
-                rest.append(p)
-        for p, ids in zip(rest, self.raw([p.decode("utf-8") for p in rest]) if rest else [], strict=True):
+                odd.append((p, text))
+        for (p, _), ids in zip(odd, self.raw([t for _, t in odd]) if odd else [], strict=True):
             cache[p] = self._pack(ids)
-        for p, (a, b) in parts.items():
+        for p, a, b in parts:
             cache[p] = cache[a] + cache[b]
 
+    def _word(self, text: str) -> bytes:
+        """One run of small letters passes the library's first steps unchanged, up to the byte alphabet."""
+        return self._pack([k.id for k in self.model.tokenize(text)])
+
 
 def last_char(p: bytes) -> str:
     k = len(p) - 1

@@ -27,21 +27,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pack(values: np.ndarray, ascending: bool = False) -> bytes:
-    """Integers or floats as zstd-compressed byte planes; ascending ones as differences."""
+_ZSTD: dict[str, object] = {}
+
+
+def _zstd(kind: str):
+    """This worker's compressor or decompressor: making one takes longer than using it on a short array."""
     import zstandard
 
+    if kind not in _ZSTD:
+        _ZSTD[kind] = zstandard.ZstdCompressor(level=1) if kind == "out" else zstandard.ZstdDecompressor()
+    return _ZSTD[kind]
+
+
+def pack(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Integers or floats as zstd-compressed byte planes; ascending ones as differences."""
     a = np.ascontiguousarray(values)
     if ascending and len(a):
         a = np.concatenate([a[:1], np.diff(a)])
     planes = a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T
-    return a.dtype.char.encode() + zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+    return a.dtype.char.encode() + _zstd("out").compress(planes.tobytes())
 
 
 def unpack(data: bytes, ascending: bool = False) -> np.ndarray:
-    import zstandard
-
     dtype = np.dtype(data[:1].decode())
-    planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(dtype.itemsize, -1)
+    planes = np.frombuffer(_zstd("in").decompress(data[1:]), np.uint8).reshape(dtype.itemsize, -1)
     a = np.ascontiguousarray(planes.T).view(dtype).ravel()
     return np.cumsum(a, dtype=dtype) if ascending else a
