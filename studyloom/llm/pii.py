@@ -1,10 +1,11 @@
 """Personal data: four base kinds by rule, further identifiers by bootstrapped context.
 
-Base spans come from regular expressions and checks of what they match. They are the seeds, with
-white space inside or not: the words around a whole seed make patterns, and patterns, seeds and the
-identifier-like tokens beside base spans that they surround form a graph. Spark scores it in rounds: a pattern is as trustworthy as the instances that it
-surrounds, an instance is as likely as its patterns make it. What stands in a pattern of
-high confidence and is no base span is a new identifier (kind `id`).
+Base spans come from regular expressions and checks of what they match. They are seeds, with white space
+inside or not, and so are key-like tokens (KEY: long runs of letters mixed with digits). The words around a whole seed
+make patterns, and patterns, seeds and the identifier-like tokens that they surround form a graph. Spark scores it in
+rounds: a pattern is as trustworthy as the instances that it surrounds, an instance is as likely as its patterns
+make it. What stands in a pattern of high confidence and is no base span is a new identifier (kind `id`); so a
+key-like token counts only where the corpus shows it in a context of such tokens.
 
 Everything is DataFrame expressions. Matches are placed by the lengths of the pieces between
 them: split() gives the pieces, regexp_extract_all() the matches. The expressions are those
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_text, documents, stage
+from .common import doc_text, documents, Tables
 
 #: The base kinds in their order, and the kind of what the method adds.
 KINDS = ("email", "ip", "card", "phone")
@@ -29,8 +30,10 @@ EMAIL = rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Identifier-like: a token of 6 to 64 characters with four digits or an @ between other characters.
-TOKEN = r"(?<!\S)(?=\S*(?:[0-9]\S*){4}|\S+@\S)\S{6,64}(?!\S)"
+#: Identifier-like: a token of 6 characters or more with four digits or an @ between other characters.
+TOKEN = r"(?<!\S)(?=(?:[^\s0-9]*+[0-9]){4}|\S[^\s@]*+@\S)\S{6,}+"
+#: Key-like, of what is left of a token without marks at its ends: 20 characters or more, four digits and four letters among them.
+KEY = r"^(?=(?:[^0-9]*+[0-9]){4})(?=(?:[^A-Za-z]*+[A-Za-z]){4})[A-Za-z0-9+/_=-]{20,}+$"
 
 
 @dataclass(frozen=True)
@@ -92,10 +95,12 @@ def sides(pairs: Column, piece, matched) -> Column:
 
 
 def contexts(before: Column, after: Column) -> Column:
-    """Two words before; a word before and one after. before is reversed; what touches the match is part of neither."""
+    """Two words before; a word before and one after, of which one has a letter. before is reversed; what touches the match
+    is part of neither."""
     two = F.lower(F.reverse(F.regexp_extract(before, r"^\S* (\S+ \S+)", 1)))
     one, following = F.lower(F.reverse(F.regexp_extract(before, r"^\S* (\S+)", 1))), F.lower(F.regexp_extract(after, r"^\S* (\S+)", 1))
-    return F.filter(F.array(F.when(two != "", F.concat(F.lit("< "), two)), F.when((one != "") & (following != ""), F.concat(one, F.lit(" <> "), following))), lambda c: c.isNotNull())
+    both = F.array(F.when(two != "", F.concat(F.lit("< "), two)), F.when((one != "") & (following != ""), F.concat(one, F.lit(" <> "), following)))
+    return F.filter(both, lambda c: c.rlike(r"\p{L}"))
 
 
 def place(text: Column, pattern: str, build, kind: str) -> Column:
@@ -157,10 +162,11 @@ def seed_edges(seeds: Column) -> Column:
 def trusted(edges: DataFrame, rule: Bootstrap) -> DataFrame:
     """(pattern, confidence) of patterns that may add spans; edges: (pattern, token, seed)."""
     # A token counts once for a pattern, however often it stands there.
-    pairs, _ = stage(edges.groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "pii-graph")
+    tables = Tables(edges.sparkSession)
+    pairs = tables.stage(edges.groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "pii-graph")
     seeds = pairs.groupBy("pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds"), F.count("*").alias("tokens"))
     able = seeds.where(F.col("seeds") >= rule.seeds)
-    graph, _ = stage(pairs.join(able.select("pattern"), "pattern"), "pii-graph")
+    graph = tables.stage(pairs.join(able.select("pattern"), "pattern"), "pii-graph")
     scored = graph.withColumn("score", F.col("seed").cast("double"))
     patterns = None
     for k in range(rule.rounds):
@@ -168,8 +174,8 @@ def trusted(edges: DataFrame, rule: Bootstrap) -> DataFrame:
         if k + 1 < rule.rounds:
             doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
             tokens = graph.join(patterns, "pattern").groupBy("token").agg((1 - doubt).alias("by_patterns"))
-            scored, _ = stage(graph.join(tokens, "token").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.col("by_patterns"))).drop("by_patterns"), "pii-round")
-    return patterns.where(F.col("confidence") >= rule.confidence)
+            scored = tables.stage(graph.join(tokens, "token").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.col("by_patterns"))).drop("by_patterns"), "pii-round")
+    return tables.finish(patterns.where(F.col("confidence") >= rule.confidence), "pii-patterns")
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Bootstrap = Bootstrap()) -> DataFrame:
@@ -185,14 +191,17 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     seeds = F.array_sort(F.concat(*[F.col(k) for k in KINDS]))
     found = rows.select("doc_id", *[base_seeds(text, k).alias(k) for k in KINDS], candidates(text).alias("tokens"))
     found = found.select("doc_id", seeds.alias("seeds"), "tokens").withColumn("base", F.transform("seeds", lambda s: F.struct(s["start"], s["kind"], s["stop"]))).withColumn("row", F.monotonically_increasing_id())
-    found, _ = stage(found, "pii-base")
-    each = found.where(F.size("tokens") > 0).select("row", "base", F.explode("tokens").alias("t")).select("row", "t.*", F.exists("base", lambda s: (s["start"] < F.col("t.stop")) & (s["stop"] > F.col("t.start"))).alias("seed"))
-    edges = each.where(~F.col("seed")).select("row", "start", "stop", "token", F.explode("contexts").alias("pattern"))
-    own = found.where(F.size("seeds") > 0).select(F.explode(seed_edges(F.col("seeds"))).alias("t")).select("t.token", F.explode("t.contexts").alias("pattern"))
-    good = trusted(edges.select("pattern", "token", F.lit(False).alias("seed")).unionAll(own.select("pattern", "token", F.lit(True).alias("seed"))), rule)
-    new = edges.where(F.length("token") > 0).join(good, "pattern").select("row", F.struct(F.col("start"), F.lit(len(KINDS)).alias("kind"), F.col("stop")).alias("span")).groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("added"))
+    tables = Tables(docs.sparkSession)
+    found = tables.stage(found, "pii-base")
+    covered = F.exists("base", lambda s: (s["start"] < F.col("t.stop")) & (s["stop"] > F.col("t.start")))
+    each = found.where(F.size("tokens") > 0).select("row", "base", F.explode("tokens").alias("t")).select("row", "t.*", covered.alias("covered")).where(~F.col("covered"))
+    # Long tokens and contexts stand in the graph by their hashes.
+    edges = each.select("row", "start", "stop", "token", F.explode("contexts").alias("c")).select("row", "start", "stop", F.length("token").alias("size"), F.xxhash64("token").alias("token"), F.col("token").rlike(KEY).alias("seed"), F.xxhash64("c").alias("pattern"))
+    own = found.where(F.size("seeds") > 0).select(F.explode(seed_edges(F.col("seeds"))).alias("t")).select(F.xxhash64("t.token").alias("token"), F.explode("t.contexts").alias("c")).select(F.xxhash64("c").alias("pattern"), "token", F.lit(True).alias("seed"))
+    good = trusted(edges.select("pattern", "token", "seed").unionAll(own), rule)
+    new = edges.where("size > 0").join(good, "pattern").select("row", F.struct(F.col("start"), F.lit(len(KINDS)).alias("kind"), F.col("stop")).alias("span")).groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("added"))
     out = found.join(new, "row", "left")
-    return out.select("doc_id", "base", F.coalesce("added", F.array().cast(SPAN)).alias("added"))
+    return tables.finish(out.select("doc_id", "base", F.coalesce("added", F.array().cast(SPAN)).alias("added")), "pii-spans")
 
 
 def written(spans: Column) -> Column:
@@ -204,4 +213,4 @@ def written(spans: Column) -> Column:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(documents(spark, sf_dir))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.array_sort(F.concat("base", "added"))).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -77,6 +78,39 @@ def test_seeds_with_spaces_make_patterns(spark):
         assert len(got[i]["base"]) == (i < 1000)
 
 
+def test_key_like_tokens_are_seeds_and_found_where_several_stand(spark):
+    rng = random.Random(5)
+    key = lambda n=40: "".join(rng.choice("0123456789abcdef") for _ in range(n - 8)) + "12ab34cd"
+    rows = [(k, f'{sentence(rng, 6)} api secret: "{key()}", {sentence(rng, 3)}') for k in range(6)]
+    rows += [(50, f"{sentence(rng, 6)} API secret: pin-4417-22 {sentence(rng, 3)}")]  # unseen, in the learnt context
+    rows += [(60 + k, f"{sentence(rng, 6)} {key(70 * (k + 1))} {sentence(rng, 3)}") for k in range(3)]  # keys in no common context
+    rows += [(70, f"| 4 | {key()} | 5 |"), (71, f"| 4 | {key()} | 5 |"), (72, f"| 4 | {key()} | 5 |")]  # no words around
+    got = {r["doc_id"]: r for r in pii.personal_data(frame(spark, rows)).collect()}
+    for i, t in rows:
+        found = [t[s["start"] : s["stop"]] for s in got[i]["added"]]
+        assert found == (re.findall(r"[0-9a-f]{40}", t) if i < 50 else ["pin-4417-22"] if i == 50 else [])
+
+
+def test_graph_scores_against_brute_force(spark):
+    rng = random.Random(6)
+    rule = pii.Bootstrap(rounds=4, seeds=2, confidence=0.4)
+    seeds = set(range(12))
+    edges = [(rng.randrange(15), rng.randrange(40)) for _ in range(160)]
+    edges += edges[:30]
+    pairs = set(edges)
+    able = {p for p in range(15) if sum(t in seeds for q, t in pairs if q == p) >= rule.seeds}
+    score = {e: float(e[1] in seeds) for e in pairs if e[0] in able}
+    for k in range(rule.rounds):
+        confidence = {p: sum(x for (q, _), x in score.items() if q == p) / (sum(q == p for q, _ in score) + rule.doubt) for p in able}
+        if k + 1 < rule.rounds:
+            likely = {t: 1 - math.prod(max(1e-9, 1 - confidence[q]) for q, u in score if u == t) for _, t in score}
+            score = {(q, t): 1.0 if t in seeds else likely[t] for q, t in score}
+    df = spark.createDataFrame([(p, t, t in seeds) for p, t in edges], "pattern long, token long, seed boolean")
+    got = {r["pattern"]: r["confidence"] for r in pii.trusted(df, rule).collect()}
+    want = {p: x for p, x in confidence.items() if x >= rule.confidence}
+    assert 0 < len(want) < 15 and set(got) == set(want) and all(abs(got[p] - x) < 1e-9 for p, x in want.items())
+
+
 def test_overlapping_base_spans_are_one_seed(spark):
     rows = [(k, f"aa bb {who} cc") for k, who in enumerate(("10.0.0.1@x.yz", "10.0.0.2@x.yz", "id-123456"))]
     assert not any(r["added"] for r in pii.personal_data(frame(spark, rows)).collect())
