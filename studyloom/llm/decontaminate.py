@@ -33,6 +33,8 @@ SIMILARITY = 0.8
 BITS, BLOCKS, RADIUS = 128, 16, 40
 #: Items' text that one pass over the documents carries; more items take more passes.
 PASS_BYTES = 8 << 20
+#: Windows of a text that are looked at together.
+WINDOWS = 4096
 SCHEMA = "doc_id long, item_id long, similarity double, start_word long, n_words long, distance int"
 find_words = re.compile(r"[^\W_]+").findall
 POPCOUNT = np.asarray([bin(k).count("1") for k in range(256)], np.uint8)
@@ -161,36 +163,43 @@ class Items:
             held = np.zeros(len(words) + 1, np.int64)
             held[[p + 1 for p, _ in places]] = 1
             held = np.cumsum(held)
-            near = np.unique(np.clip((np.asarray([p for p, _ in places])[:, None] - np.arange(reach)[None, :]).ravel(), 0, len(words) - size))
+            # The windows that begin less than `reach` places before a hit.
+            at, last = np.asarray([p for p, _ in places]), len(words) - size
+            within = np.zeros(last + 2, np.int64)
+            np.add.at(within, np.clip(at - reach + 1, 0, last), 1)
+            np.add.at(within, np.clip(at, 0, last) + 1, -1)
+            near = np.flatnonzero(np.cumsum(within) > 0)
             # Common shingles over all shingles can reach the similarity only from here on.
             near = near[(1 + similarity) * (held[near + n] - held[near]) >= similarity * (n + reach) - 1e-9]
-            if not len(near):
-                continue
-            low = int(near[0])
-            prints = fingerprints(words[low : int(near[-1]) + size], near - low, size)
-
-            def keep(k: int, w: int, s: float, m=m, size=size, near=near, prints=prints) -> None:
-                start = int(near[w])
-                if (-s, start) < out.get((m, k), (0, 0, 0))[:2]:
-                    distance = int(POPCOUNT[prints[w] ^ self.prints[m][k]].sum())
-                    out[m, k] = (-s, start, (self.by_size[m][k][0], s, start, size, distance))
-
-            reached = np.zeros((len(near), len(self.prints[m])), bool)
-            for k in range(BLOCKS):
-                reached |= self.index[m][k][prints[:, k]]
-            again = repeating(words, min(SHINGLE, size))[near] < near + n
-            # What exact() counts need not be counted here.
-            reached &= ~again[:, None]
-            reached[:, list(self.repeats[m])] = False
-            for w, k in zip(*np.nonzero(reached), strict=True):
-                if int(POPCOUNT[prints[w] ^ self.prints[m][k]].sum()) > RADIUS:
-                    continue
-                start = int(near[w])
-                s = overlap(Counter(shingles_of(words[start : start + size])), self.by_size[m][k][1])
-                if s >= similarity:
-                    keep(int(k), int(w), s)
-            for k, w, s in self.exact(m, places, near, again, n, similarity):
-                keep(k, w, s)
+            later = repeating(words, min(SHINGLE, size)) if len(near) else None
+            # Piece by piece, so that memory does not grow with the text times the items.
+            for piece in np.split(near, np.flatnonzero(np.diff(near // WINDOWS)) + 1) if len(near) else ():
+                low = int(piece[0])
+                prints = fingerprints(words[low : int(piece[-1]) + size], piece - low, size)
+
+                def keep(k: int, w: int, s: float, m=m, size=size, near=piece, prints=prints) -> None:
+                    start = int(near[w])
+                    if (-s, start) < out.get((m, k), (0, 0, 0))[:2]:
+                        distance = int(POPCOUNT[prints[w] ^ self.prints[m][k]].sum())
+                        out[m, k] = (-s, start, (self.by_size[m][k][0], s, start, size, distance))
+
+                reached = np.zeros((len(piece), len(self.prints[m])), bool)
+                for k in range(BLOCKS):
+                    reached |= self.index[m][k][prints[:, k]]
+                again = later[piece] < piece + n
+                # What exact() counts need not be counted here.
+                reached &= ~again[:, None]
+                reached[:, list(self.repeats[m])] = False
+                for w, k in zip(*np.nonzero(reached), strict=True):
+                    if int(POPCOUNT[prints[w] ^ self.prints[m][k]].sum()) > RADIUS:
+                        continue
+                    start = int(piece[w])
+                    s = overlap(Counter(shingles_of(words[start : start + size])), self.by_size[m][k][1])
+                    if s >= similarity:
+                        keep(int(k), int(w), s)
+                inside = [x for x in places if low <= x[0] < int(piece[-1]) + n]
+                for k, w, s in self.exact(m, inside, piece, again, n, similarity):
+                    keep(k, w, s)
         return [x[2] for x in out.values()]
 
 
