@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, doc_text, documents, slots, stage
+from .common import ascii_lower, doc_text, documents, slots, Tables
 
 DIGIT = 4
 DEEPEST = 15
 LEAF_BYTES = 16 << 20
 #: A task's own table is emptied when its contents reach this size, a group when it has so many ids.
 LOCAL_BYTES, GROUP_IDS = 16 << 20, 4096
+#: What an entry takes besides its content.
+ENTRY_BYTES = 200
 LOCAL = "group_key long, hash long, content string, doc_ids array<long>, best_at int, best_id long, n long"
 VERDICT = "group_key long, keep_id long, group_size long, wins boolean"
 
@@ -89,7 +91,8 @@ def fold_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             e, new = table.place(h, content)
             if new:
                 table.values[e] = []
-                size += len(content)
+                size += len(content) + ENTRY_BYTES
+            size += 8
             table.values[e].append(i)
             if len(table.values[e]) >= GROUP_IDS:
                 full.append((h, content, table.values[e]))
@@ -134,7 +137,7 @@ def leaf_column(groups: DataFrame, leaf_bytes: int):
     """Each row's leaf: the hash's leading digits, as many as its bucket needs to fit."""
     digits = lambda d: F.shiftrightunsigned("hash", 64 - DIGIT * d)
     # Distinct contents only; equal ones take one entry. Hash and length stand for the content here.
-    sizes = groups.groupBy("hash").agg(F.max(F.octet_length("content")).cast("long").alias("bytes"))
+    sizes = groups.groupBy("hash").agg((F.max(F.octet_length("content")).cast("long") + F.lit(ENTRY_BYTES) * F.count("*")).alias("bytes"))
     total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     depth = 1
     while (1 << DIGIT * depth) * leaf_bytes < 2 * total and depth < DEEPEST:
@@ -162,12 +165,13 @@ def grace_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     rows = doc_text(docs, id_col, text_col).select("doc_id", ascii_lower(F.col("text")).alias("content"))
     folded = rows.withColumn("hash", F.xxhash64("content")).mapInArrow(fold_locally, LOCAL)
-    groups, _ = stage(folded.withColumn("text_sha256", F.sha2("content", 256)), "dedup-groups")
+    tables = Tables(spark)
+    groups = tables.stage(folded.withColumn("text_sha256", F.sha2("content", 256)), "dedup-groups")
     leaves = groups.select(leaf_column(groups, leaf_bytes).alias("leaf"), "group_key", "hash", "content", "best_id", "n")
     verdicts = leaves.repartition(slots(spark), "leaf").sortWithinPartitions("leaf", "group_key").mapInArrow(judge_leaves, VERDICT)
     found = groups.select("group_key", "doc_ids", "best_at", "text_sha256").join(verdicts, "group_key")
     each = found.select(F.posexplode("doc_ids").alias("at", "doc_id"), "keep_id", "group_size", "wins", "best_at", "text_sha256")
-    return each.select("doc_id", "keep_id", "group_size", (F.col("wins") & (F.col("at") == F.col("best_at"))).alias("kept"), "text_sha256")
+    return tables.finish(each.select("doc_id", "keep_id", "group_size", (F.col("wins") & (F.col("at") == F.col("best_at"))).alias("kept"), "text_sha256"), "dedup-verdicts")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

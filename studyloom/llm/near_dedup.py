@@ -2,8 +2,9 @@
 
 1. Each document becomes the set of its word shingles (64-bit hashes), the set a sketch.
    Equal sets are one class; from here on classes stand for their documents.
-2. Bands of registers are bucket keys. In each bucket every class is paired with the smallest
-   one (star), the pair's similarity is estimated by likelihood, and what can be a link is
+2. Bands of registers are bucket keys. Each bucket is dealt to parts, and those to smaller parts; every class is
+   paired with the smallest one of its part, and these among each other likewise, so a bucket of N classes has hubs of N / FAN**2
+   and of FAN pairs. A pair's similarity is estimated by likelihood, and what can be a link is
    verified on the full sets. Links give components.
 3. In buckets that still hold several components, all pairs between different components are
    estimated and verified where they lie, in blocks of at most BLOCK by BLOCK, so no task holds
@@ -23,15 +24,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import setsketch
-from .common import doc_text, documents, drop_path, slots, stage
+from .common import doc_text, documents, drop_path, slots, stage, Tables
 from .words import word_hashes
 
 BLOCK = 1024
-#: Members verified against one hub by one sorted run.
-RUN = 256
+#: A bucket has so many parts, and each of these as many.
+FAN = 64
 MARGIN = 5.0
 #: Equal registers are at least as probable as the similarity; that share is looked at before the likelihood.
 ROUGH = MARGIN * 0.5 / setsketch.REGISTERS**0.5
@@ -125,31 +127,28 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int,
     """Of (a, b), the links: den * |intersection| >= num * |union| on full sets. Texts are read again for the
     classes at hand; a text whose set is another one (its id stands for several texts) is passed over."""
     texts, path = stage(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), classes, rows), "near-texts")
-    runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs"))
-    members = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), "runs").cast("int").alias("run"), "b")
-    hubs = runs.select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run")).withColumn("b", F.col("a"))
-    sides = members.unionByName(hubs)
+    sides = pairs.unionByName(pairs.select("a", F.col("a").alias("b")).distinct())
     with_text = sides.join(texts.withColumnRenamed("node", "b"), "b").withColumn("member", F.col("a") != F.col("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, hub = None, None
         for x in batches:
             links: tuple[list[int], list[int]] = ([], [])
-            for a, r, b, key, text in zip(*(x.column(c) for c in ("a", "run", "b", "set_key", "text")), strict=True):
-                own = shingle_set(text.as_py(), width)
+            for a, b, key, text in zip(*(x.column(c) for c in ("a", "b", "set_key", "text")), strict=True):
+                a, b, own = a.as_py(), b.as_py(), shingle_set(text.as_py(), width)
                 if set_key(own) != key.as_py():
                     continue
                 if a == b:
-                    at, hub = (a, r), own
-                elif at == (a, r):
+                    at, hub = a, own
+                elif at == a:
                     common = len(np.intersect1d(hub, own, assume_unique=True))
                     if den * common >= num * (len(hub) + len(own) - common):
-                        links[0].append(a.as_py())
-                        links[1].append(b.as_py())
+                        links[0].append(a)
+                        links[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(links[0], pa.int64()), pa.array(links[1], pa.int64())], ["a", "b"])
 
-    ordered = with_text.repartition(slots(rows.sparkSession), "a", "run").sortWithinPartitions("a", "run", "member")
-    links, _ = stage(ordered.select("a", "run", "b", "set_key", "text").mapInArrow(run, "a long, b long").distinct(), "near-links")
+    ordered = with_text.repartition(slots(rows.sparkSession), "a").sortWithinPartitions("a", "member")
+    links, _ = stage(ordered.select("a", "b", "set_key", "text").mapInArrow(run, "a long, b long").distinct(), "near-links")
     drop_path(rows.sparkSession, path)
     return links
 
@@ -181,27 +180,33 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def star_pairs(shared: DataFrame) -> DataFrame:
-    """Each class with the smallest one of each of its buckets."""
-    hubs = shared.groupBy("band").agg(F.min("node").alias("a"))
-    return shared.join(hubs, "band").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    """(a, b): each class with the smallest one of its part of its bucket, and those with the smallest one of theirs, up to
+    the bucket's."""
+    rows, pairs = shared.select("band", F.pmod(F.xxhash64("node"), F.lit(FAN * FAN)).alias("part"), "node"), None
+    for level in range(3):
+        placed = rows.withColumn("a", F.min("node").over(W.partitionBy("band", "part")))
+        own = placed.where("node <> a").select("a", F.col("node").alias("b"))
+        pairs = own if pairs is None else pairs.unionAll(own)
+        rows = placed.where("node = a").select("band", F.floor(F.col("part") / FAN).alias("part") if level == 0 else F.lit(0).alias("part"), "node")
+    return pairs.distinct()
 
 
 def between_components(shared: DataFrame, roots: DataFrame, classes: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(a, b): links between classes of one bucket but different components, as many as connect what is linked
-    in a block; pairs with the bucket's smallest class were tested as a star."""
+    in a block."""
     labelled = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.min("node").alias("hub")).where("low <> high and size > 2")
-    members = labelled.join(mixed.select("band", "size", "hub"), "band")
+    mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2")
+    members = labelled.join(mixed.select("band", "size"), "band")
     members = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = members.select("band", "hub", "node", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt, path = stage(dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "hub", "node", "root", "own"), "near-dealt")
+    dealt = members.select("band", "node", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt, path = stage(dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "root", "own"), "near-dealt")
     texts = texts_of(dealt.select("node"), classes, rows)
     full = dealt.join(classes.select("node", "sketch", "n"), "node").join(texts, "node")
 
     def links_of(held: list[tuple]) -> tuple[list[int], list[int]]:
-        low, high, hub = held[0][1], held[0][2], held[0][3]
-        node, root, own, n = (np.asarray([r[k] for r in held]) for k in (4, 5, 6, 10))
-        regs = np.frombuffer(b"".join(r[7] for r in held), np.uint16).reshape(len(held), -1)
+        low, high = held[0][1], held[0][2]
+        node, root, own, n = (np.asarray([r[k] for r in held]) for k in (3, 4, 5, 9))
+        regs = np.frombuffer(b"".join(r[6] for r in held), np.uint16).reshape(len(held), -1)
         keys = setsketch.band_keys(regs)
         here = int(np.flatnonzero(keys[0] == held[0][0])[0])
         sets: dict[int, np.ndarray | None] = {}
@@ -214,13 +219,13 @@ def between_components(shared: DataFrame, roots: DataFrame, classes: DataFrame,
 
         def set_of(k: int) -> np.ndarray | None:
             if k not in sets:
-                s = shingle_set(held[k][9], width)
-                sets[k] = s if set_key(s) == held[k][8] else None
+                s = shingle_set(held[k][8], width)
+                sets[k] = s if set_key(s) == held[k][7] else None
             return sets[k]
 
         out: tuple[list[int], list[int]] = ([], [])
-        right = np.flatnonzero((own == high) & (node != hub))
-        for i in np.flatnonzero((own == low) & (node != hub)).tolist():
+        right = np.flatnonzero(own == high)
+        for i in np.flatnonzero(own == low).tolist():
             k = right[(root[right] != root[i]) & ((low != high) | (right > i))]
             # Tested here if this is the first bucket that the two share.
             k = k[~(keys[k, :here] == keys[i, :here]).any(1)]
@@ -248,7 +253,7 @@ def between_components(shared: DataFrame, roots: DataFrame, classes: DataFrame,
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for x in batches:
-            for row in zip(*(x.column(c).to_pylist() for c in ("band", "low", "high", "hub", "node", "root", "own", "sketch", "set_key", "text", "n")), strict=True):
+            for row in zip(*(x.column(c).to_pylist() for c in ("band", "low", "high", "node", "root", "own", "sketch", "set_key", "text", "n")), strict=True):
                 if held and row[:3] != held[0][:3]:
                     yield flush()
                     held = []
@@ -257,7 +262,7 @@ def between_components(shared: DataFrame, roots: DataFrame, classes: DataFrame,
             yield flush()
 
     ordered = full.repartition(slots(rows.sparkSession), "band", "low", "high").sortWithinPartitions("band", "low", "high", "node")
-    links, _ = stage(ordered.select("band", "low", "high", "hub", "node", "root", "own", "sketch", "set_key", "text", "n").mapInArrow(run, "a long, b long").distinct(), "near-links")
+    links, _ = stage(ordered.select("band", "low", "high", "node", "root", "own", "sketch", "set_key", "text", "n").mapInArrow(run, "a long, b long").distinct(), "near-links")
     drop_path(rows.sparkSession, path)
     return links
 
@@ -274,25 +279,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     spark = docs.sparkSession
     share = num / den
     rows = doc_text(docs, id_col, text_col)
-    own, _ = stage(sketched(rows, width), "near-sketches")
+    tables = Tables(spark)
+    own = tables.stage(sketched(rows, width), "near-sketches")
     grouped = own.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes, classes_path = stage(grouped.withColumn("node", F.monotonically_increasing_id()), "near-classes")
+    classes = tables.stage(grouped.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     bands = bands_of(classes)
     crowded = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
-    shared, shared_path = stage(bands.join(crowded, "band"), "near-bands")
-    star, star_path = stage(estimated(star_pairs(shared), classes, share), "near-pairs")
-    links = verified(star, classes, rows, width, num, den)
-    roots, _ = stage(components(links), "near-roots")
+    shared = tables.stage(bands.join(crowded, "band"), "near-bands")
+    star = tables.stage(estimated(star_pairs(shared), classes, share), "near-pairs")
+    roots = tables.stage(components(verified(star, classes, rows, width, num, den)), "near-roots")
     more = between_components(shared, roots, classes, rows, width, num, den)
     if not more.isEmpty():
-        roots, _ = stage(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)), "near-roots")
+        roots = tables.stage(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)), "near-roots")
     named = classes.select("set_key", "least_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named, _ = stage(named.select("set_key", "root").join(least, "root").select("set_key", "component_id"), "near-named")
-    drop_path(spark, shared_path, star_path, classes_path)
+    named = tables.stage(named.select("set_key", "root").join(least, "root").select("set_key", "component_id"), "near-named")
     full = own.where("n > 0").select("doc_id", "n", "set_key").join(named, "set_key").select("doc_id", "n", "component_id")
     empty = own.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return full.unionAll(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return tables.finish(full.unionAll(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "near-groups")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,8 +52,9 @@ def count_tokens(docs: DataFrame, cache_path: str, path: str, id_col: str = "doc
     spark = docs.sparkSession
     version = version_digest(path)
     rows = doc_text(docs, id_col, text_col)
-    keyed = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2(normalised(F.col("text"), path), 256)).alias("content_digest"), "text")
+    digest = F.unhex(F.sha2(normalised(F.col("text"), path), 256)).alias("content_digest")
     cache = read_cache(spark, cache_path, version)
+    keyed = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest, "text")
     missing = keyed.select("content_digest", "text").join(cache.select("content_digest"), "content_digest", "left_anti")
     # One text for each digest; copies meet before the shuffle, so a large group costs a row per task.
     distinct = missing.groupBy("content_digest").agg(F.first("text").alias("text"))

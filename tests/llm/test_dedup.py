@@ -105,7 +105,7 @@ def test_near_duplicates(spark):
 
 def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
-    monkeypatch.setattr(near_dedup, "RUN", 3)
+    monkeypatch.setattr(near_dedup, "FAN", 3)
     rows = near_rows(6)
     got = near_dedup.near_duplicates(frame(spark, rows), 3, 85, 100).collect()
     assert Counter(map(tuple, got)) == brute_near(rows, 3, 85, 100)
