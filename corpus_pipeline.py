@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyloom.llm.byte_bpe import encode_digests
-from studyloom.llm.common import stage
+from studyloom.llm.common import ascii_lower, drop_path, stage
 from studyloom.llm.decontaminate import contaminated
 from studyloom.llm.exact_dedup import grace_dedup
 from studyloom.llm.near_dedup import near_duplicates
@@ -38,22 +38,21 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found, _ = stage(grace_dedup(docs), "pipeline-exact")
-    # Where several rows have an id that stays, their texts decide; those are few.
-    several = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    kept = found.where("kept").select("doc_id", "text_sha256")
-    plain = keep(keep(docs, kept), several, "left_anti")
-    again = keep(keep(docs, several), kept)
-    content = F.sha2(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
-    same = kept.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = again.withColumn("_sha_own", content)
-    matched = marked.join(same.distinct(), marked["doc_id"].eqNullSafe(same["_id"]) & (F.col("_sha_own") == F.col("_sha")), "left_semi")
-    return plain.unionByName(matched.dropDuplicates(["doc_id", "_sha_own"]).drop("_sha_own"))
+    found = grace_dedup(docs)
+    kept = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    content = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)
+    marked = docs.withColumn("_sha_own", content)
+    same = marked["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_sha_own") == F.col("_sha"))
+    stays = marked.join(kept, same, "left_semi")
+    # Rows that share an id and a text with the one that stays; those are few.
+    twice = found.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    again = stays["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_sha_own") == F.col("_sha"))
+    single, several = stays.join(twice, again, "left_anti"), stays.join(twice, again, "left_semi").dropDuplicates(["doc_id", "_sha_own"])
+    return single.unionByName(several).drop("_sha_own")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found, _ = stage(near_duplicates(docs, width=5, num=80, den=100).where("kept").select("doc_id"), "pipeline-near")
-    return keep(docs, found)
+    return keep(docs, near_duplicates(docs, width=5, num=80, den=100).where("kept").select("doc_id"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +68,10 @@ STAGES = [("toxicity", toxic), ("exact_dedup", exact), ("near_dedup", near), ("d
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, function in STAGES[:-1]:
-        docs, _ = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, new = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        if path:
+            drop_path(spark, path)
+        path = new
     return STAGES[-1][1](spark, docs, sf_dir)
