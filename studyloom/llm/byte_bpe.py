@@ -24,8 +24,8 @@ from .tokenizer_files import default_path
 SCHEMA = "doc_id long, ids array<int>, decoded binary"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Pieces and pairs remembered by one worker at most; beyond that it starts anew.
-CACHE_PIECES = 900_000
-CACHE_PAIRS = 1_000_000
+CACHE_PIECES = 450_000
+CACHE_PAIRS = 300_000
 LONG_TEXT, LONG_PIECE = 10_000, 1_000
 _LOADED: dict = {}
 

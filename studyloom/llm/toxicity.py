@@ -42,7 +42,7 @@ STEMS = (4, 5, 6)
 ASCII_UPPER, ASCII_LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 BEYOND_ASCII = re.compile(r"[^\x00-\x7f]+")
 #: Pieces of text (of at most so many characters) that a worker remembers at most as holding no mark of the last table.
-BLANKS, BLANK_LENGTH = 300_000, 60
+BLANKS, BLANK_LENGTH = 200_000, 60
 _BLANK: dict[int, set[str]] = {}
 #: Labels are first taken to be right so often, as firmly as if so many labels had shown it.
 GOLD, GOLD_ROWS = 0.95, 20.0

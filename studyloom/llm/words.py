@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 _HASHES: dict[bytes, int] = {}
 
 
