@@ -236,28 +236,47 @@ def hypervolume(spark, sf):
     return rounded(pareto.hypervolume(part_points(spark, sf), [2000.0, 0.0]), "hypervolume", to=4)
 
 
-@query(
-    'WITH RECURSIVE p AS (SELECT CAST(s_nationkey AS INTEGER) AS "group", s_suppkey AS id, s_acctbal AS o0, CAST(s_suppkey % 7 AS DOUBLE) AS o1 FROM supplier), r AS (SELECT "group", id, o0, o1, 0 AS rank FROM p UNION SELECT b."group", b.id, b.o0, b.o1, r.rank + 1 FROM r JOIN p b ON b."group" = r."group" AND r.o0 <= b.o0 AND r.o1 <= b.o1 AND (r.o0 < b.o0 OR r.o1 < b.o1)) SELECT "group", id, o0, o1, max(rank) AS rank FROM r GROUP BY ALL'
-)
+RANKS = 'WITH RECURSIVE p AS (SELECT CAST(s_nationkey AS INTEGER) AS "group", s_suppkey AS id, s_acctbal AS o0, CAST(s_suppkey % 7 AS DOUBLE) AS o1 FROM supplier), r AS (SELECT "group", id, o0, o1, 0 AS rank FROM p UNION SELECT b."group", b.id, b.o0, b.o1, r.rank + 1 FROM r JOIN p b ON b."group" = r."group" AND r.o0 <= b.o0 AND r.o1 <= b.o1 AND (r.o0 < b.o0 OR r.o1 < b.o1)) SELECT "group", id, o0, o1, max(rank) AS rank FROM r GROUP BY ALL'
+
+
+@query(RANKS)
 def non_dominated_ranks(spark, sf):
     s = table(spark, sf, "supplier").withColumn("m", F.col("s_suppkey") % 7)
     return pareto.ranks(pareto.objectives(s, "s_nationkey", "s_suppkey", [("s_acctbal", MINIMIZE), ("m", MINIMIZE)])).select("group", "id", "o0", "o1", "rank")
 
 
-@query(None)
+#: One objective's part of the crowding: the neighbours' distance over the rank's span, infinite at the ends.
+CROWD = "coalesce((lead({c}) OVER ({w} ORDER BY {c}, id) - lag({c}) OVER ({w} ORDER BY {c}, id)) / greatest(max({c}) OVER ({w}) - min({c}) OVER ({w}), 1e-12), 'infinity'::DOUBLE)"
+WITHIN = 'PARTITION BY "group", rank'
+
+
+@query(f"""SELECT "group", id, o0, o1, rank, CASE WHEN count(*) OVER ({WITHIN}) <= 2 THEN 'infinity'::DOUBLE ELSE {CROWD.format(c="o0", w=WITHIN)} + {CROWD.format(c="o1", w=WITHIN)} END AS crowding FROM ({RANKS}) ranked""")
 def crowding_distances(spark, sf):
     return pareto.crowding(non_dominated_ranks(spark, sf))
 
 
-@query(None)
+@query(f"""SELECT "group", id, rank, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY "group" ORDER BY rank, crowding DESC, id) AS INTEGER) AS place FROM (SELECT *, CASE WHEN count(*) OVER ({WITHIN}) <= 2 THEN 'infinity'::DOUBLE ELSE {CROWD.format(c="o0", w=WITHIN)} + {CROWD.format(c="o1", w=WITHIN)} END AS crowding FROM ({RANKS}) ranked) crowded) placed WHERE place <= 2""")
+def elite(spark, sf):
+    return pareto.elite(crowding_distances(spark, sf), 2).select("group", "id", "rank", "place")
+
+
+@query(
+    'WITH p AS (SELECT p_brand AS "group", p_partkey AS id, CAST(p_retailprice AS DOUBLE) AS o0, -CAST(p_size AS DOUBLE) AS o1 FROM part), q AS (SELECT a."group", a.id, b.o0, b.o1 FROM p a JOIN p b ON a."group" = b."group" AND b.id <= a.id AND b.o0 < 2000 AND b.o1 < 0), s AS (SELECT *, coalesce(min(o1) OVER (PARTITION BY "group", id ORDER BY o0, o1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM q), v AS (SELECT "group", id, sum((2000 - o0) * greatest(top - o1, 0)) AS volume FROM s GROUP BY ALL) SELECT p."group", p.id, round(coalesce(volume, 0), 4) AS hypervolume FROM p LEFT JOIN v ON v."group" = p."group" AND v.id = p.id'
+)
 def hypervolume_history(spark, sf):
-    return pareto.hypervolume_history(part_points(spark, sf), (2000.0, 0.0))
+    return rounded(pareto.hypervolume_history(part_points(spark, sf), (2000.0, 0.0)), "hypervolume", to=4)
+
 
+#: A uniform number for a sample and an objective, from the low end to the reference.
+DRAW = "(low{k} + ('0x' || substr(md5('0|' || sample || '|o{k}'), 1, 13))::BIGINT / 4503599627370496.0 * ({r} - low{k})) AS s{k}"
 
-@query(None)
+
+@query(
+    f"""WITH p AS (SELECT p_brand AS "group", CAST(p_retailprice AS DOUBLE) AS o0, -CAST(p_size AS DOUBLE) AS o1, CAST(p_partkey AS DOUBLE) AS o2 FROM part), i AS (SELECT * FROM p WHERE o0 < 2100 AND o1 < 0 AND o2 < 1e6), f AS (SELECT DISTINCT "group", o0, o1, o2 FROM i a WHERE NOT EXISTS (SELECT 1 FROM i b WHERE b."group" = a."group" AND b.o0 <= a.o0 AND b.o1 <= a.o1 AND b.o2 <= a.o2 AND (b.o0 < a.o0 OR b.o1 < a.o1 OR b.o2 < a.o2))), l AS (SELECT "group", min(o0) AS low0, min(o1) AS low1, min(o2) AS low2 FROM f GROUP BY 1), d AS (SELECT "group", sample, {DRAW.format(k=0, r="2100.0::DOUBLE")}, {DRAW.format(k=1, r="0.0::DOUBLE")}, {DRAW.format(k=2, r="1e6::DOUBLE")} FROM l, range(20000) t(sample)), h AS (SELECT "group", count(*) AS n FROM d SEMI JOIN f ON d."group" = f."group" AND f.o0 <= d.s0 AND f.o1 <= d.s1 AND f.o2 <= d.s2 GROUP BY 1) SELECT g."group", round(coalesce(coalesce(n, 0) / 20000 * (2100.0 - low0) * (0.0 - low1) * (1e6 - low2), 0), 2) AS hypervolume FROM (SELECT DISTINCT "group" FROM p) g LEFT JOIN l ON l."group" = g."group" LEFT JOIN h ON h."group" = g."group\""""
+)
 def hypervolume_sampled(spark, sf):
     p = pareto.objectives(table(spark, sf, "part"), "p_brand", "p_partkey", [("p_retailprice", MINIMIZE), ("p_size", MAXIMIZE), ("p_partkey", MINIMIZE)])
-    return pareto.hypervolume(p, [2100.0, 0.0, 1e6])
+    return rounded(pareto.hypervolume(p, [2100.0, 0.0, 1e6]), "hypervolume", to=2)
 
 
 # Spaces and proposals.
@@ -443,7 +462,8 @@ def encode_tokens(spark, sf):
     return text.encode(c, "key", "text", vocab, 16).select("key", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 
-@query(None)
+# Modulo 256 only the low bytes of FNV-1a's start and factor count.
+@query("""SELECT p_partkey, CAST(pos - 1 AS INTEGER) AS pos, CAST(list_reduce(list_prepend(37::BIGINT, [CAST(ascii(c) AS BIGINT) for c in string_split(w[pos], '')]), lambda h, c: xor(h, c) * 179 % 256) AS BIGINT) AS bucket FROM (SELECT p_partkey, w, unnest(range(1, least(len(w), 32) + 1)) AS pos FROM (SELECT p_partkey, [lower(x) for x in string_split_regex(p_name, '[^\\p{L}\\p{N}]+') if x <> ''] AS w FROM part))""")
 def hashed_tokens(spark, sf):
     return text.hashed_sequence(table(spark, sf, "part"), "p_partkey", "p_name", 256, 32)
 
