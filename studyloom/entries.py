@@ -143,6 +143,16 @@ def last_reports(spark, sf):
     return history.last_reports(reports(spark, sf), "price")
 
 
+@query(f"{BOTH} SELECT value FROM reports WHERE trial_id = 7 AND step = 1")
+def value_at(spark, sf):
+    return history.value_at(reports(spark, sf), 7, 1, "price")
+
+
+@query(f"{BOTH} SELECT study_id, trial_id, value AS price FROM reports JOIN trials USING (study_id, trial_id) WHERE state <> 'Running' AND step = 2")
+def intermediate_metrics_at(spark, sf):
+    return history.intermediate_metrics_at(reports(spark, sf), trials(spark, sf), 2).select("study_id", "trial_id", F.col("metrics")["price"].alias("price"))
+
+
 # Pruning.
 
 
@@ -285,8 +295,8 @@ def hypervolume_sampled(spark, sf):
 @query("SELECT i, d, round((SELECT sum(((i // CAST(pow(b, k) AS BIGINT)) % b) / pow(b, k + 1)) FROM range(24) t(k)), 9) AS u FROM (SELECT o_orderkey + 6 AS i FROM orders), (VALUES (0, 2), (1, 3), (2, 5)) v(d, b)")
 def halton(spark, sf):
     o = table(spark, sf, "orders").select((F.col("o_orderkey") + 6).alias("i"))
-    each = o.select("i", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(b).alias("b")) for d, b in enumerate((2, 3, 5))])).alias("x"))
-    return each.select("i", "x.d", F.round(C.radical_inverse(F.col("i"), F.col("x.b")), 9).alias("u"))
+    each = o.select("i", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.round(C.radical_inverse(F.col("i"), b), 9).alias("u")) for d, b in enumerate((2, 3, 5))])).alias("x"))
+    return each.select("i", "x.d", "x.u")
 
 
 @query("SELECT o_orderkey AS trial_id, ('0x' || substr(md5('7|' || o_orderkey || '|lr'), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM orders")
@@ -320,9 +330,20 @@ def hyperband_schedule(spark, sf):
     return fidelity.schedule_table(spark, 27, 3)
 
 
+@query(f"WITH {TRIALS} SELECT study_id, trial_id, price, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY study_id ORDER BY price, trial_id) AS INTEGER) AS place FROM trials WHERE state = 'Complete') WHERE place <= 9")
+def survivors(spark, sf):
+    done = trials(spark, sf).where(F.col("state") == "Complete").select("study_id", "trial_id", F.col("final")["price"].alias("price"))
+    return fidelity.survivors(done, ["study_id"], "price", "trial_id", MINIMIZE, 9).select("study_id", "trial_id", "price", "place")
+
+
 # Vectors.
 
 
+@query("SELECT vec_id AS id, row_number() OVER (ORDER BY ('0x' || substr(md5('3|' || vec_id), 1, 13))::BIGINT DESC) <= greatest(1, least(count(*) OVER () - 1, floor(count(*) OVER () * 0.25 + 0.5))) AS held_out FROM embeddings")
+def split_rows(spark, sf):
+    return vectors.split(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id")), 0.25, 3).select("id", "held_out")
+
+
 def embedded(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").cast("long").alias("label"))
 
@@ -468,6 +489,11 @@ def hashed_tokens(spark, sf):
     return text.hashed_sequence(table(spark, sf, "part"), "p_partkey", "p_name", 256, 32)
 
 
+@query("""SELECT p_partkey, CAST(list_reduce(list_prepend(37::BIGINT, [CAST(ascii(c) AS BIGINT) for c in string_split(p_name, '')]), lambda h, c: xor(h, c) * 179 % 256) AS BIGINT) AS bucket FROM part""")
+def hash_buckets(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", C.hash_bucket(F.col("p_name"), 256).alias("bucket"))
+
+
 # Signals, images, schedules.
 
 

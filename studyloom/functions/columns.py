@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,8 +44,12 @@ def snap(raw: Column, low: float, high: float, step: float) -> Column:
 
 
 def radical_inverse(index: Column, base: Column | int) -> Column:
-    """Digits of index in this base, mirrored at the point (van der Corput)."""
-    base = F.lit(base) if isinstance(base, int) else base
+    """Digits of index (0 at least) in this base, mirrored at the point (van der Corput). A base that is a number is
+    the faster one: its digits are plain expressions."""
+    if isinstance(base, int):
+        powers = [base**k for k in range(64) if base**k < 1 << 63]
+        digit = lambda p: F.call_function("div", index.cast("long"), F.lit(p).cast("long")) % base
+        return reduce(lambda x, y: x + y, [digit(p) / float(p * base) for p in powers])
 
     def step(acc: Column, _: Column) -> Column:
         more, f = acc["i"] > 0, acc["f"] / base

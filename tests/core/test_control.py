@@ -209,3 +209,20 @@ def test_parquet_store(spark, tmp_path):
 def test_searches():
     assert search.reinforcement(trials=6).score > 0
     assert search.forecaster(np.sin(np.arange(120) / 5) + np.arange(120) / 100, trials=4, epochs=20).score < 1.5
+
+
+def test_evolution_draws_from_all_finite_trials():
+    space = P.SearchSpace().add("x", D.float(0, 1))
+    done = [(P.ParamSet({"x": k / 40}), (float(k),)) for k in range(40)] + [(P.ParamSet({"x": 0.999}), (-math.inf,)), (P.ParamSet({"x": 0.998}), (math.nan,))]
+    sampler = S.EvolutionSampler(1, mutation=0.0)
+    drawn = {round(sampler.suggest(space, History(done, []), k)["x"] * 40, 6) for k in range(400)}
+    assert max(drawn) >= 20 and max(drawn) < 39.9  # parents beyond the best twenty, none without a finite value
+
+
+def test_anomaly_search(spark):
+    rng = np.random.default_rng(3)
+    near = [(k, rng.uniform(-1, 1, 2).tolist(), False) for k in range(40)]
+    rows = [(100 + k, rng.uniform(-1, 1, 2).tolist(), False) for k in range(20)] + [(200 + k, rng.uniform(8, 12, 2).tolist(), True) for k in range(5)]
+    kind = "id long, v array<double>, label boolean"
+    found = search.anomalies(spark.createDataFrame(near, kind), spark.createDataFrame(rows, kind), trials=6, max_k=4)
+    assert found.score > 0.5
