@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import doc_text, documents
+from .common import doc_text, documents, memory
 from .tokenizer_files import default_path
 
 SCHEMA = "doc_id long, ids array<int>, decoded binary"
@@ -27,7 +27,6 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 CACHE_PIECES = 450_000
 CACHE_PAIRS = 300_000
 LONG_TEXT, LONG_PIECE = 10_000, 1_000
-_LOADED: dict = {}
 
 
 class Ranks:
@@ -158,9 +157,10 @@ class Ranks:
 
 def ranks(path: str, pattern: str) -> Ranks:
     """One vocabulary per worker process and file."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = Ranks(path, pattern)
-    return _LOADED[path, pattern]
+    loaded = memory("ranks")
+    if (path, pattern) not in loaded:
+        loaded[path, pattern] = Ranks(path, pattern)
+    return loaded[path, pattern]
 
 
 def default_pattern() -> str:

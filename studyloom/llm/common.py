@@ -67,6 +67,18 @@ class Tables:
         return out
 
 
+_REMEMBERED: dict[str, dict] = {}
+
+
+def memory(owner: str) -> dict:
+    """What `owner` remembers in this worker process. A worker serves all stages of a pipeline in turn; the first use by
+    another owner drops what the one before has gathered, so a worker holds the memory of one stage at most."""
+    if owner not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[owner] = {}
+    return _REMEMBERED[owner]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -15,11 +15,12 @@ import struct
 import unicodedata
 from collections.abc import Iterable
 
+from .common import memory
+
 #: Pieces that a worker remembers before it starts a new cache; it keeps the last one beside it.
 CACHE_PIECES = 700_000
 #: ASCII punctuation but the apostrophe, which may begin a suffix like 's.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_LOADED: dict = {}
 
 
 def byte_alphabet() -> dict[int, int]:
@@ -149,6 +150,7 @@ def lower_and_space(spec: dict) -> bool:
 
 def encoder(path: str) -> PieceEncoder:
     """One encoder per worker process and file."""
-    if path not in _LOADED:
-        _LOADED[path] = PieceEncoder(path)
-    return _LOADED[path]
+    loaded = memory("pieces")
+    if path not in loaded:
+        loaded[path] = PieceEncoder(path)
+    return loaded[path]

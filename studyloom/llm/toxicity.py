@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, doc_text, documents, drop_path, stage
+from .common import crc32_of_id, doc_text, documents, drop_path, memory, stage
 
 THRESHOLD = 0.3
 #: The labelled sample's expected size: the bound of what marks and weights are learnt from.
@@ -43,7 +43,6 @@ ASCII_UPPER, ASCII_LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrst
 BEYOND_ASCII = re.compile(r"[^\x00-\x7f]+")
 #: Pieces of text (of at most so many characters) that a worker remembers at most as holding no mark of the last table.
 BLANKS, BLANK_LENGTH = 200_000, 60
-_BLANK: dict[int, set[str]] = {}
 #: Labels are first taken to be right so often, as firmly as if so many labels had shown it.
 GOLD, GOLD_ROWS = 0.95, 20.0
 #: The share of its information that a voter has in common with its parent at least.
@@ -81,11 +80,11 @@ def cases(text: str) -> tuple[int, int]:
 
 
 def blanks(table: Table) -> set[str]:
-    key = hash(tuple(table))
-    if key not in _BLANK:
-        _BLANK.clear()
-        _BLANK[key] = set()
-    return _BLANK[key]
+    key, known = hash(tuple(table)), memory("blanks")
+    if key not in known:
+        known.clear()
+        known[key] = set()
+    return known[key]
 
 
 def hits(text: str, table: Table, blank: set[str] | None = None) -> list[int]:

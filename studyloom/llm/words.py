@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+from .common import memory
+
 CACHE_WORDS = 300_000
-_HASHES: dict[bytes, int] = {}
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -13,12 +14,12 @@ def word_hashes(text: str) -> np.ndarray:
     probability of n*n / 2**65 among n words."""
     import xxhash
 
-    words = text.encode("utf-8").lower().split()
-    if len(_HASHES) > CACHE_WORDS:
-        _HASHES.clear()
-    for w in set(words).difference(_HASHES):
-        _HASHES[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    words, known = text.encode("utf-8").lower().split(), memory("words")
+    if len(known) > CACHE_WORDS:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -126,3 +126,14 @@ def test_byte_bpe_query_shape(spark):
     whole = byte_bpe.encode_decode(frame(spark, rows), RANKS).collect()
     assert Counter((r["doc_id"], tuple(r["ids"]), bytes(r["decoded"])) for r in whole) == Counter((i, tuple(x), (t or "").encode()) for (i, t), x in zip(rows, ids, strict=True))
     assert byte_bpe.encode_digests(frame(spark, []), RANKS).count() == 0
+
+
+def test_a_worker_remembers_one_owner():
+    from studyloom.llm.common import memory
+    from studyloom.llm.words import word_hashes
+
+    first = word_hashes("Some words, some more").tolist()
+    assert memory("words")
+    memory("ranks")["x"] = 1
+    assert not memory("words") and not memory("ranks")
+    assert word_hashes("some WORDS, some more").tolist() == first
