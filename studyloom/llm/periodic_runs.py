@@ -59,36 +59,54 @@ def matched_from(w: np.ndarray, p: int, at: int) -> int:
     return 0
 
 
+def grid_points(n: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, periods): the grid points jp with (j + 3)p < n of the periods from low to high - 1, by period."""
+    periods = np.arange(low, high)
+    counts = (n - 1) // periods - 2
+    ends = np.cumsum(counts)
+    every = np.repeat(periods, counts)
+    return (np.arange(ends[-1]) - np.repeat(ends - counts, counts)) * every, every
+
+
+def survivors(w: np.ndarray, low: int, high: int, reach: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(place, period) of three matches in a row on a grid outside known runs, with sample words between them that match too."""
+    at, p = grid_points(len(w), low, high)
+    for k in range(3):
+        same = w[at + k * p] == w[at + (k + 1) * p]
+        at, p = at[same], p[same]
+    for k in range(3):
+        off = p // (k + 1) if k else np.minimum(1, p - 1)
+        same = (w[at + off] == w[at + off + p]) & (w[at + off + p] == w[at + off + 2 * p])
+        at, p = at[same], p[same]
+        if not len(at):
+            return iter(())
+    out = reach[at] <= at + 3 * p
+    return zip(at[out].tolist(), p[out].tolist(), strict=True)
+
+
 def find_runs(w: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, length, period) of every run, by start and period."""
     n = len(w)
     found: list[tuple[int, int, int]] = []
-    # The furthest end of a known run that begins at or before each word.
+    # The furthest end of a known run that begins before each word and holds it.
     reach = np.zeros(n + 1, np.int64)
-    for p in range(1, n // PERIODS + 1):
-        grid = w[::p]
-        same = grid[1:] == grid[:-1]
-        three = same[2:] & same[1:-1] & same[:-2]
-        if not three.any():
-            continue
-        places = np.flatnonzero(three) * p
-        for off in {1, p // 3, p // 2} if p > 1 else ():
-            # The words between the first and third match lie within the stretch.
-            places = places[(w[places + off] == w[places + off + p]) & (w[places + p + off] == w[places + p + off + p])]
-        places = places[reach[places] <= places + 3 * p]
-        beyond = 0
-        for at in places.tolist():
-            if at < beyond:
+    low = 1
+    while low <= n // PERIODS:
+        # One period, then the next six, then eight times as many each time: a known run counts from the next lot on.
+        high, now, beyond = min(low * 8 if low > 1 else 2, n // PERIODS + 1), 0, 0
+        for at, p in survivors(w, low, high, reach):
+            if p == now and at < beyond or reach[at] > at + 3 * p:
                 continue
-            beyond = matched_until(w, p, at)
+            now, beyond = p, matched_until(w, p, at)
             if beyond <= at + 2 * p:
                 continue
-            low = matched_from(w, p, at)
-            length = beyond - low + p
+            first = matched_from(w, p, at)
+            length = beyond - first + p
             # A known run with these ends has a period that divides p.
-            if length >= max(WORDS, PERIODS * p) and reach[low] < low + length:
-                found.append((low, length, p))
-                np.maximum(reach[low : low + length], low + length, out=reach[low : low + length])
+            if length >= max(WORDS, PERIODS * p) and reach[first] < first + length:
+                found.append((first, length, p))
+                np.maximum(reach[first : first + length], first + length, out=reach[first : first + length])
+        low = high
     return sorted(found, key=lambda r: (r[0], r[2]))
 
 
