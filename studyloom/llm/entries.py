@@ -13,6 +13,7 @@ from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .katz import op5_katz_scores
 from .lexical_search import OP13_SQL, op13_lexical_search
 from .near_dedup import op10_near_dedup
+from .ngram_join import op11_ngram_join
 from .periodic_runs import op12_periodic_runs
 from .pii import op9_pii
 from .token_counts import op2_token_counts
@@ -23,7 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_files, op2_token_counts, op3_decontaminate, op4_exact_dedup, op5_katz_scores, op6_toxicity, op7_curve_shards, op8_byte_bpe, op9_pii, op10_near_dedup, op12_periodic_runs, op13_lexical_search]
+    found = [op1_token_files, op2_token_counts, op3_decontaminate, op4_exact_dedup, op5_katz_scores, op6_toxicity, op7_curve_shards, op8_byte_bpe, op9_pii, op10_near_dedup, op11_ngram_join, op12_periodic_runs, op13_lexical_search]
     return {f.__name__: f for f in found}
 
 

@@ -1,17 +1,10 @@
 """Near-duplicate groups through SetSketch.
 
-1. Each document becomes the set of its word shingles (64-bit hashes), the set a sketch.
-   Equal sets are one class; from here on classes stand for their documents.
-2. Bands of registers are bucket keys. Each bucket is dealt to parts, and those to smaller parts; every class is
-   paired with the smallest one of its part, and these among each other likewise, so a bucket of N classes has hubs of N / FAN**2
-   and of FAN pairs. A pair's similarity is estimated by likelihood, and what can be a link is
-   verified on the full sets. Links give components.
-3. In buckets that still hold several components, all pairs between different components are
-   estimated and verified where they lie, in blocks of at most BLOCK by BLOCK, so no task holds
-   a large bucket; a pair is tested in the first of its buckets only. A block sends out only links
-   that join what it has not yet joined, fewer than it has members. So each pair of classes
-   that shares a bucket is tested or already connected, and no list of pairs is ever made.
-4. Components of all links; the smallest id of a component names it.
+Each document becomes the set of its word shingles (64-bit hashes), the set a sketch. Equal sets are one class; from
+here on classes stand for their documents. Bands of registers are bucket keys. Pairs that share a bucket are
+compared as `links` does it: a pair's similarity is estimated by likelihood from the sketches, and what can be a link is
+verified on the full sets. Each pair of classes that shares a bucket is tested, in the first of its buckets, or connected
+already. The smallest id of a component names it.
 
 A pair of similarity s shares a bucket with probability 1 - (1 - s**4)**32: at 0.8 all but 5 in
 10**8 do. The estimate's margin is five standard deviations.
@@ -24,47 +17,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import setsketch
-from .common import doc_text, documents, drop_path, slots, stage, Tables
-from .words import word_hashes
+from .common import Tables, doc_text, documents
+from .links import between_components, classes_of, components, grouped, set_key, shingle_set, star_pairs, verified, with_key
 
-BLOCK = 1024
-#: A bucket has so many parts, and each of these as many.
-FAN = 64
 MARGIN = 5.0
 #: Equal registers are at least as probable as the similarity; that share is looked at before the likelihood.
 ROUGH = MARGIN * 0.5 / setsketch.REGISTERS**0.5
-_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-
-
-def shingle_set(text: str, width: int) -> np.ndarray:
-    """Sorted hashes of the text's shingles: A-Z lower-cased, words cut at ASCII white space; fewer words than
-    `width` are one shingle, no words none."""
-    h = word_hashes(text)
-    if not len(h):
-        return np.zeros(0, np.uint64)
-    q = min(width, len(h))
-    n = len(h) - q + 1
-    acc = np.full(n, q, np.uint64)
-    for k in range(q):
-        acc = (acc ^ h[k : k + n]) * _ODD[0]
-        acc ^= acc >> np.uint64(32)
-        acc *= _ODD[1]
-        acc ^= acc >> np.uint64(29)
-    return np.unique(acc * _ODD[2])
-
-
-def set_key(elements: np.ndarray) -> bytes:
-    import xxhash
-
-    return xxhash.xxh3_128_digest(elements.tobytes())
 
 
 def sketched(rows: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, set_key, sketch) for (doc_id, text); an empty set has no key."""
+    """(doc_id, text_key, n, set_key, sketch) for (doc_id, text, text_key); an empty set has no key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -74,9 +39,9 @@ def sketched(rows: DataFrame, width: int) -> DataFrame:
                 n.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
                 sketches.append(setsketch.sketch(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "n", "set_key", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "text_key", "n", "set_key", "sketch"])
 
-    return rows.mapInArrow(run, "doc_id long, n long, set_key binary, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, text_key long, n long, set_key binary, sketch binary")
 
 
 def registers(column: pa.Array) -> np.ndarray:
@@ -88,9 +53,10 @@ def bands_of(classes: DataFrame) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 keys = setsketch.band_keys(registers(b.column("sketch")))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column("node").to_numpy(), keys.shape[1]))], ["band", "node"])
+                each = [pa.array(np.repeat(b.column(c).to_numpy(), keys.shape[1])) for c in ("node", "n")]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *each], ["band", "node", "n"])
 
-    return classes.select("node", "sketch").mapInArrow(run, "band long, node long")
+    return classes.select("node", "n", "sketch").mapInArrow(run, "band long, node long, n long")
 
 
 def possible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, share: float) -> np.ndarray:
@@ -117,154 +83,22 @@ def estimated(pairs: DataFrame, classes: DataFrame, share: float) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").mapInArrow(run, "a long, b long")
 
 
-def texts_of(nodes: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, set_key, text): the texts of the documents that the classes are named after."""
-    named = nodes.distinct().join(classes.select("node", "least_id", "set_key"), "node")
-    return rows.join(named, rows["doc_id"].eqNullSafe(named["least_id"])).select("node", "set_key", "text")
-
-
-def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Of (a, b), the links: den * |intersection| >= num * |union| on full sets. Texts are read again for the
-    classes at hand; a text whose set is another one (its id stands for several texts) is passed over."""
-    texts, path = stage(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), classes, rows), "near-texts")
-    sides = pairs.unionByName(pairs.select("a", F.col("a").alias("b")).distinct())
-    with_text = sides.join(texts.withColumnRenamed("node", "b"), "b").withColumn("member", F.col("a") != F.col("b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, hub = None, None
-        for x in batches:
-            links: tuple[list[int], list[int]] = ([], [])
-            for a, b, key, text in zip(*(x.column(c) for c in ("a", "b", "set_key", "text")), strict=True):
-                a, b, own = a.as_py(), b.as_py(), shingle_set(text.as_py(), width)
-                if set_key(own) != key.as_py():
-                    continue
-                if a == b:
-                    at, hub = a, own
-                elif at == a:
-                    common = len(np.intersect1d(hub, own, assume_unique=True))
-                    if den * common >= num * (len(hub) + len(own) - common):
-                        links[0].append(a)
-                        links[1].append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(links[0], pa.int64()), pa.array(links[1], pa.int64())], ["a", "b"])
-
-    ordered = with_text.repartition(slots(rows.sparkSession), "a").sortWithinPartitions("a", "member")
-    links, _ = stage(ordered.select("a", "b", "set_key", "text").mapInArrow(run, "a long, b long").distinct(), "near-links")
-    drop_path(rows.sparkSession, path)
-    return links
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of (a, b): root is the smallest node reachable. Large-star and small-star
-    steps in turn, until nothing changes; each round's edges are written, so none is repeated on a loss."""
-
-    def star(e: DataFrame, both: bool) -> DataFrame:
-        near = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        told = near.where(F.col("b") > F.col("a")) if both else near
-        out = told.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return out if both else out.unionAll(least.select("a", F.col("m").alias("b")))
-
-    spark = edges.sparkSession
-    now, path = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
-    state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    while state[0]:
-        after = star(star(now, True).where("a <> b").distinct(), False).where("a <> b").distinct()
-        after, new_path = stage(after, "components")
-        new = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        drop_path(spark, path)
-        now, path = after, new_path
-        if new == state:
-            break
-        state = new
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-
-
-def star_pairs(shared: DataFrame) -> DataFrame:
-    """(a, b): each class with the smallest one of its part of its bucket, and those with the smallest one of theirs, up to
-    the bucket's."""
-    rows, pairs = shared.select("band", F.pmod(F.xxhash64("node"), F.lit(FAN * FAN)).alias("part"), "node"), None
-    for level in range(3):
-        placed = rows.withColumn("a", F.min("node").over(W.partitionBy("band", "part")))
-        own = placed.where("node <> a").select("a", F.col("node").alias("b"))
-        pairs = own if pairs is None else pairs.unionAll(own)
-        rows = placed.where("node = a").select("band", F.floor(F.col("part") / FAN).alias("part") if level == 0 else F.lit(0).alias("part"), "node")
-    return pairs.distinct()
-
-
-def between_components(shared: DataFrame, roots: DataFrame, classes: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(a, b): links between classes of one bucket but different components, as many as connect what is linked
-    in a block."""
-    labelled = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2")
-    members = labelled.join(mixed.select("band", "size"), "band")
-    members = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = members.select("band", "node", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt, path = stage(dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "root", "own"), "near-dealt")
-    texts = texts_of(dealt.select("node"), classes, rows)
-    full = dealt.join(classes.select("node", "sketch", "n"), "node").join(texts, "node")
-
-    def links_of(held: list[tuple]) -> tuple[list[int], list[int]]:
-        low, high = held[0][1], held[0][2]
-        node, root, own, n = (np.asarray([r[k] for r in held]) for k in (3, 4, 5, 9))
-        regs = np.frombuffer(b"".join(r[6] for r in held), np.uint16).reshape(len(held), -1)
-        keys = setsketch.band_keys(regs)
-        here = int(np.flatnonzero(keys[0] == held[0][0])[0])
-        sets: dict[int, np.ndarray | None] = {}
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while parent.get(x, x) != x:
-                x = parent[x]
-            return x
-
-        def set_of(k: int) -> np.ndarray | None:
-            if k not in sets:
-                s = shingle_set(held[k][8], width)
-                sets[k] = s if set_key(s) == held[k][7] else None
-            return sets[k]
-
-        out: tuple[list[int], list[int]] = ([], [])
-        right = np.flatnonzero(own == high)
-        for i in np.flatnonzero(own == low).tolist():
-            k = right[(root[right] != root[i]) & ((low != high) | (right > i))]
-            # Tested here if this is the first bucket that the two share.
-            k = k[~(keys[k, :here] == keys[i, :here]).any(1)]
-            k = k[(regs[k] == regs[i]).mean(1) >= num / den - ROUGH]
-            if len(k):
-                k = k[possible(np.broadcast_to(regs[i], (len(k), regs.shape[1])), regs[k], np.full(len(k), n[i]), n[k], num / den)]
-            for j in k.tolist():
-                if find(int(root[i])) == find(int(root[j])):
-                    continue
-                a, b = set_of(i), set_of(j)
-                if a is None or b is None:
-                    continue
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                if den * common >= num * (len(a) + len(b) - common):
-                    parent[find(int(root[i]))] = find(int(root[j]))
-                    out[0].append(int(node[i]))
-                    out[1].append(int(node[j]))
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            a, b = links_of(held) if len(held) > 1 else ([], [])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+class SketchFilter:
+    """The sketches of a tile's classes."""
 
-        for x in batches:
-            for row in zip(*(x.column(c).to_pylist() for c in ("band", "low", "high", "node", "root", "own", "sketch", "set_key", "text", "n")), strict=True):
-                if held and row[:3] != held[0][:3]:
-                    yield flush()
-                    held = []
-                held.append(row)
-        if held:
-            yield flush()
+    def __init__(self, held: list[dict], share: float) -> None:
+        self.share, self.n = share, np.asarray([r["n"] for r in held], np.int64)
+        self.registers = np.frombuffer(b"".join(r["sketch"] for r in held), np.uint16).reshape(len(held), -1)
+        keys = setsketch.band_keys(self.registers)
+        self.earlier = keys[:, : int(np.flatnonzero(keys[0] == held[0]["band"])[0])]
 
-    ordered = full.repartition(slots(rows.sparkSession), "band", "low", "high").sortWithinPartitions("band", "low", "high", "node")
-    links, _ = stage(ordered.select("band", "low", "high", "node", "root", "own", "sketch", "set_key", "text", "n").mapInArrow(run, "a long, b long").distinct(), "near-links")
-    drop_path(rows.sparkSession, path)
-    return links
+    def partners(self, i: int, others: np.ndarray) -> np.ndarray:
+        others = others[~(self.earlier[others] == self.earlier[i]).any(1)]
+        others = others[(self.registers[others] == self.registers[i]).mean(1) >= self.share - ROUGH]
+        if not len(others):
+            return others
+        one = np.broadcast_to(self.registers[i], (len(others), self.registers.shape[1]))
+        return others[possible(one, self.registers[others], np.full(len(others), self.n[i]), self.n[others], self.share)]
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,27 +110,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     component has no other. Rows that repeat an id are compared by their own texts and kept alike if they
     have the component's id. An empty table gives no rows, other columns are not read.
     """
-    spark = docs.sparkSession
     share = num / den
     rows = doc_text(docs, id_col, text_col)
-    tables = Tables(spark)
-    own = tables.stage(sketched(rows, width), "near-sketches")
-    grouped = own.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = tables.stage(grouped.withColumn("node", F.monotonically_increasing_id()), "near-classes")
+    tables = Tables(docs.sparkSession)
+    own = tables.stage(sketched(with_key(rows), width), "near-sketches")
+    classes = tables.stage(classes_of(own, "sketch"), "near-classes")
     bands = bands_of(classes)
     crowded = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
     shared = tables.stage(bands.join(crowded, "band"), "near-bands")
     star = tables.stage(estimated(star_pairs(shared), classes, share), "near-pairs")
-    roots = tables.stage(components(verified(star, classes, rows, width, num, den)), "near-roots")
-    more = between_components(shared, roots, classes, rows, width, num, den)
+    roots = components(verified(star, classes, rows, width, num, den, tables), tables)
+    more = between_components(shared, roots, classes, rows, lambda held: SketchFilter(held, share), ["sketch"], width, num, den, tables)
     if not more.isEmpty():
-        roots = tables.stage(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)), "near-roots")
-    named = classes.select("set_key", "least_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = tables.stage(named.select("set_key", "root").join(least, "root").select("set_key", "component_id"), "near-named")
-    full = own.where("n > 0").select("doc_id", "n", "set_key").join(named, "set_key").select("doc_id", "n", "component_id")
-    empty = own.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return tables.finish(full.unionAll(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "near-groups")
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more), tables)
+    found = grouped(own, classes, roots, tables)
+    return tables.finish(found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "near-groups")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ from collections import Counter
 import numpy as np
 from common import awkward, frame, sentence
 
-from studyloom.llm import exact_dedup, near_dedup, setsketch
+from studyloom.llm import exact_dedup, links, near_dedup, setsketch
+from studyloom.llm.common import Tables
 from studyloom.llm.decontaminate import Items, contaminated, overlap, shingles_of, words_of
 
 A_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -104,13 +105,28 @@ def test_near_duplicates(spark):
 
 
 def test_near_duplicates_in_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
-    monkeypatch.setattr(near_dedup, "FAN", 3)
+    monkeypatch.setattr(links, "BLOCK", 4)
+    monkeypatch.setattr(links, "FAN", 3)
     rows = near_rows(6)
     got = near_dedup.near_duplicates(frame(spark, rows), 3, 85, 100).collect()
     assert Counter(map(tuple, got)) == brute_near(rows, 3, 85, 100)
 
 
+def test_near_duplicates_without_ids(spark):
+    rng = random.Random(8)
+    rows = [(None, sentence(rng, 40)) for _ in range(60)]
+    rows += [(None, t + " tail") for _, t in rows[:30]] + [(7, t) for _, t in rows[30:40]] + [(7, rows[30][1])] * 20
+    got = near_dedup.near_duplicates(frame(spark, rows), 3, 85, 100).collect()
+    assert Counter(map(tuple, got)) == brute_near(rows, 3, 85, 100)
+    # One text for each class, however many rows share its id.
+    plain = frame(spark, rows).select("doc_id", "text")
+    own = near_dedup.sketched(links.with_key(plain), 3)
+    tables = Tables(spark)
+    classes = tables.stage(links.classes_of(own), "test-classes")
+    assert links.texts_of(classes, classes, plain).count() == classes.count() == 90
+    tables.finish(classes.limit(0), "test-classes")
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
     only = near_dedup.near_duplicates(frame(spark, [(1, None), (2, ""), (None, "a b")])).collect()
@@ -131,7 +147,7 @@ def test_sketches_merge_and_estimate():
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)]
-    got = {r["node"]: r["root"] for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in links.components(spark.createDataFrame(edges, "a long, b long"), Tables(spark)).collect()}
     parent = {}
 
     def find(x):

@@ -50,5 +50,5 @@ def test_empty_tables(spark, tmp_path):
 
 def test_registered():
     names = list(entries.queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert set(entries.oracle_sql()) <= set(names)
