@@ -61,6 +61,11 @@ class Tables:
         self.paths.append(path)
         return out
 
+    def drop(self, path: str) -> None:
+        """Delete one table now."""
+        self.paths.remove(path)
+        drop_path(self.spark, path)
+
     def finish(self, df: DataFrame, label: str) -> DataFrame:
         out, _ = stage(df, label)
         drop_path(self.spark, *self.paths)

@@ -93,15 +93,25 @@ def texts_of(nodes: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame
     return found.groupBy("node").agg(F.first("set_key").alias("set_key"), F.first("text").alias("text"))
 
 
-def star_pairs(shared: DataFrame) -> DataFrame:
-    """(a, b): each class with the smallest one of its part of its bucket, and those with the smallest one of theirs, up to
-    the bucket's."""
-    rows, pairs = shared.select("band", F.pmod(F.xxhash64("node"), F.lit(FAN * FAN)).alias("part"), "node"), None
+def size_bands(rows: DataFrame, num: int, den: int) -> tuple[DataFrame, float]:
+    """rows with `size`, the band of n, and the logarithm of a band's width. Sets of linked classes are in one band or neighbouring ones."""
+    # A little more than the sizes of linked sets can differ by, so that rounding never parts them by two bands.
+    ratio = max(math.log(den / num), 0.01) * (1 + 1e-9)
+    return rows.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int")), ratio
+
+
+def star_pairs(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): each class with the smallest one of its size in its part of its bucket, and those with the smallest one of theirs, up to
+    the bucket's; pairs whose sizes allow a link."""
+    sized, _ = size_bands(shared, num, den)
+    rows, pairs = sized.select("band", "size", F.pmod(F.xxhash64("node"), F.lit(FAN * FAN)).alias("part"), "node", "n"), None
     for level in range(3):
-        placed = rows.withColumn("a", F.min("node").over(W.partitionBy("band", "part")))
-        own = placed.where("node <> a").select("a", F.col("node").alias("b"))
+        hub = F.min(F.struct("node", "n")).over(W.partitionBy("band", "size", "part"))
+        placed = rows.withColumn("hub", hub)
+        fits = F.least("n", "hub.n") * den >= F.greatest("n", "hub.n") * num
+        own = placed.where(F.col("node") != F.col("hub.node")).where(fits).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
         pairs = own if pairs is None else pairs.unionAll(own)
-        rows = placed.where("node = a").select("band", F.floor(F.col("part") / FAN).alias("part") if level == 0 else F.lit(0).alias("part"), "node")
+        rows = placed.where(F.col("node") == F.col("hub.node")).select("band", "size", F.floor(F.col("part") / FAN).alias("part") if level == 0 else F.lit(0).alias("part"), "node", "n")
     return pairs.distinct()
 
 
@@ -163,11 +173,9 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
 def dealt_to_tiles(shared: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
     """(TILE..., node, root, n, side): members of buckets that hold several components, for every tile they are in; side is 0 for
     the first block, 1 for the second, 2 where a block meets itself."""
-    # A little more than the sizes of linked sets can differ by, so that rounding never parts them by two bands.
-    ratio = max(math.log(den / num), 0.01) * (1 + 1e-9)
-    sized = shared.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int"))
+    sized, ratio = size_bands(shared, num, den)
     labelled = sized.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high and members > 2").select("band")
+    mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
     # So many classes of a size band take one block; sizes of a band differ by the factor den / num at most.
     room = F.least(F.lit(float(BLOCK)), F.greatest(F.lit(8.0), TILE_ELEMENTS / F.exp(F.col("size") * ratio)))
     counted = labelled.groupBy("band", "size").agg(F.count("*").alias("members")).withColumn("blocks", F.ceil(F.col("members") / room).cast("int"))
@@ -241,38 +249,50 @@ def links_of(held: list[dict], make: Callable[[list[dict]], Filter], width: int,
     return out
 
 
-def between_components(shared: DataFrame, roots: DataFrame, classes: DataFrame, rows: DataFrame, make: Callable[[list[dict]], Filter], signature: list[str], width: int, num: int, den: int, tables: Tables) -> DataFrame:
+def worth_a_look(dealt: DataFrame) -> DataFrame:
+    """The rows of tiles that have classes of different components on both sides."""
+    left, right = F.count_if(F.col("side") != 1), F.count_if(F.col("side") != 0)
+    tiles = dealt.groupBy(*TILE).agg(F.min("root").alias("low"), F.max("root").alias("high"), left.alias("left"), right.alias("right")).where("low <> high and left > 0 and right > 0")
+    return dealt.join(tiles.select(*TILE), list(TILE), "left_semi")
+
+
+def between_components(shared: DataFrame, roots: DataFrame, classes: DataFrame, rows: DataFrame, looks: list[tuple[Callable[[list[dict]], Filter], list[str]]], width: int, num: int, den: int, tables: Tables) -> DataFrame:
     """(a, b): links between classes of one bucket but different components, as many as connect what is linked
-    in a tile. shared: (band, node, n); signature: the columns of classes that the filter reads."""
+    in a tile. shared: (band, node, n); looks: filters with the columns of classes that each reads, one after another, the
+    cheapest first; the last one's pairs are verified on texts."""
     spark = rows.sparkSession
     own = "band long, size_a int, block_a int, size_b int, block_b int, node long, root long, n long, side int"
+    names = [x.split()[0] for x in own.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
-    def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-        names = [x.split()[0] for x in own.split(", ")]
-        for held in tiles_of(batches):
-            stay: set[int] = set()
-            for i, others in open_pairs(held, make):
-                stay.add(i)
-                stay.update(others.tolist())
-            if stay:
-                yield pa.RecordBatch.from_arrays([pa.array([held[k][c] for k in sorted(stay)], t) for c, t in zip(names, kinds, strict=True)], names)
+    def survivors(make: Callable[[list[dict]], Filter]) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for held in tiles_of(batches):
+                stay: set[int] = set()
+                for i, others in open_pairs(held, make):
+                    stay.add(i)
+                    stay.update(others.tolist())
+                if stay:
+                    yield pa.RecordBatch.from_arrays([pa.array([held[k][c] for k in sorted(stay)], t) for c, t in zip(names, kinds, strict=True)], names)
+
+        return run
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in tiles_of(batches):
-            a, b = links_of(held, make, width, num, den)
+            a, b = links_of(held, looks[-1][0], width, num, den)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def in_tiles(df: DataFrame) -> DataFrame:
         return df.repartition(slots(spark), *TILE).sortWithinPartitions(*TILE, "node")
 
-    signed = classes.select("node", *signature)
-    left = tables.stage(in_tiles(dealt_to_tiles(shared, roots, num, den).join(signed, "node")).mapInArrow(survivors, own), "near-tiles")
+    left = worth_a_look(tables.stage(dealt_to_tiles(shared, roots, num, den), "near-dealt"))
+    for make, columns in looks:
+        left = tables.stage(in_tiles(left.join(classes.select("node", *columns), "node")).mapInArrow(survivors(make), own), "near-tiles")
     if left.isEmpty():
         return spark.createDataFrame([], "a long, b long")
     texts = tables.stage(texts_of(left, classes, rows), "near-texts")
-    full = left.join(signed, "node").join(texts, "node")
+    full = left.join(classes.select("node", *looks[-1][1]), "node").join(texts, "node")
     return tables.stage(in_tiles(full).mapInArrow(verify, "a long, b long").distinct(), "near-links")
 
 

@@ -118,9 +118,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     bands = bands_of(classes)
     crowded = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
     shared = tables.stage(bands.join(crowded, "band"), "near-bands")
-    star = tables.stage(estimated(star_pairs(shared), classes, share), "near-pairs")
+    star = tables.stage(estimated(star_pairs(shared, num, den), classes, share), "near-pairs")
     roots = components(verified(star, classes, rows, width, num, den, tables), tables)
-    more = between_components(shared, roots, classes, rows, lambda held: SketchFilter(held, share), ["sketch"], width, num, den, tables)
+    more = between_components(shared, roots, classes, rows, [(lambda held: SketchFilter(held, share), ["sketch"])], width, num, den, tables)
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more), tables)
     found = grouped(own, classes, roots, tables)

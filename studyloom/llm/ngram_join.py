@@ -1,6 +1,6 @@
 """Exact self-join of documents by the Jaccard similarity of their word n-grams.
 
-Each document becomes the set of its n-gram hashes, and a signature: a bitmap of hashed elements, about four bits to an element.
+Each document becomes the set of its n-gram hashes, and a signature: a bitmap of hashed elements, two to four bits to an element.
 A bit that is set in one bitmap and not in the other stands for an element that only the first set has, so the bit
 counts bound the overlap from above.
 
@@ -8,8 +8,8 @@ Which documents are compared at all is decided by prefixes, which loses nothing:
 into one common order, the first n - ceil(share * n) + 1 elements have one in common. The order puts elements that many sets hold
 last, so that prefixes hold the telling ones; how often elements occur is estimated from one text in
 SAMPLE, and any order gives the same links. A prefix element is a bucket. Within a bucket `links` cuts the sets into
-tiles by size bands: bitmaps first, then the exact intersection of sorted arrays. A pair is compared in
-the bucket of its first common element only, and not at all once it is connected.
+tiles by size bands: bitmaps first, then, where a pair is left, prefixes, then the exact intersection of sorted arrays. A pair is
+intersected in the bucket of its first common element only, and not at all once it is connected.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from .words import mixed, pack, unpack
 
 #: Of so many distinct texts one is counted for the order of elements; so many common elements, the commonest ones, are told to the tasks.
 SAMPLE, COMMON_AT, COMMON = 16, 4, 500_000
-#: Bits of a bitmap: a power of two, four to eight times the elements, within these.
-LEAST_BITS, MOST_BITS = 256, 1 << 20
+#: Bits of a bitmap: a power of two, two to four times the elements, within these.
+LEAST_BITS, MOST_BITS = 256, 1 << 18
 
 
 def common_elements(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +68,7 @@ def prefix(elements: np.ndarray, common: tuple[np.ndarray, np.ndarray], num: int
 def bitmap(elements: np.ndarray) -> np.ndarray:
     """The elements as set bits of 64-bit words. Halves of a bitmap laid over each other are the bitmap of half the length."""
     bits = LEAST_BITS
-    while bits < 4 * len(elements) and bits < MOST_BITS:
+    while bits < 2 * len(elements) and bits < MOST_BITS:
         bits *= 2
     out = np.zeros(bits, np.uint8)
     out[(mixed(elements) & np.uint64(bits - 1)).astype(np.int64)] = 1
@@ -123,7 +123,6 @@ def bounded(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFra
     """Of (a, b), the pairs whose sizes and bitmaps allow a link."""
     one = classes.select(F.col("node").alias("a"), F.col("bits").alias("bits_a"), F.col("n").alias("n_a"))
     two = classes.select(F.col("node").alias("b"), F.col("bits").alias("bits_b"), F.col("n").alias("n_b"))
-    fits = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -137,11 +136,11 @@ def bounded(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFra
             ok = may_link(np.asarray(alone[0], np.int64), np.asarray(alone[1], np.int64), x.column("n_a").to_numpy(), x.column("n_b").to_numpy(), num, den)
             yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(two, "b").join(one, "a").where(fits).mapInArrow(run, "a long, b long")
+    return pairs.join(two, "b").join(one, "a").mapInArrow(run, "a long, b long")
 
 
 class BitmapFilter:
-    """The bitmaps of a tile's classes, and which of them share an element before the tile's own in the common order."""
+    """The bitmaps of a tile's classes."""
 
     def __init__(self, held: list[dict], num: int, den: int) -> None:
         self.num, self.den = num, den
@@ -150,6 +149,21 @@ class BitmapFilter:
         words = min(map(len, own))
         self.bits = np.stack([folded(b, words) for b in own])
         self.counts = np.bitwise_count(self.bits).sum(1, dtype=np.int64)
+
+    def partners(self, i: int, others: np.ndarray) -> np.ndarray:
+        n = self.n[others]
+        others = others[self.den * np.minimum(n, self.n[i]) >= self.num * np.maximum(n, self.n[i])]
+        if not len(others):
+            return others
+        both = np.bitwise_count(self.bits[others] & self.bits[i]).sum(1, dtype=np.int64)
+        return others[may_link(self.counts[i] - both, self.counts[others] - both, self.n[i], self.n[others], self.num, self.den)]
+
+
+class FirstMeeting(BitmapFilter):
+    """Bitmaps, and which classes share an element before the tile's own in the common order."""
+
+    def __init__(self, held: list[dict], num: int, den: int) -> None:
+        super().__init__(held, num, den)
         at = np.uint64(held[0]["band"] & (2**64 - 1))
         earlier = []
         for r in held:
@@ -164,24 +178,14 @@ class BitmapFilter:
         self.starts = np.searchsorted(self.elements[self.order], np.arange(len(elements) + 1))
         self.by_member = np.searchsorted(self.members, np.arange(len(held) + 1))
 
-    def met_before(self, i: int) -> np.ndarray:
-        """The classes that share an earlier element with i."""
-        own = self.elements[self.by_member[i] : self.by_member[i + 1]]
-        lists = [self.members[self.order[self.starts[e] : self.starts[e + 1]]] for e in own.tolist()]
-        return np.concatenate(lists) if lists else np.zeros(0, np.int64)
-
     def partners(self, i: int, others: np.ndarray) -> np.ndarray:
-        n = self.n[others]
-        others = others[self.den * np.minimum(n, self.n[i]) >= self.num * np.maximum(n, self.n[i])]
+        others = super().partners(i, others)
         if not len(others):
             return others
-        both = np.bitwise_count(self.bits[others] & self.bits[i]).sum(1, dtype=np.int64)
-        others = others[may_link(self.counts[i] - both, self.counts[others] - both, self.n[i], self.n[others], self.num, self.den)]
-        if len(others):
-            met = np.zeros(len(self.n), bool)
-            met[self.met_before(i)] = True
-            others = others[~met[others]]
-        return others
+        met = np.zeros(len(self.n), bool)
+        for e in self.elements[self.by_member[i] : self.by_member[i + 1]].tolist():
+            met[self.members[self.order[self.starts[e] : self.starts[e + 1]]]] = True
+        return others[~met[others]]
 
 
 def ngram_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,13 +202,18 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, i
     tables = Tables(docs.sparkSession)
     common = common_elements(rows, width)
     own = tables.stage(signed(with_key(rows), width, common, num, den), "join-sets")
+    wide = tables.paths[-1]
     classes = tables.stage(classes_of(own, "bits", "prefix"), "join-classes")
+    # Signatures are kept once for each set.
+    own = tables.stage(own.select("doc_id", "n", "set_key"), "join-sets")
+    tables.drop(wide)
     each = prefix_rows(classes)
     several = each.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
     shared = tables.stage(each.join(several, "band"), "join-prefixes")
-    star = tables.stage(bounded(star_pairs(shared), classes, num, den), "join-pairs")
+    star = tables.stage(bounded(star_pairs(shared, num, den), classes, num, den), "join-pairs")
     roots = components(verified(star, classes, rows, width, num, den, tables), tables)
-    more = between_components(shared, roots, classes, rows, lambda held: BitmapFilter(held, num, den), ["bits", "prefix"], width, num, den, tables)
+    looks = [(lambda held: BitmapFilter(held, num, den), ["bits"]), (lambda held: FirstMeeting(held, num, den), ["bits", "prefix"])]
+    more = between_components(shared, roots, classes, rows, looks, width, num, den, tables)
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more), tables)
     found = grouped(own, classes, roots, tables)
