@@ -461,6 +461,11 @@ def running_cv(spark, sf):
     return rounded(stats.running_mean(history.completed_values(trials(spark, sf), "price"), ["study_id"], "trial_id", "value").drop("value"), "running", to=4)
 
 
+@query(f"WITH {TRIALS} SELECT study_id, trial_id, round(CAST(sum(CAST(price AS DECIMAL(18, 2))) OVER w AS DOUBLE) / count(*) OVER w, 4) AS running FROM trials WHERE state = 'Complete' WINDOW w AS (PARTITION BY study_id ORDER BY trial_id ROWS UNBOUNDED PRECEDING)")
+def exact_running_mean(spark, sf):
+    return rounded(stats.running_mean(history.completed_values(trials(spark, sf), "price"), ["study_id"], "trial_id", "value").drop("value"), "running", to=4)
+
+
 # Text.
 
 TOKENS = "SELECT {key}, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS token FROM (SELECT {key}, list_transform(list_filter(string_split_regex({text}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), lambda x: lower(x)) AS t FROM {table})"

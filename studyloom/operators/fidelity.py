@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import sign
+from .scan import place, scan, size
 
 
 def s_max(max_resource: int, eta: int) -> int:
@@ -42,9 +43,9 @@ def survivors(df: DataFrame, keys: list[str], score: str, order: str, direction:
 
 def promoted(df: DataFrame, rung: str, score: str, trial: str, direction: str, eta: int = 3) -> DataFrame:
     """(.., place, promoted): of n trials in a rung the best ceil(n / eta) are promoted."""
-    w = W.partitionBy(rung).orderBy(F.lit(float(sign(direction))) * F.col(score), trial)
-    n = F.count("*").over(W.partitionBy(rung))
-    return df.withColumn("place", F.row_number().over(w)).withColumn("promoted", F.col("place") <= F.ceil(n / max(2, eta)))
+    order = [F.lit(float(sign(direction))) * F.col(score), F.col(trial)]
+    placed = scan(df, [rung], order, {"place": place(), "_n": size()})
+    return placed.withColumn("promoted", F.col("place") <= F.ceil(F.col("_n") / max(2, eta))).withColumn("place", F.col("place").cast("int")).drop("_n")
 
 
 def warm_start(df: DataFrame, rung: str, score: str, trial: str, direction: str, eta: int = 3) -> DataFrame:

@@ -3,30 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_uniform
 from ..schema import StudyError
+from .scan import lag, last, place, scan
 
 
 def order_by_hash(seed, key: str) -> Column:
     return hash_uniform(seed, F.col(key))
 
 
-def numbered(df: DataFrame, seed, key: str) -> DataFrame:
-    """df with `_i`: each row's place by hash, from 0. Rows are sorted by ranges over all tasks; a part's first
-    place comes from the counts of the parts before it."""
-    from ..plans.scratch import stage
-
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.withColumn("_u", order_by_hash(seed, key)).repartitionByRange(n, "_u", key).sortWithinPartitions("_u", key)
-    rows = stage(ordered.withColumn("_m", F.monotonically_increasing_id()), "folds")
-    part, at = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    parts = rows.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
-    base = parts.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_b"))
-    return rows.withColumn("_p", part).join(F.broadcast(base), "_p").withColumn("_i", F.col("_b") + at).drop("_p", "_b", "_m", "_u")
+def numbered(df: DataFrame, seed, key: str, keys: list[str] | None = None) -> DataFrame:
+    """df with `_i`: each row's place by hash within its keys, from 0."""
+    placed = scan(df, keys or [], [order_by_hash(seed, key), F.col(key)], {"_i": place()})
+    return placed.withColumn("_i", F.col("_i") - 1)
 
 
 def holdout(df: DataFrame, share: float, seed: int, key: str = "id") -> DataFrame:
@@ -45,8 +36,7 @@ def kfold(df: DataFrame, k: int, seed: int, key: str = "id") -> DataFrame:
 def stratified_kfold(df: DataFrame, k: int, seed: int, label: str, key: str = "id") -> DataFrame:
     """df with `fold`: the place among rows of the same label, modulo k."""
     k = max(2, min(k, max(2, df.count())))
-    w = W.partitionBy(label).orderBy(order_by_hash(seed, key), key)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    return numbered(df, seed, key, [label]).withColumn("fold", (F.col("_i") % k).cast("int")).drop("_i")
 
 
 def train_and_test(folded: DataFrame) -> DataFrame:
@@ -69,8 +59,8 @@ def time_folds(spark: SparkSession, n: int, initial: int, horizon: int, step: in
 
 def lag_windows(df: DataFrame, width: int, keys: list[str], order: str = "t", value: str = "y") -> DataFrame:
     """(keys, t, features, y): the `width` values before each one that has so many."""
-    w = W.partitionBy(*keys).orderBy(order).rowsBetween(-width, -1)
-    return df.withColumn("features", F.collect_list(value).over(w)).where(F.size("features") == width).select(*keys, order, "features", F.col(value).alias("y"))
+    found = scan(df, keys, [order], {"features": last(value, width)}).where((F.size("features") == width) & ~F.exists("features", lambda x: x.isNull()))
+    return found.select(*keys, order, "features", F.col(value).alias("y"))
 
 
 def forecast_metrics(df: DataFrame, keys: list[str], actual: str = "actual", predicted: str = "predicted", q: float = 0.5, naive_scale: str | None = None) -> DataFrame:
@@ -87,7 +77,7 @@ def forecast_metrics(df: DataFrame, keys: list[str], actual: str = "actual", pre
 
 def naive_scale(train: DataFrame, keys: list[str], order: str = "t", value: str = "y") -> DataFrame:
     """The mean step of a series: what predicting the last value costs."""
-    steps = train.withColumn("_d", F.abs(F.col(value) - F.lag(value).over(W.partitionBy(*keys).orderBy(order))))
+    steps = scan(train, keys, [order], {"_before": lag(value)}).withColumn("_d", F.abs(F.col(value) - F.col("_before")))
     return steps.groupBy(*keys).agg(F.coalesce(F.avg("_d"), F.lit(0.0)).alias("scale"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import COMPLETE, PEERS, STATES, TERMINAL, sign
+from .scan import running, scan
 
 
 def completed(trials: DataFrame) -> DataFrame:
@@ -111,9 +112,8 @@ def is_drained(trials: DataFrame) -> DataFrame:
 
 def best_so_far(trials: DataFrame, objective: str, direction: str) -> DataFrame:
     """(study_id, trial_id, value, best): the running best over completed trials in order of id."""
-    w = W.partitionBy("study_id").orderBy("trial_id").rowsBetween(W.unboundedPreceding, 0)
-    best = (F.min if sign(direction) > 0 else F.max)("value").over(w)
-    return completed_values(trials, objective).withColumn("best", best)
+    best = running("min" if sign(direction) > 0 else "max", "value")
+    return scan(completed_values(trials, objective), ["study_id"], ["trial_id"], {"best": best})
 
 
 def wall_time_stats(trials: DataFrame) -> DataFrame:

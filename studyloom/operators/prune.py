@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import median
 from ..schema import RUNNING, sign
 from .history import last_reports, peers
+from .select import matched, medians
 
 
 def running(reports: DataFrame, trials: DataFrame, objective: str) -> DataFrame:
@@ -34,9 +35,12 @@ def median_prune(reports: DataFrame, trials: DataFrame, objective: str, directio
         own = reports.where(F.col("metric") == objective).join(now.select("study_id", "trial_id"), ["study_id", "trial_id"])
         recent = own.withColumn("back", F.row_number().over(W.partitionBy("study_id", "trial_id").orderBy(F.desc("step")))).where(F.col("back") <= window)
         now = now.drop("value").join(recent.groupBy("study_id", "trial_id").agg(median(F.col("value")).alias("value")), ["study_id", "trial_id"])
-    at_step = peers(reports, trials, objective).groupBy("study_id", "step").agg(median(F.col("value")).alias("middle"), F.count("value").alias("n"))
+    them = peers(reports, trials, objective)
+    # The least number of peers counts NaNs, the median does not.
+    counted = them.groupBy("study_id", "step").agg(F.count("value").alias("peers"))
+    at_step = matched(counted, medians(them, ["study_id", "step"], "value", "middle"), ["study_id", "step"], "left")
     s = float(sign(direction))
-    worse = (F.col("step") >= warmup) & (F.col("n") >= max(1, min_trials)) & (s * F.col("value") > s * F.col("middle")) & ~F.isnan("value")
+    worse = (F.col("step") >= warmup) & (F.col("peers") >= max(1, min_trials)) & (s * F.col("value") > s * F.col("middle")) & ~F.isnan("value")
     return now.join(at_step, ["study_id", "step"], "left").select("study_id", "trial_id", "step", F.coalesce(worse, F.lit(False)).alias("prune"))
 
 

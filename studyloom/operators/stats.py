@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import median, no_nan
+from ..functions.columns import no_nan
+from .scan import place, running, scan, size
+from .select import at_ranks, matched, medians, middle
 
 BINS = 10
 
@@ -27,9 +29,9 @@ def long_params(trials: DataFrame, objective: str) -> DataFrame:
 
 def quantile_bins(rows: DataFrame, keys: list[str], x: str = "x", tie: str = "trial_id", bins: int = BINS) -> DataFrame:
     """bin = floor(i * k / n) for the i-th row by x, with k = min(bins, distinct x)."""
-    distinct = rows.groupBy(*keys).agg(F.countDistinct(x).alias("_d"), F.count("*").alias("_n"))
-    placed = rows.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy(x, tie)) - 1).join(distinct, keys)
-    return placed.withColumn("bin", F.expr(f"cast(_i * least({bins}, _d) div _n as int)")).drop("_i", "_d", "_n")
+    distinct = rows.groupBy(*keys).agg(F.countDistinct(x).alias("_d"))
+    placed = matched(scan(rows, keys, [x, tie], {"_i": place(), "_n": size()}), distinct, keys)
+    return placed.withColumn("bin", F.expr(f"cast((_i - 1) * least({bins}, _d) div _n as int)")).drop("_i", "_d", "_n")
 
 
 def importance(rows: DataFrame) -> DataFrame:
@@ -55,22 +57,31 @@ def robust(df: DataFrame, keys: list[str], value: str, how: str = "mean", trim:
     groups = df.select(*keys).distinct()
     if how == "mean":
         out = rows.groupBy(*keys).agg(F.avg("v").alias("value"), F.when(F.count("*") < 2, 0.0).otherwise(F.sqrt(F.var_samp("v") / F.count("*"))).alias("spread"))
-        return groups.join(out, keys, "left")
-    middle = rows.groupBy(*keys).agg(F.median("v").alias("middle"), F.count("*").alias("n"))
-    near = rows.join(middle, keys).groupBy(*keys).agg(F.median(F.abs(F.col("v") - F.col("middle"))).alias("mad"), F.first("middle").alias("middle"), F.first("n").alias("n"))
-    spread = F.when(F.col("n") < 2, 0.0).otherwise(F.lit(1.4826) * F.col("mad") / F.sqrt("n"))
-    if how == "median":
-        out = near.select(*keys, F.col("middle").alias("value"), spread.alias("spread"))
-        return groups.join(out, keys, "left")
-    if how != "trimmed":
+        return matched(groups, out, keys, "left")
+    if how not in ("median", "trimmed"):
         raise ValueError(f"no such aggregate: {how}")
     share = min(max(trim, 0.0), 0.49)
-    placed = rows.withColumn("i", F.row_number().over(W.partitionBy(*keys).orderBy("v")) - 1).join(near, keys)
     cut = F.floor(F.col("n") * share)
-    kept = placed.where((F.col("i") >= cut) & (F.col("i") < F.col("n") - cut)).groupBy(*keys).agg(F.avg("v").alias("value"))
-    return groups.join(kept, keys, "left").join(near.select(*keys, spread.alias("spread")), keys, "left")
+    ends = {"_first": cut, "_last": F.col("n") - cut - 1} if how == "trimmed" else {}
+    found = at_ranks(rows, keys, "v", middle(F.col("n")) | ends).withColumn("middle", (F.col("_low") + F.col("_high")) / 2)
+    off = medians(matched(rows, found.select(*keys, "middle"), keys).withColumn("off", F.abs(F.col("v") - F.col("middle"))), keys, "off", "mad")
+    found = matched(found, off.select(*keys, "mad"), keys)
+    spread = F.when(F.col("n") < 2, 0.0).otherwise(F.lit(1.4826) * F.col("mad") / F.sqrt("n")).alias("spread")
+    if how == "median":
+        return matched(groups, found.select(*keys, F.col("middle").alias("value"), spread), keys, "left")
+    # What lies between the bounds, and as many of each bound as the trimmed ranks hold.
+    first, last = F.col("_first"), F.col("_last")
+    inside = (F.col("v") > first) & (F.col("v") < last)
+    sums = matched(rows, found.select(*keys, "_first", "_last"), keys).groupBy(*keys).agg(F.sum(F.when(inside, F.col("v"))).alias("_sum"), F.count_if(F.col("v") <= first).alias("_to_first"), F.count_if(F.col("v") < last).alias("_to_last"))
+    kept = F.coalesce("_sum", F.lit(0.0)) + (F.col("_to_first") - cut) * first + (F.col("n") - cut - F.col("_to_last")) * last
+    value = F.when(first == last, first).otherwise(kept / (F.col("n") - 2 * cut)).alias("value")
+    return matched(groups, matched(found, sums, keys).select(*keys, value, spread), keys, "left")
 
 
 def running_mean(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("running", F.avg(no_nan(F.col(value))).over(w))
+    """df with `running`: the mean of the values so far, NaNs left out, by a segmented scan. Sums are exact to 15 decimals, so they do
+    not depend on how rows are cut into parts, unless a value is too large for that."""
+    known = df.withColumn("_v", no_nan(F.col(value))).withColumn("_exact", F.col("_v").try_cast("decimal(33,15)"))
+    found = scan(known, keys, [order], {"_sum": running("sum", "_exact"), "_exacts": running("count", "_exact"), "_n": running("count", "_v"), "_mean": running("mean", "_v")})
+    exact = (F.col("_exacts") == F.col("_n")) & (F.col("_n") > 0)
+    return found.withColumn("running", F.when(exact, F.col("_sum").cast("double") / F.col("_n")).otherwise(F.col("_mean"))).select(*df.columns, "running")

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_uniform
+from .select import at_ranks
 
 QUERY_BYTES = 32 << 20
 
@@ -82,13 +83,10 @@ def anomaly_scores(reference: DataFrame, queries: DataFrame, k: int, key: str =
 
 
 def nearest_rank(df: DataFrame, value: str, q: float) -> float:
-    """The value at place round(q * (n - 1)) in ascending order, halves up; 0 for none. One pass finds n,
-    the next takes the first value whose share of rows reaches the middle of that place."""
-    n = df.where(F.col(value).isNotNull()).count()
-    if not n:
-        return 0.0
-    at = int(np.floor(min(max(q, 0.0), 1.0) * (n - 1) + 0.5))
-    return float(df.agg(F.expr(f"percentile_disc({(at + 0.5) / n!r}D) WITHIN GROUP (ORDER BY `{value}`)")).first()[0])
+    """The value at place round(q * (n - 1)) in ascending order, halves up; 0 for none. Nulls and NaNs are passed over."""
+    at = F.floor(F.lit(min(max(q, 0.0), 1.0)) * (F.col("n") - 1) + 0.5)
+    found = at_ranks(df, [], value, {"at": at}).first()
+    return found["at"] if found and found["at"] is not None else 0.0
 
 
 def f1(df: DataFrame, label: str, predicted: str) -> DataFrame:
