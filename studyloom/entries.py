@@ -15,7 +15,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .operators import fidelity, folds, history, pareto, prune, signal, stats, text, vectors
+from .operators import density, fidelity, folds, history, leases, pareto, prune, signal, stats, text, vectors
+from .plans import lowered
+from .plans.space import Distribution as D
+from .plans.space import SearchSpace
 from .schema import MAXIMIZE, MINIMIZE
 from .streaming import reports as stream
 
@@ -314,15 +317,99 @@ def grid_product(spark, sf):
 @query(f"WITH {TRIALS}, c AS (SELECT study_id, priority, count(*) FILTER (state = 'Complete') AS n FROM trials GROUP BY ALL) SELECT study_id, priority, (n + 1) / sum(n + 1) OVER (PARTITION BY study_id) AS p FROM c")
 def laplace_probabilities(spark, sf):
     c = trials(spark, sf).groupBy("study_id", F.col("params")["priority"]["s"].alias("priority")).agg(F.count_if(F.col("state") == "Complete").alias("n"))
-    return c.select("study_id", "priority", ((F.col("n") + 1) / F.sum(F.col("n") + 1).over(W.partitionBy("study_id"))).alias("p"))
+    return density.laplace(c, ["study_id"], "n").select("study_id", "priority", "p")
 
 
 @query(f"WITH {TRIALS} SELECT study_id, trial_id, price, least(greatest(least(coalesce(price - lag(price) OVER w, 1e9), coalesce(lead(price) OVER w - price, 1e9)), 5000), 500000) AS sigma FROM trials WHERE state = 'Complete' WINDOW w AS (PARTITION BY study_id ORDER BY price, trial_id)")
 def parzen_bandwidth(spark, sf):
-    w = W.partitionBy("study_id").orderBy("value", "trial_id")
-    v, far = F.col("value"), F.lit(1e9)
-    gap = F.least(F.coalesce(v - F.lag("value").over(w), far), F.coalesce(F.lead("value").over(w) - v, far))
-    return history.completed_values(trials(spark, sf), "price").select("study_id", "trial_id", v.alias("price"), F.least(F.greatest(gap, F.lit(5000.0)), F.lit(500000.0)).alias("sigma"))
+    done = history.completed_values(trials(spark, sf), "price").withColumnRenamed("value", "price")
+    return density.bandwidths(done, ["study_id"], "price", "trial_id", 5000.0, 500000.0).select("study_id", "trial_id", "price", "sigma")
+
+
+def mixed_space() -> SearchSpace:
+    s = SearchSpace()
+    s.add("model", D.categorical(["mlp", "transformer", "forest"]))
+    s.add("lr", D.log_float(1e-5, 0.1), when=("model", ["mlp", "transformer"]))
+    s.add("dropout", D.stepped_float(0.0, 0.5, 0.125))
+    s.add("layers", D.int(2, 12, 2), when=("model", ["transformer"]))
+    s.add("hidden", D.log_int(16, 1024), when=("model", ["mlp"]))
+    s.add("bias", D.boolean(), when=("hidden", list(range(16, 129))))
+    return s
+
+
+SAMPLE_U = "('0x' || substr(md5('11|' || o_orderkey || '|{name}'), 1, 13))::BIGINT / 4503599627370496.0"
+
+
+@query(
+    f"""WITH u AS (SELECT o_orderkey AS trial_id, {", ".join(f"{SAMPLE_U.format(name=n)} AS u_{n}" for n in ("model", "lr", "dropout", "layers", "hidden", "bias"))} FROM orders),
+v AS (SELECT *, ['mlp', 'transformer', 'forest'][CAST(floor(u_model * 3) AS INTEGER) + 1] AS model FROM u),
+w AS (SELECT *, CASE WHEN model IN ('mlp', 'transformer') THEN least(greatest(exp(ln(1e-5::DOUBLE) + u_lr * (ln(0.1::DOUBLE) - ln(1e-5::DOUBLE))), 1e-5), 0.1) END AS lr, least(floor(u_dropout * 0.5 / 0.125 + 0.5) * 0.125, 0.5) AS dropout, CASE WHEN model = 'transformer' THEN CAST(2 + 2 * floor(u_layers * 6) AS BIGINT) END AS layers, CASE WHEN model = 'mlp' THEN CAST(floor(exp(ln(16::DOUBLE) + u_hidden * (ln(1024::DOUBLE) - ln(16::DOUBLE))) + 0.5) AS BIGINT) END AS hidden FROM v)
+SELECT trial_id, model, round(lr, 9) AS lr, round(dropout, 6) AS dropout, layers, hidden, CASE WHEN hidden <= 128 THEN u_bias >= 0.5 END AS bias FROM w"""
+)
+def space_sample(spark, sf):
+    ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("trial_id"))
+    return rounded(rounded(lowered.random_points(ids, mixed_space(), "trial_id", 11), "lr", to=9), "dropout")
+
+
+@query(
+    """WITH m AS (SELECT 0 AS a, 'mlp' AS model UNION ALL SELECT 1, 'transformer'),
+h AS (SELECT a, model, h - 16 AS b, CAST(h AS BIGINT) AS hidden FROM m, range(16, 33) t(h) WHERE model = 'mlp' UNION ALL SELECT a, model, -1, NULL FROM m WHERE model <> 'mlp'),
+d AS (SELECT a, b, model, hidden, w - 64 AS c, CAST(w AS BIGINT) AS d_model FROM h, range(64, 129) t(w) WHERE model = 'transformer' UNION ALL SELECT a, b, model, hidden, -1, NULL FROM h WHERE model <> 'transformer'),
+x AS (SELECT a, b, c, model, hidden, d_model, k AS e, k = 1 AS bias FROM d, range(2) t(k) WHERE hidden % 2 = 0 UNION ALL SELECT a, b, c, model, hidden, d_model, -1, NULL FROM d WHERE hidden IS NULL OR hidden % 2 = 1),
+y AS (SELECT *, f, f * 0.25::DOUBLE AS dropout FROM x, range(3) t(f)),
+g AS (SELECT model, hidden, d_model, bias, dropout, row_number() OVER (ORDER BY a, b, c, e, f) - 1 AS r, count(*) OVER () AS n FROM y)
+SELECT o_orderkey AS trial_id, model, hidden, d_model, bias, dropout FROM orders JOIN g ON o_orderkey % n = r"""
+)
+def grid_points(spark, sf):
+    s = SearchSpace()
+    s.add("model", D.categorical(["mlp", "transformer"]))
+    s.add("hidden", D.int(16, 32), when=("model", ["mlp"]))
+    s.add("d_model", D.int(64, 128), when=("model", ["transformer"]))
+    s.add("bias", D.boolean(), when=("hidden", list(range(16, 33, 2))))
+    s.add("dropout", D.float(0.0, 0.5))
+    ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("trial_id"))
+    return lowered.GridProgram(s, 3).unranked(ids, "trial_id")
+
+
+#: Balances of completed trials as components on [-1000, 10000], with a wide one at 4500.
+def balances(spark, sf):
+    return trials(spark, sf).select("study_id", "trial_id", "state", F.col("final")["price"].alias("price"), F.col("params")["balance"]["f"].alias("balance"))
+
+
+def asked(spark, sf):
+    return balances(spark, sf).where("state = 'Running' and trial_id % 100 = 0").select("study_id", "trial_id", "balance")
+
+
+PARZEN = """{name} AS (SELECT study_id, mu, CASE tie WHEN 0 THEN 11000.0 ELSE least(greatest(least(coalesce(mu - lag(mu) OVER w, 11000), coalesce(lead(mu) OVER w - mu, 11000)), 110), 11000) END AS sigma
+FROM (SELECT study_id, balance AS mu, 1 AS tie FROM {source} UNION ALL SELECT DISTINCT study_id, 4500.0, 0 FROM {source}) WINDOW w AS (PARTITION BY study_id ORDER BY mu, tie)),
+{name}_at AS (SELECT q.study_id, q.trial_id, ln(sum(exp(-0.5 * ((q.balance - mu) / sigma) ** 2 - ln(sigma * sqrt(2 * pi()))))) - ln(count(*)) AS v FROM asked q JOIN {name} USING (study_id) GROUP BY ALL)"""
+ASKED = "asked AS (SELECT study_id, trial_id, balance FROM trials WHERE state = 'Running' AND trial_id % 100 = 0)"
+
+
+@query(f"WITH {TRIALS}, {ASKED}, done AS (SELECT * FROM trials WHERE state = 'Complete'), {PARZEN.format(name='c', source='done')} SELECT study_id, trial_id, round(v, 6) AS density FROM c_at")
+def parzen_logpdf(spark, sf):
+    done = balances(spark, sf).where("state = 'Complete'")
+    c = density.parzen(done, ["study_id"], "balance", -1000.0, 10000.0)
+    return rounded(density.log_density(asked(spark, sf), c, ["study_id"], "trial_id", "balance", "density").drop("balance"), "density")
+
+
+PARTED = "parted AS (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY price, trial_id) <= least(25, greatest(ceil(0.25 * count(*) OVER (PARTITION BY study_id)), 1), count(*) OVER (PARTITION BY study_id) - 1) AS good FROM trials WHERE state = 'Complete'), best AS (SELECT * FROM parted WHERE good), rest AS (SELECT * FROM parted WHERE NOT good)"
+TPE = f"WITH {TRIALS}, {ASKED}, {PARTED}, {PARZEN.format(name='l', source='best')}, {PARZEN.format(name='g', source='rest')}, scored AS (SELECT study_id, trial_id, l_at.v AS l, g_at.v AS g, l_at.v - g_at.v AS gain FROM l_at JOIN g_at USING (study_id, trial_id))"
+
+
+def scored(spark, sf):
+    done = balances(spark, sf).where("state = 'Complete'")
+    return density.tpe_scores(asked(spark, sf), done, ["study_id"], "trial_id", "balance", "price", "trial_id", -1000.0, 10000.0)
+
+
+@query(f"{TPE} SELECT study_id, trial_id, round(l, 6) AS l, round(g, 6) AS g, round(gain, 6) AS gain FROM scored")
+def tpe_score(spark, sf):
+    return rounded(scored(spark, sf).drop("balance"), "l", "g", "gain")
+
+
+@query(f"{TPE} SELECT study_id, trial_id, round(gain, 6) AS gain FROM scored QUALIFY row_number() OVER (PARTITION BY study_id ORDER BY gain DESC, trial_id) = 1")
+def tpe_choice(spark, sf):
+    return rounded(density.best_candidates(scored(spark, sf), ["study_id"], "trial_id").select("study_id", "trial_id", "gain"), "gain")
 
 
 @query("SELECT * FROM (VALUES (3,0,27,1,9),(3,1,9,3,3),(3,2,3,9,1),(3,3,1,27,0),(2,0,12,3,4),(2,1,4,9,1),(2,2,1,27,0),(1,0,6,9,2),(1,1,2,27,0),(0,0,4,27,0)) v(bracket, rung, configs, resource, keep)")
@@ -550,7 +637,7 @@ def fuse_mean(spark, sf):
 # Coordination, over a snapshot of leases.
 
 
-def leases(spark, sf):
+def leased(spark, sf):
     t = trials(spark, sf)
     return t.select("study_id", "trial_id", F.when(F.col("state") == "Pruned", "Waiting").otherwise(F.col("state")).alias("state"), F.when(F.col("trial_id") % 5 > 0, F.col("trial_id") % 100).alias("lease_expiry"))
 
@@ -560,25 +647,18 @@ LEASES = f"WITH {TRIALS}, l AS (SELECT study_id, trial_id, CASE state WHEN 'Prun
 
 @query(f"{LEASES} SELECT study_id, min(trial_id) AS trial_id FROM l WHERE state = 'Waiting' OR (state = 'Running' AND (lease_expiry IS NULL OR lease_expiry <= 50)) GROUP BY 1")
 def claim_next(spark, sf):
-    free = (F.col("state") == "Waiting") | ((F.col("state") == "Running") & (F.col("lease_expiry").isNull() | (F.col("lease_expiry") <= 50)))
-    return leases(spark, sf).where(free).groupBy("study_id").agg(F.min("trial_id").alias("trial_id"))
+    return leases.claim_next(leased(spark, sf), 50)
 
 
 @query(f"{LEASES} SELECT study_id, trial_id, CASE WHEN state = 'Running' AND lease_expiry <= 50 THEN 'Waiting' ELSE state END AS state FROM l")
 def recover_orphans(spark, sf):
-    lost = (F.col("state") == "Running") & (F.col("lease_expiry") <= 50)
-    return leases(spark, sf).select("study_id", "trial_id", F.when(lost, "Waiting").otherwise(F.col("state")).alias("state"))
+    return leases.recovered(leased(spark, sf), 50).select("study_id", "trial_id", "state")
 
 
 @query("SELECT o_orderkey AS request, min(s_suppkey) AS device FROM (SELECT o_orderkey, o_totalprice / 50 AS cpu, s_suppkey, s_acctbal, min(s_acctbal) FILTER (s_acctbal >= o_totalprice / 50) OVER (PARTITION BY o_orderkey) AS fit FROM orders, supplier) WHERE s_acctbal = fit GROUP BY 1")
 def best_fit(spark, sf):
-    """The device with the least capacity that suffices for each request: requests and capacities in one order,
-    and the next capacity at or after each request."""
-    o = table(spark, sf, "orders").select((F.col("o_totalprice") / 50).alias("x"), F.lit(0).alias("kind"), F.col("o_orderkey").alias("key"))
-    s = table(spark, sf, "supplier").groupBy(F.col("s_acctbal").alias("x")).agg(F.min("s_suppkey").alias("key")).select("x", F.lit(1).alias("kind"), "key")
-    devices = [(r["x"], r["key"]) for r in s.orderBy("x").collect()]  # the ledger of devices is the driver's
-    fits = F.filter(F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(k).alias("key")) for x, k in devices]), lambda d: d["x"] >= F.col("x"))
-    return o.select(F.col("key").alias("request"), F.try_element_at(fits, F.lit(1))["key"].alias("device")).where("device is not null")
+    requests = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 50).alias("x"))
+    return leases.best_fit(requests, table(spark, sf, "supplier"), "x", "o_orderkey", "s_acctbal", "s_suppkey")
 
 
 # Streams.
@@ -605,5 +685,5 @@ def report_stream_upsert(spark, sf):
 
 @query(f"{LEASES} SELECT trial_id, 'w' AS owner, CASE WHEN lease_expiry <= 50 THEN 'Waiting' ELSE 'Running' END AS state FROM l WHERE lease_expiry IS NOT NULL")
 def lease_timeouts(spark, sf):
-    events = leases(spark, sf).where("lease_expiry is not null").select("trial_id", F.lit("w").alias("owner"), F.col("lease_expiry").alias("expiry_ms"), F.col("trial_id").alias("seq"))
+    events = leased(spark, sf).where("lease_expiry is not null").select("trial_id", F.lit("w").alias("owner"), F.col("lease_expiry").alias("expiry_ms"), F.col("trial_id").alias("seq"))
     return stream.lease_timeouts(events, 50)
