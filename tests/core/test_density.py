@@ -25,14 +25,14 @@ def test_split_and_choice(spark):
     rng = random.Random(2)
     for n in (2, 3, 30, 150):
         trials = [("s", k, rng.uniform(0, 1), rng.choice([math.nan, rng.random()]) if n == 30 else rng.random()) for k in range(n)]
-        df = spark.createDataFrame(trials, "g string, t long, x double, y double")
-        good = {r["t"] for r in density.good_and_bad(df, ["g"], "y", "t").where("good").collect()}
+        df = spark.createDataFrame(trials, "study string, t long, x double, y double")
+        good = {r["t"] for r in density.good_and_bad(df, ["study"], "y", "t").where("good").collect()}
         history = History([({"t": t}, [y]) for _, t, _, y in trials], n)
         assert good == {p["t"] for p in TpeSampler().split(history)[0]}
-    asked = spark.createDataFrame([("s", k, k / 20) for k in range(20)] + [("t", 1, 0.5)], "g string, k long, x double")
-    scored = density.tpe_scores(asked, df, ["g"], "k", "x", "y", "t", 0.0, 1.0)
+    asked = spark.createDataFrame([("s", k, k / 20) for k in range(20)] + [("t", 1, 0.5)], "study string, k long, x double")
+    scored = density.tpe_scores(asked, df, ["study"], "k", "x", "y", "t", 0.0, 1.0)
     best = max((r for r in scored.collect() if r["gain"] is not None), key=lambda r: (r["gain"], -r["k"]))
-    assert [tuple(r) for r in density.best_candidates(scored, ["g"], "k").collect()] == [tuple(best)]
+    assert [tuple(r) for r in density.best_candidates(scored, ["study"], "k").collect()] == [tuple(best)]
 
 
 def test_leases(spark):
