@@ -292,6 +292,21 @@ def hypervolume_sampled(spark, sf):
     return rounded(pareto.hypervolume(p, [2100.0, 0.0, 1e6]), "hypervolume", to=2)
 
 
+@query(
+    f"""WITH p AS (SELECT p_brand AS "group", p_partkey AS id, CAST(p_retailprice AS DOUBLE) AS o0, -CAST(p_size AS DOUBLE) AS o1, CAST(length(p_name) AS DOUBLE) AS o2 FROM part), i AS (SELECT * FROM p WHERE o0 < 2100 AND o1 < 0 AND o2 < 60), l AS (SELECT "group", min(o0) AS low0, min(o1) AS low1, min(o2) AS low2 FROM i GROUP BY 1), d AS (SELECT "group", sample, {DRAW.format(k=0, r="2100.0::DOUBLE")}, {DRAW.format(k=1, r="0.0::DOUBLE")}, {DRAW.format(k=2, r="60.0::DOUBLE")} FROM l, range(2000) t(sample)), h AS (SELECT d."group", sample, min(id) AS id FROM d JOIN i ON d."group" = i."group" AND i.o0 <= d.s0 AND i.o1 <= d.s1 AND i.o2 <= d.s2 GROUP BY ALL), c AS (SELECT "group", id, count(*) AS n FROM h GROUP BY ALL) SELECT p."group", p.id, round(coalesce(sum(coalesce(n, 0)) OVER (PARTITION BY p."group" ORDER BY p.id) / 2000 * (2100.0 - low0) * (0.0 - low1) * (60.0 - low2), 0), 2) AS hypervolume FROM p LEFT JOIN c ON c."group" = p."group" AND c.id = p.id LEFT JOIN l ON l."group" = p."group" """
+)
+def hypervolume_history_sampled(spark, sf):
+    p = table(spark, sf, "part").withColumn("m", F.length("p_name"))
+    points = pareto.objectives(p, "p_brand", "p_partkey", [("p_retailprice", MINIMIZE), ("p_size", MAXIMIZE), ("m", MINIMIZE)])
+    return rounded(pareto.hypervolume_history_sampled(points, [2100.0, 0.0, 60.0], samples=2000), "hypervolume", to=2)
+
+
+@query('WITH p AS (SELECT CAST(o_custkey % 4 AS INTEGER) AS "group", o_orderkey AS id, o_totalprice AS o0, CAST(epoch(o_orderdate) / 86400 AS DOUBLE) AS o1, CAST(o_custkey % 97 AS DOUBLE) AS o2 FROM orders), u AS (SELECT "group", o0, o1, o2, min(id) AS id FROM p GROUP BY ALL) SELECT "group", o0, o1, o2, id FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b."group" = a."group" AND b.o0 <= a.o0 AND b.o1 <= a.o1 AND b.o2 <= a.o2 AND (b.o0 < a.o0 OR b.o1 < a.o1 OR b.o2 < a.o2))')
+def pareto_front_three(spark, sf):
+    o = table(spark, sf, "orders").select((F.col("o_custkey") % 4).cast("int").alias("g"), "o_orderkey", "o_totalprice", F.unix_date(F.col("o_orderdate").cast("date")).alias("day"), (F.col("o_custkey") % 97).alias("m"))
+    return pareto.front(pareto.objectives(o, "g", "o_orderkey", [("o_totalprice", MINIMIZE), ("day", MINIMIZE), ("m", MINIMIZE)]))
+
+
 # Spaces and proposals.
 
 
