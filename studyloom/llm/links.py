@@ -171,9 +171,9 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
 
 
 def dealt_to_tiles(shared: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
-    """(TILE..., node, root, n, side): members of buckets that hold several components, for every tile they are in; side is 0 for
-    the first block, 1 for the second, 2 where a block meets itself."""
-    sized, ratio = size_bands(shared, num, den)
+    """(TILE..., node, root, n, side, most): members of buckets that hold several components, for every tile they are in; side is 0 for
+    the first block, 1 for the second, 2 where a block meets itself. most is the size that a partner in this bucket can have at most."""
+    sized, ratio = size_bands(shared if "most" in shared.columns else shared.withColumn("most", F.lit((1 << 63) - 1)), num, den)
     labelled = sized.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
     # So many classes of a size band take one block; sizes of a band differ by the factor den / num at most.
@@ -189,7 +189,7 @@ def dealt_to_tiles(shared: DataFrame, roots: DataFrame, num: int, den: int) -> D
     same = F.transform(every(0), lambda k: tile(size, F.least(own, k), size, F.greatest(own, k), F.when(k == own, 2).when(k > own, 0).otherwise(1)))
     above = F.transform(every(1), lambda k: tile(size, own, size + 1, k, F.lit(0)))
     below = F.transform(every(-1), lambda k: tile(size - 1, k, size, own, F.lit(1)))
-    return members.select("band", F.explode(F.concat(same, above, below)).alias("t"), "node", "root", "n").select("band", "t.size_a", "t.block_a", "t.size_b", "t.block_b", "node", "root", "n", "t.side")
+    return members.select("band", F.explode(F.concat(same, above, below)).alias("t"), "node", "root", "n", "most").select("band", "t.size_a", "t.block_a", "t.size_b", "t.block_b", "node", "root", "n", "t.side", "most")
 
 
 def tiles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -208,14 +208,14 @@ def tiles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 def open_pairs(held: list[dict], make: Callable[[list[dict]], Filter]) -> Iterator[tuple[int, np.ndarray]]:
     """(i, others): pairs of a tile between different components that the filter lets pass."""
-    side, root = np.asarray([r["side"] for r in held]), np.asarray([r["root"] for r in held])
+    side, root, n, most = (np.asarray([r[c] for r in held]) for c in ("side", "root", "n", "most"))
     right = np.flatnonzero(side > 0)
     left = np.flatnonzero(side != 1)
     if not len(left) or not len(right) or (root == root[0]).all():
         return
     check = make(held)
     for i in left.tolist():
-        others = right[(root[right] != root[i]) & ((side[right] != 2) | (right > i))]
+        others = right[(root[right] != root[i]) & ((side[right] != 2) | (right > i)) & (n[right] <= most[i]) & (most[right] >= n[i])]
         if len(others):
             others = check.partners(i, others)
             if len(others):
@@ -249,11 +249,17 @@ def links_of(held: list[dict], make: Callable[[list[dict]], Filter], width: int,
     return out
 
 
-def worth_a_look(dealt: DataFrame) -> DataFrame:
-    """The rows of tiles that have classes of different components on both sides."""
-    left, right = F.count_if(F.col("side") != 1), F.count_if(F.col("side") != 0)
-    tiles = dealt.groupBy(*TILE).agg(F.min("root").alias("low"), F.max("root").alias("high"), left.alias("left"), right.alias("right")).where("low <> high and left > 0 and right > 0")
-    return dealt.join(tiles.select(*TILE), list(TILE), "left_semi")
+def worth_a_look(dealt: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of tiles that have classes of different components on both sides, where sizes allow a link with the other side."""
+    left, right = F.col("side") != 1, F.col("side") != 0
+    of = lambda side, name: [F.min(F.when(side, F.col("n"))).alias(f"low_{name}"), F.max(F.when(side, F.col("n"))).alias(f"high_{name}")]
+    tiles = dealt.groupBy(*TILE).agg(F.min("root").alias("low"), F.max("root").alias("high"), *of(left, "left"), *of(right, "right")).where("low <> high and low_left is not null and low_right is not null")
+    tiles = tiles.select(*[F.col(c).alias(f"_{c}") for c in TILE], "low_left", "high_left", "low_right", "high_right")
+    same = [dealt[c] == tiles[f"_{c}"] for c in TILE]
+    n, most = F.col("n"), F.col("most")
+    meets = lambda name: (F.col(f"low_{name}") <= most) & (F.col(f"high_{name}") * den >= n * num) & (n * den >= F.col(f"low_{name}") * num)
+    fits = F.when(F.col("side") == 0, meets("right")).when(F.col("side") == 1, meets("left")).otherwise(meets("left"))
+    return dealt.join(tiles, same).where(fits).select(*dealt.columns)
 
 
 def between_components(shared: DataFrame, roots: DataFrame, classes: DataFrame, rows: DataFrame, looks: list[tuple[Callable[[list[dict]], Filter], list[str]]], width: int, num: int, den: int, tables: Tables) -> DataFrame:
@@ -261,9 +267,9 @@ def between_components(shared: DataFrame, roots: DataFrame, classes: DataFrame,
     in a tile. shared: (band, node, n); looks: filters with the columns of classes that each reads, one after another, the
     cheapest first; the last one's pairs are verified on texts."""
     spark = rows.sparkSession
-    own = "band long, size_a int, block_a int, size_b int, block_b int, node long, root long, n long, side int"
+    own = "band long, size_a int, block_a int, size_b int, block_b int, node long, root long, n long, side int, most long"
     names = [x.split()[0] for x in own.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
     def survivors(make: Callable[[list[dict]], Filter]) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +292,9 @@ def between_components(shared: DataFrame, roots: DataFrame, classes: DataFrame,
     def in_tiles(df: DataFrame) -> DataFrame:
         return df.repartition(slots(spark), *TILE).sortWithinPartitions(*TILE, "node")
 
-    left = worth_a_look(tables.stage(dealt_to_tiles(shared, roots, num, den), "near-dealt"))
+    left = worth_a_look(tables.stage(dealt_to_tiles(shared, roots, num, den), "near-dealt"), num, den)
+    # Where one side has lost its last row, the tile goes.
+    left = worth_a_look(tables.stage(left, "near-dealt"), num, den) if "most" in shared.columns else left
     for make, columns in looks:
         left = tables.stage(in_tiles(left.join(classes.select("node", *columns), "node")).mapInArrow(survivors(make), own), "near-tiles")
     if left.isEmpty():

@@ -105,18 +105,22 @@ def signed(rows: DataFrame, width: int, common: tuple[np.ndarray, np.ndarray], n
     return rows.mapInArrow(run, "doc_id long, text_key long, n long, set_key binary, bits binary, prefix binary")
 
 
-def prefix_rows(classes: DataFrame) -> DataFrame:
-    """(band, node, n): a row per class and prefix element."""
+def prefix_rows(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(band, node, n, most): a row per class and prefix element. If the element at this place is the first that another set shares, the
+    two have no more in common than what follows, so a set of more than `most` elements is no partner here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 x = b.slice(k, 512)
                 own = [unpack(p.as_py()) for p in x.column("prefix")]
-                each = [pa.array(np.repeat(x.column(c).to_numpy(), [len(p) for p in own])) for c in ("node", "n")]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), *each], ["band", "node", "n"])
+                sizes = np.asarray([len(p) for p in own])
+                node, n = (np.repeat(x.column(c).to_numpy(), sizes) for c in ("node", "n"))
+                place = np.arange(len(n)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                most = (n - place) * (num + den) // num - n
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(node), pa.array(n), pa.array(most)], ["band", "node", "n", "most"])
 
-    return classes.select("node", "n", "prefix").mapInArrow(run, "band long, node long, n long")
+    return classes.select("node", "n", "prefix").mapInArrow(run, "band long, node long, n long, most long")
 
 
 def bounded(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -207,7 +211,7 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, i
     # Signatures are kept once for each set.
     own = tables.stage(own.select("doc_id", "n", "set_key"), "join-sets")
     tables.drop(wide)
-    each = prefix_rows(classes)
+    each = prefix_rows(classes, num, den)
     several = each.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
     shared = tables.stage(each.join(several, "band"), "join-prefixes")
     star = tables.stage(bounded(star_pairs(shared, num, den), classes, num, den), "join-pairs")
