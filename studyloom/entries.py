@@ -21,6 +21,7 @@ from .plans.space import Distribution as D
 from .plans.space import SearchSpace
 from .schema import MAXIMIZE, MINIMIZE
 from .streaming import reports as stream
+from .streaming import stops
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -293,12 +294,12 @@ def hypervolume_sampled(spark, sf):
 
 
 @query(
-    f"""WITH p AS (SELECT p_brand AS "group", p_partkey AS id, CAST(p_retailprice AS DOUBLE) AS o0, -CAST(p_size AS DOUBLE) AS o1, CAST(length(p_name) AS DOUBLE) AS o2 FROM part), i AS (SELECT * FROM p WHERE o0 < 2100 AND o1 < 0 AND o2 < 60), l AS (SELECT "group", min(o0) AS low0, min(o1) AS low1, min(o2) AS low2 FROM i GROUP BY 1), d AS (SELECT "group", sample, {DRAW.format(k=0, r="2100.0::DOUBLE")}, {DRAW.format(k=1, r="0.0::DOUBLE")}, {DRAW.format(k=2, r="60.0::DOUBLE")} FROM l, range(2000) t(sample)), h AS (SELECT d."group", sample, min(id) AS id FROM d JOIN i ON d."group" = i."group" AND i.o0 <= d.s0 AND i.o1 <= d.s1 AND i.o2 <= d.s2 GROUP BY ALL), c AS (SELECT "group", id, count(*) AS n FROM h GROUP BY ALL) SELECT p."group", p.id, round(coalesce(sum(coalesce(n, 0)) OVER (PARTITION BY p."group" ORDER BY p.id) / 2000 * (2100.0 - low0) * (0.0 - low1) * (60.0 - low2), 0), 2) AS hypervolume FROM p LEFT JOIN c ON c."group" = p."group" AND c.id = p.id LEFT JOIN l ON l."group" = p."group" """
+    f"""WITH p AS (SELECT p_brand AS "group", p_partkey AS id, CAST(p_retailprice AS DOUBLE) AS o0, -CAST(p_size AS DOUBLE) AS o1, CAST(length(p_name) AS DOUBLE) AS o2 FROM part), i AS (SELECT * FROM p WHERE o0 < 2100 AND o1 < 0 AND o2 < 60), l AS (SELECT "group", min(o0) AS low0, min(o1) AS low1, min(o2) AS low2 FROM i GROUP BY 1), d AS (SELECT "group", sample, {DRAW.format(k=0, r="2100.0::DOUBLE")}, {DRAW.format(k=1, r="0.0::DOUBLE")}, {DRAW.format(k=2, r="60.0::DOUBLE")} FROM l, range(2000) t(sample)), h AS (SELECT d."group", sample, min(id) AS id FROM d JOIN i ON d."group" = i."group" AND i.o0 <= d.s0 AND i.o1 <= d.s1 AND i.o2 <= d.s2 GROUP BY ALL), c AS (SELECT "group", id, count(*) AS n FROM h GROUP BY ALL) SELECT p."group", p.id, round(coalesce(sum(coalesce(n, 0)) OVER (PARTITION BY p."group" ORDER BY p.id) / 2000 * (2100.0 - low0) * (0.0 - low1) * (60.0 - low2), 0), 0) AS hypervolume FROM p LEFT JOIN c ON c."group" = p."group" AND c.id = p.id LEFT JOIN l ON l."group" = p."group" """
 )
 def hypervolume_history_sampled(spark, sf):
     p = table(spark, sf, "part").withColumn("m", F.length("p_name"))
     points = pareto.objectives(p, "p_brand", "p_partkey", [("p_retailprice", MINIMIZE), ("p_size", MAXIMIZE), ("m", MINIMIZE)])
-    return rounded(pareto.hypervolume_history_sampled(points, [2100.0, 0.0, 60.0], samples=2000), "hypervolume", to=2)
+    return rounded(pareto.hypervolume_history_sampled(points, [2100.0, 0.0, 60.0], samples=2000), "hypervolume", to=0)
 
 
 @query('WITH p AS (SELECT CAST(o_custkey % 4 AS INTEGER) AS "group", o_orderkey AS id, o_totalprice AS o0, CAST(epoch(o_orderdate) / 86400 AS DOUBLE) AS o1, CAST(o_custkey % 97 AS DOUBLE) AS o2 FROM orders), u AS (SELECT "group", o0, o1, o2, min(id) AS id FROM p GROUP BY ALL) SELECT "group", o0, o1, o2, id FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b."group" = a."group" AND b.o0 <= a.o0 AND b.o1 <= a.o1 AND b.o2 <= a.o2 AND (b.o0 < a.o0 OR b.o1 < a.o1 OR b.o2 < a.o2))')
@@ -698,6 +699,17 @@ def report_stream_upsert(spark, sf):
     return out.groupBy("study_id", "trial_id", "step", "metric").agg(F.max_by("value", "epoch").alias("value"))
 
 
+@query(f"{BOTH}, m AS (SELECT study_id, step, median(value) AS middle, count(*) AS n FROM reports JOIN trials USING (study_id, trial_id) WHERE state <> 'Running' GROUP BY ALL) SELECT study_id, trial_id, step, value, round(middle, 6) AS middle FROM reports JOIN trials USING (study_id, trial_id) JOIN m USING (study_id, step) WHERE state = 'Running' AND n >= 5 AND value > middle QUALIFY row_number() OVER (PARTITION BY study_id, trial_id ORDER BY step) = 1")
+def sticky_stops(spark, sf):
+    """Order lines as a stream of reports, first those of ended trials, run to its end."""
+    r = reports(spark, sf).join(trials(spark, sf).select("study_id", "trial_id", "state"), ["study_id", "trial_id"])
+    rows = r.select("study_id", "trial_id", "step", "value", (F.col("state") != "Running").alias("peer"))
+    source, out, checkpoint = stops.scratch_folders(spark)
+    rows.where("peer").write.parquet(source)
+    rows.where("not peer").write.mode("append").parquet(source)
+    return rounded(stops.run_to_end(spark, source, rows.schema, out, checkpoint, files_at_once=1000, direction=MINIMIZE, min_trials=5), "middle")
+
+
 @query(f"{LEASES} SELECT trial_id, 'w' AS owner, CASE WHEN lease_expiry <= 50 THEN 'Waiting' ELSE 'Running' END AS state FROM l WHERE lease_expiry IS NOT NULL")
 def lease_timeouts(spark, sf):
     events = leased(spark, sf).where("lease_expiry is not null").select("trial_id", F.lit("w").alias("owner"), F.col("lease_expiry").alias("expiry_ms"), F.col("trial_id").alias("seq"))
