@@ -1,11 +1,14 @@
 """Personal data: four base kinds by rule, further identifiers by bootstrapped context.
 
 Base spans come from regular expressions and checks of what they match. They are seeds, with white space
-inside or not, and so are key-like tokens (KEY: long runs of letters mixed with digits). The words around a whole seed
+inside or not, and so are key-like tokens (KEY: long runs of letters mixed with digits), but for a share that is held
+back and treated like any other token. The words around a whole seed
 make patterns, and patterns, seeds and the identifier-like tokens that they surround form a graph. Spark scores it in
 rounds: a pattern is as trustworthy as the instances that it surrounds, an instance is as likely as its patterns
-make it. What stands in a pattern of high confidence and is no base span is a new identifier (kind `id`); so a
-key-like token counts only where the corpus shows it in a context of such tokens.
+make it. An instance that is likely enough joins the seeds, and the next round mines patterns anew from all
+seeds there are, so contexts that no first seed stands in are learnt as well. What stands in a pattern of high confidence and
+is no base span is a new identifier (kind `id`); so a key-like token counts only where the corpus shows it in a
+context of such tokens.
 
 Everything is DataFrame expressions. Matches are placed by the lengths of the pieces between
 them: split() gives the pieces, regexp_extract_all() the matches. The expressions are those
@@ -38,12 +41,15 @@ KEY = r"^(?=(?:[^0-9]*+[0-9]){4})(?=(?:[^A-Za-z]*+[A-Za-z]){4})[A-Za-z0-9+/_=-]{
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """How the graph is scored. A pattern needs `seeds` different seeds and `confidence` to add spans."""
+    """How the graph is scored. A pattern needs `seeds` different seeds and `confidence` to add spans; a token that patterns make
+    `accept` likely is a seed from the next round on. Of the key-like tokens the share held_back, by hash, are no first seeds."""
 
-    rounds: int = 3
+    rounds: int = 4
     seeds: int = 3
     confidence: float = 0.6
     doubt: float = 1.0
+    accept: float = 0.6
+    held_back: float = 0.0
 
 
 def digits(m: Column) -> Column:
@@ -74,14 +80,13 @@ SPAN = "array<struct<start:int,kind:int,stop:int>>"
 #: Both hold the text found and its contexts.
 SEED = "array<struct<start:int,kind:int,stop:int,token:string,contexts:array<string>>>"
 CANDIDATE = "array<struct<start:int,stop:int,token:string,contexts:array<string>>>"
-#: What is left of the words beside a match: the rest of its own, and of each further word at most so many characters.
-BESIDE, WORD = r"^\S*+\s*+\S*+\s*+\S*+", 80
+#: What is left of the words beside a match: the rest of its own, and two further words.
+BESIDE = r"^\S*+\s*+\S*+\s*+\S*+"
 
 
 def near(side: Column) -> Column:
-    """The rest of a word and two words, shortened to WORD, that the text to one side of a match begins with."""
-    spaced = F.regexp_replace(F.regexp_extract(side, BESIDE, 0), r"\s+", " ")
-    return F.regexp_replace(spaced, rf"(?<!\S)(\S{{{WORD}}})\S++", "$1")
+    """The rest of a word and two whole words that the text to one side of a match begins with."""
+    return F.regexp_replace(F.regexp_extract(side, BESIDE, 0), r"\s+", " ")
 
 
 def sides(pairs: Column, piece, matched) -> Column:
@@ -164,20 +169,24 @@ def trusted(edges: DataFrame, rule: Bootstrap) -> DataFrame:
     # A token counts once for a pattern, however often it stands there.
     tables = Tables(edges.sparkSession)
     pairs = tables.stage(edges.groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "pii-graph")
-    seeds = pairs.groupBy("pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds"), F.count("*").alias("tokens"))
-    able = seeds.where(F.col("seeds") >= rule.seeds)
-    graph = tables.stage(pairs.join(able.select("pattern"), "pattern"), "pii-graph")
-    scored = graph.withColumn("score", F.col("seed").cast("double"))
+    scored = pairs.withColumns({"told": F.col("seed"), "score": F.col("seed").cast("double")})
     patterns = None
     for k in range(rule.rounds):
-        patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + rule.doubt)).alias("confidence"))
+        mined = scored.groupBy("pattern").agg(F.count_if("told").alias("seeds"), (F.sum("score") / (F.count("*") + rule.doubt)).alias("confidence"))
+        patterns = tables.stage(mined.where(F.col("seeds") >= rule.seeds).select("pattern", "confidence"), "pii-round")
         if k + 1 < rule.rounds:
             doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
-            tokens = graph.join(patterns, "pattern").groupBy("token").agg((1 - doubt).alias("by_patterns"))
-            scored = tables.stage(graph.join(tokens, "token").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.col("by_patterns"))).drop("by_patterns"), "pii-round")
+            tokens = pairs.join(patterns, "pattern").groupBy("token").agg((1 - doubt).alias("likely"))
+            joined = pairs.join(tokens, "token", "left").withColumn("told", F.col("seed") | F.coalesce(F.col("likely") >= rule.accept, F.lit(False)))
+            scored = tables.stage(joined.withColumn("score", F.when(F.col("told"), 1.0).otherwise(F.coalesce("likely", F.lit(0.0)))).drop("likely"), "pii-round")
     return tables.finish(patterns.where(F.col("confidence") >= rule.confidence), "pii-patterns")
 
 
+def first_seed(token: Column, rule: Bootstrap) -> Column:
+    """Key-like, and not held back."""
+    return token.rlike(KEY) & (F.pmod(F.xxhash64(F.lit("held"), token), F.lit(1000)) >= int(1000 * rule.held_back))
+
+
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Bootstrap = Bootstrap()) -> DataFrame:
     """(doc_id, base, added), one row per input row: spans (start, kind, stop) in code points, by start and
     kind. kind counts KINDS from 0, added spans have 4.
@@ -196,7 +205,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     covered = F.exists("base", lambda s: (s["start"] < F.col("t.stop")) & (s["stop"] > F.col("t.start")))
     each = found.where(F.size("tokens") > 0).select("row", "base", F.explode("tokens").alias("t")).select("row", "t.*", covered.alias("covered")).where(~F.col("covered"))
     # Long tokens and contexts stand in the graph by their hashes.
-    edges = each.select("row", "start", "stop", "token", F.explode("contexts").alias("c")).select("row", "start", "stop", F.length("token").alias("size"), F.xxhash64("token").alias("token"), F.col("token").rlike(KEY).alias("seed"), F.xxhash64("c").alias("pattern"))
+    edges = each.select("row", "start", "stop", "token", F.explode("contexts").alias("c")).select("row", "start", "stop", F.length("token").alias("size"), F.xxhash64("token").alias("token"), first_seed(F.col("token"), rule).alias("seed"), F.xxhash64("c").alias("pattern"))
     own = found.where(F.size("seeds") > 0).select(F.explode(seed_edges(F.col("seeds"))).alias("t")).select(F.xxhash64("t.token").alias("token"), F.explode("t.contexts").alias("c")).select(F.xxhash64("c").alias("pattern"), "token", F.lit(True).alias("seed"))
     good = trusted(edges.select("pattern", "token", "seed").unionAll(own), rule)
     new = edges.where("size > 0").join(good, "pattern").select("row", F.struct(F.col("start"), F.lit(len(KINDS)).alias("kind"), F.col("stop")).alias("span")).groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("added"))
@@ -211,6 +220,6 @@ def written(spans: Column) -> Column:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = personal_data(documents(spark, sf_dir))
+    found = personal_data(documents(spark, sf_dir), rule=Bootstrap(held_back=0.5))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))

@@ -93,7 +93,7 @@ def test_key_like_tokens_are_seeds_and_found_where_several_stand(spark):
 
 def test_graph_scores_against_brute_force(spark):
     rng = random.Random(6)
-    rule = pii.Bootstrap(rounds=4, seeds=2, confidence=0.4)
+    rule = pii.Bootstrap(rounds=4, seeds=2, confidence=0.4, accept=2.0)  # no token joins the seeds
     seeds = set(range(12))
     edges = [(rng.randrange(15), rng.randrange(40)) for _ in range(160)]
     edges += edges[:30]
@@ -111,6 +111,46 @@ def test_graph_scores_against_brute_force(spark):
     assert 0 < len(want) < 15 and set(got) == set(want) and all(abs(got[p] - x) < 1e-9 for p, x in want.items())
 
 
+def test_instances_join_the_seeds(spark):
+    rng = random.Random(7)
+    rule = pii.Bootstrap(rounds=5, seeds=2, confidence=0.5, accept=0.7)
+    seeds = set(range(10))
+    pairs = {(rng.randrange(25), rng.randrange(60)) for _ in range(170)} | {(p, t) for p in (30, 31) for t in (*range(6), 70, 71)} | {(40, t) for t in (70, 71, 72)}
+    told, score = set(seeds), {t: float(t in seeds) for _, t in pairs}
+    for k in range(rule.rounds):
+        own = {p: [t for q, t in pairs if q == p] for p, _ in pairs}
+        confidence = {p: sum(score[t] for t in ts) / (len(ts) + rule.doubt) for p, ts in own.items() if sum(t in told for t in ts) >= rule.seeds}
+        if k + 1 < rule.rounds:
+            likely = {t: 1 - math.prod(max(1e-9, 1 - confidence[q]) for q, u in pairs if u == t and q in confidence) for _, t in pairs}
+            told = seeds | {t for t, x in likely.items() if x >= rule.accept}
+            score = {t: 1.0 if t in told else likely[t] for t in likely}
+    got = {r["pattern"]: r["confidence"] for r in pii.trusted(spark.createDataFrame([(p, t, t in seeds) for p, t in pairs], "pattern long, token long, seed boolean"), rule).collect()}
+    want = {p: x for p, x in confidence.items() if x >= rule.confidence}
+    assert set(got) == set(want) and all(abs(got[p] - x) < 1e-9 for p, x in want.items())
+    # A pattern without any first seed: its tokens joined in a round before.
+    assert 40 in want and not any(t in seeds for q, t in pairs if q == 40)
+
+
+def test_held_back_identifiers_are_found_by_context(spark):
+    rng = random.Random(8)
+    key = lambda n=24: "".join(rng.choice("abcdefgh12345678") for _ in range(n - 8)) + "a1b2c3d4"
+    words = lambda n: " ".join(rng.choice(["lorem", "ipsum", "dolor", "amet", "sit", "elit"]) for _ in range(n))
+    rows, keys = [], []
+    for k in range(40):
+        keys.append(key())
+        rows.append((k, f"{words(5)} api secret {keys[-1]} rotated {words(5)}"))
+    rows += [(100 + k, f"{words(4)} badge number {k}7{k}8-{k:03d}99x {words(4)}") for k in range(20)]  # like a token, in no seed's context
+    rows += [(200, f"{words(3)} api secret no-1234-key rotated {words(3)}"), (201, f"seen {key()} alone"), (202, None)]
+    got = {r["doc_id"]: r for r in pii.personal_data(frame(spark, rows), rule=pii.Bootstrap(held_back=0.5)).collect()}
+    flags = spark.createDataFrame([(k,) for k in keys], "t string").select(pii.first_seed(F.col("t"), pii.Bootstrap(held_back=0.5)).alias("s")).collect()
+    assert 8 < sum(r["s"] for r in flags) < 32
+    text = dict(rows)
+    found = {i: [text[i][s["start"] : s["stop"]] for s in r["added"]] for i, r in got.items()}
+    assert all(found[k] == [keys[k]] for k in range(40))
+    assert found[200] == ["no-1234-key"]  # like no first seed at all
+    assert not any(found[i] for i in (*range(100, 120), 201, 202))
+
+
 def test_overlapping_base_spans_are_one_seed(spark):
     rows = [(k, f"aa bb {who} cc") for k, who in enumerate(("10.0.0.1@x.yz", "10.0.0.2@x.yz", "id-123456"))]
     assert not any(r["added"] for r in pii.personal_data(frame(spark, rows)).collect())
