@@ -82,6 +82,39 @@ class MedianRule:
         return sign(study.directions[0][1]) * middle(recent) > sign(study.directions[0][1]) * middle(finite)
 
 
+@dataclass
+class AshaRule:
+    """Successive halving inside a sequential loop: as operators.prune.asha_prune."""
+
+    min_resource: int = 1
+    eta: int = 3
+
+    def decide(self, study: Study, own: list[float], step: int) -> bool:
+        eta, rung = max(2, self.eta), max(1, self.min_resource)
+        while rung < step:
+            rung *= eta
+        if rung != step or math.isnan(own[-1]):
+            return False
+        s = sign(study.directions[0][1])
+        peers = [v for v in study.curves.get(step, []) if v is not None and not math.isnan(v)]
+        n = len(peers) + 1
+        return n >= eta and sum(s * v < s * own[-1] for v in peers) >= max(1, n // eta)
+
+
+@dataclass
+class DominanceRule:
+    """Several objectives inside a sequential loop: as operators.prune.multi_objective_prune."""
+
+    min_trials: int = 1
+
+    def decide(self, study: Study, own: list[float], step: int) -> bool:
+        mine, peers = study.vector(study.latest), [study.vector(b) for b in study.bags.get(step, [])]
+        if mine is None or len(peers) < max(1, self.min_trials):
+            return False
+        worse = sum(p is not None and all(x <= y for x, y in zip(p, mine, strict=True)) and p != mine for p in peers)
+        return 2 * worse > len(peers)
+
+
 def middle(ordered: list[float]) -> float:
     n = len(ordered)
     return ordered[n // 2] if n % 2 else (ordered[n // 2 - 1] + ordered[n // 2]) / 2
@@ -92,7 +125,7 @@ class Study:
     space: SearchSpace
     directions: list[tuple[str, str]] = field(default_factory=lambda: [("objective", MINIMIZE)])
     sampler: Sampler = field(default_factory=RandomSampler)
-    pruner: MedianRule | None = None
+    pruner: MedianRule | AshaRule | DominanceRule | None = None
     store: Store | None = None
     spark: SparkSession | None = None
     name: str = "study"
@@ -101,6 +134,9 @@ class Study:
     study_id: int | None = None
     records: list[dict] = field(default_factory=list)
     curves: dict[int, list] = field(default_factory=dict)
+    #: All metrics that ended trials reported at each step, and the latest of the running one.
+    bags: dict[int, list[dict]] = field(default_factory=dict)
+    latest: dict = field(default_factory=dict)
     used: Used = field(default_factory=Used)
 
     def __post_init__(self) -> None:
@@ -139,20 +175,30 @@ class Study:
                 self._tell(*r, dict(zip(ids, asked, strict=True))[r[0]])
             self.used.trials += n
             self.used.wall_ms += int((time.time() - began) * 1000)
-        if self.store:
-            self.store.flush()
+            if self.store:
+                self.store.flush()
         return self
 
+    def vector(self, metrics: dict) -> list[float] | None:
+        """The objectives turned so that smaller is better; none where one is missing or NaN."""
+        values = [sign(d) * metrics.get(n, math.nan) for n, d in self.directions]
+        return None if any(math.isnan(v) for v in values) else values
+
     def _evaluate(self, objective, batch):
         if self.pruner is None or len(batch) > 1:
             return evaluate(self.spark, objective, batch)
         own: list[float] = []
 
+        trial, params = batch[0]
+
         def stop(step, metrics):
             own.append(metrics.get(self.directions[0][0], math.nan))
+            self.latest = metrics
+            if self.store:  # as they come: a crash keeps what the store has flushed
+                self.store.report(trial, step, metrics)
             return self.pruner.decide(self, own, step)
 
-        sink, (trial, params) = Sink(stop), batch[0]
+        sink = Sink(stop)
         try:
             final = objective(params, sink)
             return [(trial, PRUNED if sink.stopped else COMPLETE, final, sink.reports)]
@@ -164,10 +210,11 @@ class Study:
         for step, m in dict(reports).items():
             if state in (COMPLETE, PRUNED):
                 self.curves.setdefault(step, []).append(m.get(self.directions[0][0]))
+                self.bags.setdefault(step, []).append(m)
         self.used.steps += len(dict(reports))
         self.used.epochs += max((s for s, _ in reports), default=0)
         if self.store:
-            for step, m in reports:
+            for step, m in reports if self.pruner is None or self.batch > 1 else ():
                 self.store.report(trial, step, m)
             self.store.complete(trial, state, final)
 

@@ -13,7 +13,7 @@ from studyloom.plans.coord import Devices, Resources, Worker, enqueue_pending
 from studyloom.plans.samplers import History
 from studyloom.plans.space import Distribution as D
 from studyloom.plans.study import MedianRule, Study, aggregate, hyperband, replicate
-from studyloom.schema import InvalidDistribution, InvalidSpace, MissingParam, NotFound, TypeMismatch
+from studyloom.schema import InvalidDistribution, InvalidSpace, MissingParam, NotFound, StorageError, TypeMismatch
 from studyloom.sources.store import Store, claim_file
 
 
@@ -206,6 +206,87 @@ def test_parquet_store(spark, tmp_path):
     assert "a &lt;b&gt;" in page and "6 trials" in page
 
 
+def test_store_versions(spark, tmp_path):
+    root = str(tmp_path / "store")
+    store = Store(spark, root, clock=lambda: 7, flush_rows=6)
+    assert store.schema_version() == 4
+    study = store.create_study("s", [("objective", "minimize")])
+    for k in range(3):
+        t = store.enqueue_trial(study, {"x": float(k)})
+        store.report(t, 1, {"objective": 1.0 * k})
+        store.report(t, 1, {"objective": 2.0 * k})
+    assert store.snapshot.version > 4  # flushed by itself
+    store.flush()
+    before, rows = store.snapshot.version, sorted(map(tuple, store.reports_frame().collect()))
+    store.compact()
+    assert sorted(map(tuple, store.reports_frame().collect())) == rows and store._disk("reports").count() == 3
+    old = Store(spark, root, version=before)
+    assert old._disk("reports").count() == 6 and sorted(map(tuple, old.reports_frame().collect())) == rows
+    old.create_study("no", [])
+    with pytest.raises(StorageError):
+        old.flush()
+    # A commit that another writer was faster with changes nothing.
+    late = Store(spark, root)
+    store.report(1, 2, {"objective": 5.0})
+    store.flush()
+    late.report(1, 3, {"objective": 6.0})
+    with pytest.raises(StorageError):
+        late.flush()
+    assert {r["step"] for r in Store(spark, root).reports_frame().collect()} == {1, 2}
+    # A compaction that breaks off before its commit leaves the version as it was; what it wrote goes with the next vacuum.
+    real, store.manifest.commit = store.manifest.commit, lambda *a: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        store.compact()
+    store.manifest.commit = real
+    assert Store(spark, root).reports_frame().count() == 4
+    assert store.vacuum() > 2 and Store(spark, root).reports_frame().count() == 4 and Store(spark, root).study_ids() == [1]
+
+
+def test_store_migrations(spark, tmp_path):
+    root = str(tmp_path / "old")
+    spark.createDataFrame([(1,)], "version int").write.parquet(f"{root}/_schema_version")
+    spark.createDataFrame([(1, "old", "random", "none", 5)], "study_id long, name string, sampler string, pruner string, created_ms long").write.parquet(f"{root}/studies")
+    spark.createDataFrame([(1, 3, "Complete", {"objective": 2.0}, 9, 1)], "study_id long, trial_id long, state string, final map<string,double>, seed long, seq long").write.parquet(f"{root}/trials")
+    store = Store(spark, root)
+    assert [store.manifest.at(v).schema for v in range(1, 5)] == [1, 2, 3, 4] and store.schema_version() == 4
+    assert store.trials[3]["lease_owner"] is None and store.trials[3]["final"] == {"objective": 2.0} and store.list_artifacts(3) == []
+    store.save_artifact(3, "a", b"x")
+    store.flush()
+    assert Store(spark, root).load_artifact(3, "a") == b"x" and Store(spark, root).snapshot.version == 5
+    store.manifest.commit(store.snapshot, 99, store.snapshot.tables)
+    with pytest.raises(StorageError):
+        Store(spark, root)
+
+
+def test_reports_come_as_they_are_made(spark):
+    store = Store(spark)
+
+    def objective(p, sink):
+        sink.report(1, {"objective": p["x"]})
+        raise SystemExit
+
+    with pytest.raises(SystemExit):
+        Study(P.SearchSpace().add("x", D.float(0, 1)), store=store, pruner=MedianRule()).optimize(objective, 3)
+    assert store.reports_frame().count() == 1
+
+
+def test_rules_equal_the_operators(spark):
+    from studyloom.operators import prune
+    from studyloom.plans.study import AshaRule, DominanceRule
+
+    rng = np.random.default_rng(5)
+    for rule, names in ((AshaRule(1, 3), [("objective", "minimize")]), (DominanceRule(), [("a", "minimize"), ("b", "maximize")])):
+        for _ in range(12):
+            s = Study(P.SearchSpace().add("x", D.float(0, 1)), names)
+            metrics = [{n: float(rng.integers(0, 6)) for n, _ in names} for _ in range(7)]
+            s.bags, s.curves, s.latest = {3: metrics[1:]}, {3: [m[names[0][0]] for m in metrics[1:]]}, metrics[0]
+            rows = [(1, k, 3, n, v) for k, m in enumerate(metrics) for n, v in m.items()]
+            states = [(1, k, "Complete" if k else "Running") for k in range(7)]
+            frames = (spark.createDataFrame(rows, "study_id long, trial_id long, step long, metric string, value double"), spark.createDataFrame(states, "study_id long, trial_id long, state string"))
+            wanted = prune.asha_prune(*frames, "objective", "minimize") if len(names) == 1 else prune.multi_objective_prune(*frames, names)
+            assert rule.decide(s, [metrics[0][names[0][0]]], 3) == wanted.first()["prune"]
+
+
 def test_searches():
     assert search.reinforcement(trials=6).score > 0
     assert search.forecaster(np.sin(np.arange(120) / 5) + np.arange(120) / 100, trials=4, epochs=20).score < 1.5
