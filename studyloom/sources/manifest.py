@@ -20,6 +20,8 @@ class Snapshot:
     version: int
     schema: int
     tables: dict[str, list[str]]
+    #: append, or replace where folders hold the rows of others anew.
+    kind: str = "append"
 
 
 class Manifest:
@@ -57,16 +59,16 @@ class Manifest:
         finally:
             stream.close()
         own = json.loads(text)
-        return Snapshot(version, own["schema"], own["tables"])
+        return Snapshot(version, own["schema"], own["tables"], own.get("kind", "append"))
 
-    def commit(self, before: Snapshot | None, schema: int, tables: dict[str, list[str]]) -> Snapshot:
+    def commit(self, before: Snapshot | None, schema: int, tables: dict[str, list[str]], kind: str = "append") -> Snapshot:
         """The version after `before`; an error if another writer was faster."""
         version = before.version + 1 if before else 1
         draft, final = self.path(f"_manifest/{uuid.uuid4().hex}.draft"), self.path(f"_manifest/{version:08d}.json")
         fs = draft.getFileSystem(self.conf)
         out = fs.create(draft, False)
         try:
-            out.write(bytearray(json.dumps({"schema": schema, "tables": tables}, sort_keys=True).encode()))
+            out.write(bytearray(json.dumps({"schema": schema, "tables": tables, "kind": kind}, sort_keys=True).encode()))
         finally:
             out.close()
         # rename() of a file system may replace what is there; FileContext's does not.
@@ -76,7 +78,7 @@ class Manifest:
         except Exception as taken:
             fs.delete(draft, False)
             raise StorageError(f"version {version} was written by someone else") from taken
-        return Snapshot(version, schema, tables)
+        return Snapshot(version, schema, tables, kind)
 
     def new_folder(self, table: str) -> str:
         return f"data/{table}-{uuid.uuid4().hex}"
