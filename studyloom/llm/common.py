@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where a session on one machine names no shared folder, as in tests.
 LOCAL_SCRATCH = "/tmp/checkpoints/studyloom"
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the cluster (spark.checkpoint.dir), or one of our own where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return found or LOCAL_SCRATCH
 
 
 def scratch(spark: SparkSession, label: str) -> str:

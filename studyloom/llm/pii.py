@@ -164,10 +164,10 @@ def seed_edges(seeds: Column) -> Column:
     return F.aggregate(seeds, first, step, lambda acc: acc["out"])
 
 
-def trusted(edges: DataFrame, rule: Bootstrap) -> DataFrame:
-    """(pattern, confidence) of patterns that may add spans; edges: (pattern, token, seed)."""
+def trusted(edges: DataFrame, rule: Bootstrap, tables: Tables | None = None) -> DataFrame:
+    """(pattern, confidence) of patterns that may add spans; edges: (pattern, token, seed). The rounds' tables belong to `tables`."""
+    tables = tables or Tables(edges.sparkSession)
     # A token counts once for a pattern, however often it stands there.
-    tables = Tables(edges.sparkSession)
     pairs = tables.stage(edges.groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "pii-graph")
     scored = pairs.withColumns({"told": F.col("seed"), "score": F.col("seed").cast("double")})
     patterns = None
@@ -179,7 +179,7 @@ def trusted(edges: DataFrame, rule: Bootstrap) -> DataFrame:
             tokens = pairs.join(patterns, "pattern").groupBy("token").agg((1 - doubt).alias("likely"))
             joined = pairs.join(tokens, "token", "left").withColumn("told", F.col("seed") | F.coalesce(F.col("likely") >= rule.accept, F.lit(False)))
             scored = tables.stage(joined.withColumn("score", F.when(F.col("told"), 1.0).otherwise(F.coalesce("likely", F.lit(0.0)))).drop("likely"), "pii-round")
-    return tables.finish(patterns.where(F.col("confidence") >= rule.confidence), "pii-patterns")
+    return patterns.where(F.col("confidence") >= rule.confidence)
 
 
 def first_seed(token: Column, rule: Bootstrap) -> Column:
@@ -207,7 +207,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Long tokens and contexts stand in the graph by their hashes.
     edges = each.select("row", "start", "stop", "token", F.explode("contexts").alias("c")).select("row", "start", "stop", F.length("token").alias("size"), F.xxhash64("token").alias("token"), first_seed(F.col("token"), rule).alias("seed"), F.xxhash64("c").alias("pattern"))
     own = found.where(F.size("seeds") > 0).select(F.explode(seed_edges(F.col("seeds"))).alias("t")).select(F.xxhash64("t.token").alias("token"), F.explode("t.contexts").alias("c")).select(F.xxhash64("c").alias("pattern"), "token", F.lit(True).alias("seed"))
-    good = trusted(edges.select("pattern", "token", "seed").unionAll(own), rule)
+    good = trusted(edges.select("pattern", "token", "seed").unionAll(own), rule, tables)
     new = edges.where("size > 0").join(good, "pattern").select("row", F.struct(F.col("start"), F.lit(len(KINDS)).alias("kind"), F.col("stop")).alias("span")).groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("added"))
     out = found.join(new, "row", "left")
     return tables.finish(out.select("doc_id", "base", F.coalesce("added", F.array().cast(SPAN)).alias("added")), "pii-spans")
