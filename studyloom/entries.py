@@ -433,6 +433,12 @@ def hyperband_schedule(spark, sf):
     return fidelity.schedule_table(spark, 27, 3)
 
 
+@query("WITH r AS (SELECT p_partkey, CAST(p_size * 5 AS BIGINT) AS most, CAST(floor(ln(p_size * 5) / ln(3)) AS INTEGER) AS top FROM part), b AS (SELECT *, unnest(range(0, top + 1)) AS bracket FROM r), g AS (SELECT *, unnest(range(0, bracket + 1)) AS rung, ceil((top + 1) / (bracket + 1) * pow(3::DOUBLE, bracket)) AS n FROM b), c AS (SELECT *, greatest(1, CAST(floor(n / pow(3::DOUBLE, rung)) AS BIGINT)) AS configs FROM g) SELECT p_partkey, most, CAST(bracket AS INTEGER) AS bracket, CAST(rung AS INTEGER) AS rung, configs, least(greatest(1, CAST(floor(most / pow(3::DOUBLE, bracket) * pow(3::DOUBLE, rung) + 0.5) AS BIGINT)), most) AS used, CASE WHEN rung < bracket THEN greatest(1, configs // 3) ELSE 0 END AS keep FROM c")
+def bracket_schedules(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", (F.col("p_size") * 5).cast("long").alias("most"))
+    return fidelity.schedules(p, "most", 3)
+
+
 @query(f"WITH {TRIALS} SELECT study_id, trial_id, price, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY study_id ORDER BY price, trial_id) AS INTEGER) AS place FROM trials WHERE state = 'Complete') WHERE place <= 9")
 def survivors(spark, sf):
     done = trials(spark, sf).where(F.col("state") == "Complete").select("study_id", "trial_id", F.col("final")["price"].alias("price"))
@@ -545,6 +551,12 @@ def daily(spark, sf):
 DAILY = "WITH d AS (SELECT event_type, date_trunc('hour', ts) AS t, sum(value) AS y FROM events GROUP BY ALL)"
 
 
+@query(f"{DAILY}, n AS (SELECT event_type, count(*) AS n FROM d GROUP BY 1), e AS (SELECT event_type, n, unnest(range(100, n - 24 + 1, 24)) AS e FROM n) SELECT event_type, n, CAST((e - 100) // 24 AS INTEGER) AS fold, e - 100 AS train_start, e AS train_end, e AS test_start, e + 24 AS test_end FROM e")
+def time_folds(spark, sf):
+    lengths = daily(spark, sf).groupBy("event_type").agg(F.count("*").alias("n"))
+    return folds.time_folds_of(lengths, "n", 100, 24, sliding=True)
+
+
 @query(f"{DAILY}, l AS (SELECT event_type, t, y, lag(y, 1) OVER w AS y1, lag(y, 2) OVER w AS y2, lag(y, 3) OVER w AS y3 FROM d WINDOW w AS (PARTITION BY event_type ORDER BY t)) SELECT event_type, t, round(y, 4) AS y, round(y3, 4) AS f0, round(y2, 4) AS f1, round(y1, 4) AS f2 FROM l WHERE y3 IS NOT NULL")
 def lag_windows(spark, sf):
     w = folds.lag_windows(daily(spark, sf), 3, ["event_type"])
@@ -644,6 +656,19 @@ def sinusoidal(spark, sf):
     return rounded(signal.sinusoidal(spark, 32, 16), "value", to=9)
 
 
+@query("WITH b AS (SELECT s AS step, least(greatest(1 - cos(((s + 1) / 50.0 + 0.008) / 1.008 * pi() / 2) ** 2 / cos((s / 50.0 + 0.008) / 1.008 * pi() / 2) ** 2, 0), 0.999) AS beta FROM range(50) t(s)), a AS (SELECT step, exp(sum(ln(1 - beta)) OVER (ORDER BY step)) AS p FROM b) SELECT vec_id AS id, CAST(k - 1 AS INTEGER) AS pos, round(sqrt(p) * embedding[k] + sqrt(1 - p) * embedding[65 - k], 6) AS x FROM embeddings JOIN a ON vec_id % 50 = step, range(1, 65) t(k)")
+def diffusion_noised(spark, sf):
+    e = embedded(spark, sf).withColumn("step", F.col("id") % 50).withColumn("noise", F.reverse("v"))
+    found = signal.noised(e, signal.cosine_schedule(spark, 50), "v", "noise", "step")
+    return rounded(found.select("id", F.posexplode("noised").alias("pos", "x")), "x")
+
+
+@query(f"SELECT p_partkey, CAST(pos AS INTEGER) AS pos, token, CAST(d AS INTEGER) AS dim, round(CASE WHEN d % 2 = 0 THEN sin(pos / pow(10000, 2 * (d // 2) / 6.0)) ELSE cos(pos / pow(10000, 2 * (d // 2) / 6.0)) END, 9) AS value FROM ({TOKENS.format(key='p_partkey', text='p_name', table='part')}), range(6) t(d)")
+def token_positions(spark, sf):
+    t = text.token_rows(table(spark, sf, "part"), "p_partkey", "p_name")
+    return rounded(t.select("p_partkey", "pos", "token", F.posexplode(signal.position_code(F.col("pos"), 6)).alias("dim", "value")), "value", to=9)
+
+
 @query("SELECT vec_id AS id, CAST(k - 1 AS INTEGER) AS pos, round((CAST(embedding[k] AS DOUBLE) + embedding[k + 32]) / 2, 6) AS x FROM embeddings, range(1, 33) t(k)")
 def fuse_mean(spark, sf):
     e = embedded(spark, sf)

@@ -35,6 +35,24 @@ def schedule_table(spark: SparkSession, max_resource: int, eta: int = 3) -> Data
     return spark.createDataFrame(rows, "bracket int, rung int, configs long, resource long, keep long")
 
 
+def schedules(df: DataFrame, resource: str, eta: int = 3) -> DataFrame:
+    """df with (bracket, rung, configs, resource, keep) for each row's own largest resource, as schedule() gives them; a row
+    per bracket and rung. Rows without a resource of 1 at least are left out."""
+    eta = max(2, eta)
+    most = F.col("_most").cast("double")
+    power = lambda k: F.pow(F.lit(float(eta)), k)
+    # Where each bracket begins: a power of eta, or one more where the logarithms fall short of it.
+    starts = [eta**s if s_max(eta**s, eta) >= s else eta**s + 1 for s in range(1, 63) if eta**s < 1 << 62]
+    top = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in starts]), lambda x: x <= F.col("_most")))
+    rows = df.withColumn("_most", F.col(resource)).where("_most >= 1").withColumn("_top", top)
+    rows = rows.withColumn("bracket", F.explode(F.sequence(F.lit(0), F.col("_top")))).withColumn("rung", F.explode(F.sequence(F.lit(0), F.col("bracket"))))
+    start = F.ceil((F.col("_top") + 1) / (F.col("bracket") + 1) * power(F.col("bracket")))
+    configs = F.greatest(F.lit(1).cast("long"), F.floor(start / power(F.col("rung"))))
+    used = F.least(F.greatest(F.lit(1).cast("long"), F.floor(most / power(F.col("bracket")) * power(F.col("rung")) + 0.5)), F.col("_most").cast("long"))
+    keep = F.when(F.col("rung") < F.col("bracket"), F.greatest(F.lit(1).cast("long"), F.floor(configs / eta))).otherwise(F.lit(0).cast("long"))
+    return rows.select(*df.columns, "bracket", "rung", configs.alias("configs"), used.alias("used"), keep.alias("keep"))
+
+
 def survivors(df: DataFrame, keys: list[str], score: str, order: str, direction: str, keep) -> DataFrame:
     """The best `keep` of each group, of equal scores the earlier one; NaN comes last."""
     w = W.partitionBy(*keys).orderBy(F.isnan(score), F.lit(float(sign(direction))) * F.col(score), order)

@@ -57,6 +57,18 @@ def time_folds(spark: SparkSession, n: int, initial: int, horizon: int, step: in
     return out.where(F.assert_true(F.col("train_end") <= F.col("test_start")).isNull())
 
 
+def time_folds_of(df: DataFrame, n: str, initial: int, horizon: int, step: int | None = None, sliding: bool = False) -> DataFrame:
+    """df with (fold, train_start, train_end, test_start, test_end) for each row's own length `n`, as time_folds() gives them; a series that is too short
+    has none."""
+    if initial < 1 or horizon < 1:
+        raise StudyError("a time split needs an initial length and a horizon")
+    last_end = F.col(n).cast("long") - horizon
+    ends = F.when(last_end >= initial, F.sequence(F.lit(initial).cast("long"), last_end, F.lit(step or horizon).cast("long")))
+    rows = df.withColumn("train_end", F.explode(ends))
+    start = F.col("train_end") - initial if sliding else F.lit(0).cast("long")
+    return rows.select(*df.columns, F.floor((F.col("train_end") - initial) / (step or horizon)).cast("int").alias("fold"), start.alias("train_start"), "train_end", F.col("train_end").alias("test_start"), (F.col("train_end") + horizon).alias("test_end"))
+
+
 def lag_windows(df: DataFrame, width: int, keys: list[str], order: str = "t", value: str = "y") -> DataFrame:
     """(keys, t, features, y): the `width` values before each one that has so many."""
     found = scan(df, keys, [order], {"features": last(value, width)}).where((F.size("features") == width) & ~F.exists("features", lambda x: x.isNull()))

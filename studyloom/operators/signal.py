@@ -78,6 +78,19 @@ def sinusoidal(spark: SparkSession, length: int, width: int) -> DataFrame:
     return rows.select("pos", "dim", F.when(F.col("dim") % 2 == 0, F.sin(angle)).otherwise(F.cos(angle)).alias("value"))
 
 
+def noised(df: DataFrame, schedule: DataFrame, clean: str, noise: str, step: str, name: str = "noised") -> DataFrame:
+    """df with sqrt(alpha_bar) * clean + sqrt(1 - alpha_bar) * noise at each row's step; null where the schedule has no such step. A
+    schedule is as long as a parameter, so it goes to every task."""
+    levels = F.broadcast(schedule.select(F.col("step").alias("_s"), "alpha_bar"))
+    mixed = F.zip_with(clean, noise, lambda x, e: F.sqrt("alpha_bar") * x.cast("double") + F.sqrt(1 - F.col("alpha_bar")) * e.cast("double"))
+    return df.join(levels, df[step] == F.col("_s"), "left").withColumn(name, F.when(F.col("alpha_bar").isNotNull(), mixed)).drop("_s", "alpha_bar")
+
+
+def position_code(pos: Column, width: int) -> Column:
+    """The sinusoidal code of a place: sines at even, cosines at odd places of an array."""
+    return F.array(*[(F.sin if d % 2 == 0 else F.cos)(pos / F.pow(F.lit(10000.0), F.lit(2 * (d // 2) / width))) for d in range(width)])
+
+
 def pixel_normalise(pixels: Column, mean: float = 0.1307, deviation: float = 0.3081) -> Column:
     return F.transform(pixels, lambda x: (x.cast("double") / 255 - mean) / deviation)
 

@@ -33,7 +33,9 @@ def decide(batch: DataFrame, peers: DataFrame, objective: str, direction: str, w
     """(study_id, trial_id) to stop after a micro-batch of reports; peers: (study_id, step, middle, n)."""
     s = float(sign(direction))
     latest = batch.where(F.col("metric") == objective).groupBy("study_id", "trial_id").agg(F.max("step").alias("step"), F.max_by("value", "step").alias("value"))
-    hit = latest.join(peers, ["study_id", "step"]).where((F.col("step") >= warmup) & (F.col("n") > 0) & (s * F.col("value") > s * F.col("middle")))
+    # A NaN is larger than any number to Spark, but stops nothing.
+    worse = (s * F.col("value") > s * F.col("middle")) & ~F.isnan("value")
+    hit = latest.join(peers, ["study_id", "step"]).where((F.col("step") >= warmup) & (F.col("n") > 0) & worse)
     return hit.select("study_id", "trial_id").distinct()
 
 

@@ -109,3 +109,88 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     batch = reports.upserts(spark.createDataFrame(rows, kinds))
     assert sorted(map(tuple, spark.sql("SELECT * FROM ups").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_schedules_of_rows(spark):
+    from studyloom.operators import fidelity
+
+    for eta in (2, 3, 4):
+        got = {}
+        for r in fidelity.schedules(spark.range(0, 800).withColumnRenamed("id", "most"), "most", eta).collect():
+            got.setdefault(r["most"], []).append((r["bracket"], r["rung"], r["configs"], r["used"], r["keep"]))
+        assert 0 not in got
+        assert all(sorted(got[m]) == sorted(tuple(x.values()) for x in fidelity.schedule(m, eta)) for m in range(1, 800))
+
+
+def test_time_folds_of_rows(spark):
+    from studyloom.operators import folds
+
+    for sliding in (False, True):
+        got = folds.time_folds_of(spark.range(0, 45).withColumnRenamed("id", "n"), "n", 10, 5, 3, sliding).collect()
+        for n in (0, 14, 15, 40, 44):
+            assert [tuple(r)[1:] for r in got if r["n"] == n] == [tuple(r) for r in folds.time_folds(spark, n, 10, 5, 3, sliding).collect()]
+
+
+def test_noise_and_positions(spark):
+    from studyloom.operators import signal
+
+    df = spark.createDataFrame([(0, [1.0, 2.0], [0.5, -0.5]), (7, [1.0], [1.0])], "step long, x array<double>, e array<double>")
+    levels = {r["step"]: r["alpha_bar"] for r in signal.linear_schedule(spark, 5).collect()}
+    got = {r["step"]: r["noised"] for r in signal.noised(df, signal.linear_schedule(spark, 5), "x", "e", "step").collect()}
+    assert got[7] is None and got[0] == [levels[0] ** 0.5 * x + (1 - levels[0]) ** 0.5 * e for x, e in ((1.0, 0.5), (2.0, -0.5))]
+    table = {(r["pos"], r["dim"]): r["value"] for r in signal.sinusoidal(spark, 4, 6).collect()}
+    from pyspark.sql import functions as F
+
+    for r in spark.range(4).select("id", signal.position_code(F.col("id"), 6).alias("c")).collect():
+        assert all(abs(v - table[r["id"], d]) < 1e-12 for d, v in enumerate(r["c"]))
+
+
+def test_streams_of_reports(spark, tmp_path):
+    """Running bests, throughput and stop decisions of a folder that grows, each against a batch."""
+    from studyloom.streaming import reports
+
+    kind = "study_id long, trial_id long, step long, metric string, value double, seq long, at timestamp"
+    rows = [(1 + k % 2, k % 5, k // 5, "v", float((7 * k) % 11) if k % 6 else float("nan"), k, f"2024-01-01 00:{k:02d}:00") for k in range(40)]
+    df = spark.createDataFrame(rows, kind.replace("timestamp", "string")).withColumn("at", __import__("pyspark").sql.functions.to_timestamp("at"))
+    for k in range(4):
+        df.where(f"seq div 10 = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+
+    def run(query, mode, name):
+        q = query.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted(map(tuple, spark.table(name).collect()))
+
+    best = run(reports.running_best(stream(), "v", "minimize"), "complete", "best_now")
+    assert best == sorted(map(tuple, reports.running_best(df, "v", "minimize").collect()))
+    seen = run(reports.throughput(stream(), "at", "10 minutes", "1 hour"), "complete", "throughput_now")
+    assert [(r[0], r[2]) for r in seen] == [(s, 5) for s in (1, 2) for _ in range(4)]
+    peers = lambda: spark.createDataFrame([(1, k, 4.0, 3) for k in range(9)], "study_id long, step long, middle double, n long")
+    sink = reports.stop_sink(f"{tmp_path}/stops", peers, "v", "minimize")
+    q = stream().writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start()
+    q.awaitTermination()
+    stopped = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/stops").select("study_id", "trial_id").collect()}
+    last = {}
+    for s, t, step, _, v, seq, _ in rows:
+        last.setdefault((seq // 10, s, t), []).append((step, v))
+    assert stopped == {(s, t) for (_, s, t), own in last.items() if s == 1 and max(own)[1] > 4.0}
+
+
+def test_lease_timers(spark, tmp_path):
+    import time
+
+    from studyloom.streaming import reports
+
+    now = int(time.time() * 1000)
+    df = spark.createDataFrame([(1, "a", now + 2500), (2, "b", now + 600_000)], "trial_id long, owner string, expiry_ms long")
+    df.write.parquet(f"{tmp_path}/in")
+    q = reports.lease_timers(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")).writeStream.format("memory").queryName("timers").outputMode("append").option("checkpointLocation", f"{tmp_path}/at").start()
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            got = {(r["trial_id"], r["state"]) for r in spark.table("timers").collect()}
+            if (1, "Waiting") in got:
+                break
+    finally:
+        q.stop()
+    assert got == {(1, "Running"), (2, "Running"), (1, "Waiting")}
