@@ -12,6 +12,7 @@ from .decontaminate import op3_decontaminate
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .katz import op5_katz_scores
 from .lexical_search import OP13_SQL, op13_lexical_search
+from .links import reach_sql
 from .near_dedup import op10_near_dedup
 from .ngram_join import op11_ngram_join
 from .periodic_runs import op12_periodic_runs
@@ -29,4 +30,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op13_lexical_search": OP13_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op10_near_dedup": reach_sql(3, 85, 100, kept=True), "op11_ngram_join": reach_sql(5, 80, 100, kept=False), "op13_lexical_search": OP13_SQL}
