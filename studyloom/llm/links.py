@@ -318,10 +318,10 @@ def reach_sql(width: int, num: int, den: int, kept: bool) -> str:
     return f"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + {width - 1}], ' ') for i in range(1, len(w) - {width - 2})] END) AS s FROM w),
-e AS (SELECT doc_id, md5(unnest(s)) AS shingle FROM s),
+e AS MATERIALIZED (SELECT doc_id, md5(unnest(s)) AS shingle FROM s),
 n AS (SELECT doc_id, len(s) AS n FROM s),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE {den} * c >= {num} * (x.n + y.n - c)),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE {den} * c >= {num} * (x.n + y.n - c)),
 r(doc_id, reach) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reach)
 SELECT doc_id, any_value(n) AS n_shingles, min(reach) AS component_id{", doc_id = min(reach) AS kept" if kept else ""} FROM n JOIN r USING (doc_id) GROUP BY doc_id
 """
