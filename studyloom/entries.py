@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .operators import density, fidelity, folds, history, leases, pareto, prune, signal, stats, text, vectors
-from .plans import lowered
+from .plans import lowered, ready
 from .plans.space import Distribution as D
 from .plans.space import SearchSpace
 from .schema import MAXIMIZE, MINIMIZE
@@ -157,6 +157,16 @@ def intermediate_metrics_at(spark, sf):
     return history.intermediate_metrics_at(reports(spark, sf), trials(spark, sf), 2).select("study_id", "trial_id", F.col("metrics")["price"].alias("price"))
 
 
+@query(f"WITH {TRIALS} SELECT study_id, trial_id, 'balance' AS name, balance AS x, price AS value FROM trials WHERE state = 'Complete' UNION ALL SELECT study_id, trial_id, 'nation', CAST(nation AS DOUBLE), price FROM trials WHERE state = 'Complete'")
+def param_scatter(spark, sf):
+    return history.param_scatter(trials(spark, sf), "price")
+
+
+@query(f"{BOTH} SELECT study_id, state, step, count(*) AS trials, round(avg(value), 4) AS mean, min(value) AS low, max(value) AS high FROM reports JOIN trials USING (study_id, trial_id) GROUP BY ALL")
+def curves_by_fate(spark, sf):
+    return rounded(history.curves_by_fate(reports(spark, sf), trials(spark, sf), "price"), "mean", to=4)
+
+
 # Pruning.
 
 
@@ -387,6 +397,19 @@ def grid_points(spark, sf):
     return lowered.GridProgram(s, 3).unranked(ids, "trial_id")
 
 
+READY_U = "('0x' || substr(md5('5|' || o_orderkey || '|{name}'), 1, 13))::BIGINT / 4503599627370496.0"
+
+
+@query(
+    f"""WITH u AS (SELECT o_orderkey AS trial_id, {", ".join(f"{READY_U.format(name=n)} AS {n}" for n in ("n_heads", "head_dim", "n_layers", "ff_ratio", "lr", "dropout"))} FROM orders),
+v AS (SELECT trial_id, ['1', '2', '4'][CAST(floor(n_heads * 3) AS INTEGER) + 1] AS n_heads, CAST(8 + floor(head_dim * 25) AS BIGINT) AS head_dim, CAST(1 + floor(n_layers * 3) AS BIGINT) AS n_layers, CAST(2 + floor(ff_ratio * 3) AS BIGINT) AS ff_ratio, round(exp(ln(1e-4::DOUBLE) + lr * (ln(1e-2::DOUBLE) - ln(1e-4::DOUBLE))), 9) AS lr, round(dropout * 0.3::DOUBLE, 9) AS dropout FROM u)
+SELECT *, CAST(n_heads AS BIGINT) * head_dim AS d_model, CAST(n_heads AS BIGINT) * head_dim * ff_ratio AS ff_dim FROM v"""
+)
+def transformer_points(spark, sf):
+    ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("trial_id"))
+    return rounded(ready.transformer_points(ids, "trial_id", 5), "lr", "dropout", to=9)
+
+
 #: Balances of completed trials as components on [-1000, 10000], with a wide one at 4500.
 def balances(spark, sf):
     return trials(spark, sf).select("study_id", "trial_id", "state", F.col("final")["price"].alias("price"), F.col("params")["balance"]["f"].alias("balance"))
@@ -538,6 +561,11 @@ def holdout(spark, sf):
     return folds.holdout(embedded(spark, sf).select("id"), 0.2, 3)
 
 
+@query(f"SELECT vec_id AS id, CAST((row_number() OVER (ORDER BY {U.format(seed=9, key='vec_id')}, vec_id) - 1) % 4 AS INTEGER) AS fold FROM embeddings")
+def evaluation_folds(spark, sf):
+    return folds.evaluation(embedded(spark, sf).select("id"), "stratified", 4, 9)
+
+
 @query("SELECT CAST((e - 10) // 5 AS INTEGER) AS fold, CAST(0 AS BIGINT) AS train_start, CAST(e AS BIGINT) AS train_end, CAST(e AS BIGINT) AS test_start, CAST(e + 5 AS BIGINT) AS test_end FROM range(10, 36, 5) t(e)")
 def time_split(spark, sf):
     return folds.time_folds(spark, 40, 10, 5)

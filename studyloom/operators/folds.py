@@ -39,6 +39,17 @@ def stratified_kfold(df: DataFrame, k: int, seed: int, label: str, key: str = "i
     return numbered(df, seed, key, [label]).withColumn("fold", (F.col("_i") % k).cast("int")).drop("_i")
 
 
+def evaluation(df: DataFrame, how: str, k: int = 5, seed: int = 0, label: str | None = None, key: str = "id", share: float = 0.2) -> DataFrame:
+    """df with `fold`, as holdout, kfold or stratified say; stratified folds without labels are plain ones."""
+    if how == "holdout":
+        return holdout(df, share, seed, key)
+    if how == "kfold" or how == "stratified" and label is None:
+        return kfold(df, k, seed, key)
+    if how == "stratified":
+        return stratified_kfold(df, k, seed, label, key)
+    raise StudyError(f"no such evaluation: {how}")
+
+
 def train_and_test(folded: DataFrame) -> DataFrame:
     """Each row once for each fold that occurs, with `fold_id` and `train`."""
     ids = [r[0] for r in folded.select("fold").where("fold >= 0").distinct().orderBy("fold").collect()]  # as few as folds

@@ -119,3 +119,17 @@ def best_so_far(trials: DataFrame, objective: str, direction: str) -> DataFrame:
 def wall_time_stats(trials: DataFrame) -> DataFrame:
     t = trials.select("study_id", wall_time_ms().alias("ms")).where("ms is not null")
     return t.groupBy("study_id").agg(F.sum("ms").cast("long").alias("total_ms"), F.avg("ms").alias("mean_ms"), F.max("ms").alias("max_ms"))
+
+
+def param_scatter(trials: DataFrame, objective: str) -> DataFrame:
+    """(study_id, trial_id, name, x, value): a point per completed trial and numeric parameter; booleans count as 0 and 1."""
+    values = completed(trials).select("study_id", "trial_id", final_value(objective).alias("value"), F.explode("params").alias("name", "p")).where("value is not null")
+    x = F.coalesce(F.col("p.f"), F.col("p.i").cast("double"), F.col("p.b").cast("double"))
+    return values.select("study_id", "trial_id", "name", x.alias("x"), "value").where("x is not null")
+
+
+def curves_by_fate(reports: DataFrame, trials: DataFrame, objective: str) -> DataFrame:
+    """(study_id, state, step, trials, mean, low, high): what trials that ended alike have reported at each step, NaNs left out."""
+    states = trials.select("study_id", "trial_id", "state")
+    own = reports.where((F.col("metric") == objective) & ~F.isnan("value")).join(states, ["study_id", "trial_id"])
+    return own.groupBy("study_id", "state", "step").agg(F.count("*").alias("trials"), F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))

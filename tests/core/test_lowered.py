@@ -91,3 +91,26 @@ def test_nothing_and_faults(spark):
     assert lowered.random_points(spark.range(0), mixed(), "id", 1).count() == 0
     with pytest.raises(InvalidSpace):
         lowered.sampled(spark.range(1), SearchSpace().add("a", D.boolean(), when=("b", [True])), lambda d, n: F.lit(0.5))
+
+
+def test_ready_spaces(spark):
+    from studyloom.plans import ready
+
+    for space in (ready.tabular_space(), ready.digits_space(), ready.gan_space(12), ready.gan_space(12, [4, 8]), ready.transformer_space()):
+        assert all(space.valid(params_of(r, space)) for r in lowered.random_points(spark.range(60), space, "id", 2).collect())
+    assert ready.gan_space(0).params[0].distribution.choices == ("1",) and ready.gan_space(3, [4, 8]).params[0].distribution.choices == ("4", "8")
+    rows = ready.transformer_points(spark.range(80), "id", 1).collect()
+    assert all(r["d_model"] % int(r["n_heads"]) == 0 and r["ff_dim"] == r["d_model"] * r["ff_ratio"] for r in rows)
+
+
+def test_evaluations(spark):
+    from studyloom.operators import folds
+    from studyloom.schema import StudyError
+
+    df = spark.range(40).selectExpr("id", "id % 2 AS y")
+    got = {how: sorted((r["id"], r["fold"]) for r in folds.evaluation(df, how, 4, 1, label).collect()) for how, label in (("holdout", None), ("kfold", None), ("stratified", "y"))}
+    assert sum(f == 0 for _, f in got["holdout"]) == 8
+    assert got["kfold"] == sorted((r["id"], r["fold"]) for r in folds.evaluation(df, "stratified", 4, 1).collect())
+    assert {(i % 2, f): 0 for i, f in got["stratified"]}.keys() == {(y, f) for y in (0, 1) for f in range(4)}
+    with pytest.raises(StudyError):
+        folds.evaluation(df, "leave-one-out")
