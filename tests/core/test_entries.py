@@ -9,3 +9,25 @@ def test_registered():
 def test_entry(spark):
     out = entries.entry(spark)
     assert out.columns == ["study_id", "trial_id", "value"] and out.count() == 5
+
+
+def test_scratch_tables_can_be_cleared(spark, tmp_path, monkeypatch):
+    import os
+
+    import pytest
+
+    from studyloom.plans import scratch
+    from studyloom.schema import StorageError
+
+    scratch.clear(spark)
+    monkeypatch.setattr(scratch, "LOCAL", str(tmp_path / "scratch"))
+    for name in ("best_so_far", "robust_trimmed", "non_dominated_ranks"):
+        entries.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    assert os.listdir(tmp_path / "scratch")
+    assert scratch.clear(spark) > 5 and os.listdir(tmp_path / "scratch") == [] and scratch.clear(spark) == 0
+
+    class Cluster:
+        conf = {"spark.master": "spark://host:7077"}
+
+    with pytest.raises(StorageError):
+        scratch.root(Cluster)
