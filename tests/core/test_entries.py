@@ -11,7 +11,7 @@ def test_entry(spark):
     assert out.columns == ["study_id", "trial_id", "value"] and out.count() == 5
 
 
-def test_scratch_tables_can_be_cleared(spark, tmp_path, monkeypatch):
+def test_scratch_tables_can_be_cleared(spark):
     import os
 
     import pytest
@@ -20,11 +20,11 @@ def test_scratch_tables_can_be_cleared(spark, tmp_path, monkeypatch):
     from studyloom.schema import StorageError
 
     scratch.clear(spark)
-    monkeypatch.setattr(scratch, "LOCAL", str(tmp_path / "scratch"))
     for name in ("best_so_far", "robust_trimmed", "non_dominated_ranks"):
         entries.queries()[name](spark, "/root/testdata/sf0.001").collect()
-    assert os.listdir(tmp_path / "scratch")
-    assert scratch.clear(spark) > 5 and os.listdir(tmp_path / "scratch") == [] and scratch.clear(spark) == 0
+    made = [p.removeprefix("file:") for p in scratch._MADE]
+    assert len(made) > 5 and all(os.path.isdir(p) for p in made)
+    assert scratch.clear(spark) == len(made) and not any(os.path.exists(p) for p in made) and scratch.clear(spark) == 0
 
     class Cluster:
         conf = {"spark.master": "spark://host:7077"}
