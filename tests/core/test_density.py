@@ -49,3 +49,22 @@ def test_best_fit(spark):
     got = leases.best_fit(spark.createDataFrame(asks, "r long, x double"), spark.createDataFrame(own, "d long, c double"), "x", "r", "c", "d").collect()
     wanted = {(r, min((c, d) for d, c in own if c >= x)[1]) for r, x in asks if x is not None and any(c >= x for _, c in own)}
     assert set(map(tuple, got)) == wanted
+
+
+def test_cells_stand_for_components(spark):
+    """A study's cells are as many as its range has room for, however many trials it has, and say the same as all of them."""
+    rng = random.Random(4)
+    own = [rng.gauss(3, 1) for _ in range(4000)]
+    c = density.parzen(spark.createDataFrame([("a", x) for x in own], "g string, x double"), ["g"], "x", 0.0, 10.0).persist()
+    assert density.cells(c, ["g"], density.POWERS).count() < 900 and density.cells(c.union(c), ["g"], density.POWERS).count() < 900
+    asked = [("a", k, q) for k, q in enumerate([rng.uniform(0, 10) for _ in range(30)] + [60.0, -4000.0])]
+    got = density.log_density(spark.createDataFrame(asked, "g string, k long, q double"), c, ["g"], "k", "q", "v").collect()
+    for r in got:
+        assert r["v"] == pytest.approx(float(Parzen(own, 0.0, 10.0).log_pdf(np.asarray([r["q"]]))[0]), rel=1e-9)
+    # Without the wide component a far candidate is settled by the components themselves.
+    narrow = c.where("sigma < 1").persist()
+    far = density.log_density(spark.createDataFrame([("a", 1, 40.0)], "g string, k long, q double"), narrow, ["g"], "k", "q", "v").first()["v"]
+    mu, sigma = (np.asarray([r[k] for r in narrow.collect()]) for k in ("mu", "sigma"))
+    e = -0.5 * ((40.0 - mu) / sigma) ** 2 - np.log(sigma * math.sqrt(2 * math.pi))
+    assert far == pytest.approx(e.max() + math.log(np.exp(e - e.max()).sum()) - math.log(len(mu)), rel=1e-12)
+    c.unpersist(), narrow.unpersist()
