@@ -39,3 +39,17 @@ def test_replay_by_hand(spark):
     assert [tuple(r) for r in stops.replay(df, "minimize").collect()] == [("a", 8, 1, 2.5, 2.0)]
     assert [tuple(r) for r in stops.replay(df, "maximize").collect()] == [("a", 7, 1, 1.0, 2.0)]
     assert stops.replay(df, "minimize", warmup=2).count() == 0 and stops.replay(df, "minimize", min_trials=3).count() == 0
+
+
+def test_peers_spread_over_tasks(spark, tmp_path):
+    """Peers come in files of several epochs, kept as a table; the last value of one that reports again counts."""
+    rng = random.Random(5)
+    source, out, checkpoint = (f"{tmp_path}/{x}" for x in ("source", "out", "checkpoint"))
+    old = [("a", t, 1, rng.random() + 5, True) for t in range(3000)]
+    new = [("a", t, 1, rng.random(), True) for t in range(3000)]
+    asked = [("a", 5000 + t, 1, rng.random(), False) for t in range(50)]
+    for rows in (old, new, asked):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        got = stops.run_to_end(spark, source, SCHEMA, out, checkpoint, direction="minimize")
+    assert spark.read.parquet(f"{checkpoint}/peers").count() == 6000
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in stops.replay(spark.createDataFrame(new + asked, SCHEMA), "minimize").collect()}
