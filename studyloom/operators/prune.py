@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import median
 from ..schema import RUNNING, sign
 from .history import last_reports, peers
+from .scan import place, scan, size
+from .scan import running as running_of
 from .select import matched, medians
 
 
@@ -78,18 +80,46 @@ def multi_objective_prune(reports: DataFrame, trials: DataFrame, objectives: lis
     """Prune a trial that more than half of its peers dominate at its latest step. A report that lacks an
     objective dominates nothing and is dominated by nothing.
 
-    Peers are grouped by their vectors first, so equal ones are compared once."""
+    Peers are grouped by their vectors first, so equal ones count once."""
     names = [n for n, _ in objectives]
     signs = F.array(*[F.lit(float(sign(d))) for _, d in objectives])
     bags = reports.where(F.col("metric").isin(*names)).groupBy("study_id", "trial_id", "step").agg(*[F.max(F.when(F.col("metric") == n, F.col("value"))).alias(f"_{k}") for k, n in enumerate(names)])
-    vectors = bags.select("study_id", "trial_id", "step", F.zip_with(F.array(*[f"_{k}" for k in range(len(names))]), signs, lambda x, s: x * s).alias("v"))
+    vectors = bags.select("study_id", "trial_id", "step", F.zip_with(F.array(*[f"_{k}" for k in range(len(names))]), signs, lambda x, s: x * s + 0.0).alias("v"))
     state = trials.select("study_id", "trial_id", "state")
     steps = reports.groupBy("study_id", "trial_id").agg(F.max("step").alias("step"))
     now = steps.join(state.where(F.col("state") == RUNNING).drop("state"), ["study_id", "trial_id"]).join(vectors, ["study_id", "trial_id", "step"], "left")
     them = vectors.join(state.where(F.col("state").isin("Complete", "Pruned")).drop("state"), ["study_id", "trial_id"]).groupBy("study_id", "step", "v").agg(F.count("*").alias("n"))
     total = them.groupBy("study_id", "step").agg(F.sum("n").alias("peers"))
-    p = them.withColumnRenamed("v", "w")
-    beats = F.forall(F.zip_with("w", "v", lambda a, b: a <= b), lambda x: F.coalesce(x, F.lit(False))) & F.exists(F.zip_with("w", "v", lambda a, b: a < b), lambda x: F.coalesce(x, F.lit(False)))
-    worse = now.where("v is not null").join(p, ["study_id", "step"]).groupBy("study_id", "trial_id").agg(F.sum(F.when(beats, F.col("n")).otherwise(0)).alias("dominated_by"))
+    worse = dominators(now.where("v is not null"), them, len(names)).groupBy("study_id", "trial_id").agg(F.sum("dominated_by").alias("dominated_by"))
     out = now.join(worse, ["study_id", "trial_id"], "left").join(total, ["study_id", "step"], "left")
     return out.select("study_id", "trial_id", "step", F.coalesce((F.col("peers") >= max(1, min_trials)) & (2 * F.col("dominated_by") > F.col("peers")), F.lit(False)).alias("prune"))
+
+
+def dominators(now: DataFrame, them: DataFrame, width: int) -> DataFrame:
+    """now (study_id, trial_id, step, v) with `dominated_by`: how many of them (study_id, step, v, n) are no larger in any coordinate and smaller in
+    one. A vector with a null dominates nothing and is dominated by nothing.
+
+    With two coordinates no vectors are paired: ranks of the first are cut into intervals of each power of two, a vector is a member
+    of one of each, those up to it are one of some, and running sums in order of the second count within them. More coordinates are compared in pairs."""
+    at = ["study_id", "step"]
+    if width != 2:
+        p = them.withColumnRenamed("v", "w")
+        beats = F.forall(F.zip_with("w", "v", lambda a, b: a <= b), lambda x: F.coalesce(x, F.lit(False))) & F.exists(F.zip_with("w", "v", lambda a, b: a < b), lambda x: F.coalesce(x, F.lit(False)))
+        return now.join(p, at).withColumn("dominated_by", F.when(beats, F.col("n")).otherwise(0))
+    both = now.select(*at, "v", F.lit(0).cast("long").alias("n"), F.lit(1).alias("q")).unionByName(them.select(*at, "v", "n", F.lit(0).alias("q")))
+    points = both.where(F.forall("v", lambda x: x.isNotNull())).groupBy(*at, F.col("v")[0].alias("a"), F.col("v")[1].alias("b")).agg(F.sum("n").alias("n"), F.max("q").alias("q"))
+    ranks = scan(points.select(*at, "a").distinct(), at, ["a"], {"r": place(), "size": size()})
+    placed = points.join(ranks, [*at, "a"]).withColumns({"r": F.col("r").cast("long"), "levels": F.floor(F.log2(F.col("size").cast("double")) + 1e-9).cast("int")})
+    # The first r ranks are the intervals that r has bits for; r >> k is odd there, so members of others are not needed.
+    levels = F.sequence(F.lit(0), F.col("levels"))
+    cell = lambda k, r: F.call_function("shiftright", r, k)
+    member = F.transform(levels, lambda k: F.struct(k.alias("level"), cell(k, F.col("r") - 1).alias("cell")))
+    member = F.filter(member, lambda m: m["cell"] % 2 == 0)
+    upto = F.transform(F.filter(levels, lambda k: cell(k, F.col("r")) % 2 == 1), lambda k: F.struct(k.alias("level"), (cell(k, F.col("r")) - 1).alias("cell")))
+    members = placed.where("n > 0").select(*at, F.explode(member).alias("m"), "a", "b", "n", F.lit(0).alias("q"))
+    queries = placed.where("q = 1").select(*at, F.explode(upto).alias("m"), "a", "b", F.lit(0).cast("long").alias("n"), F.lit(1).alias("q"))
+    rows = members.unionByName(queries).select(*at, "m.*", "a", "b", "n", "q")
+    counted = scan(rows, [*at, "level", "cell"], ["b", "q"], {"below": running_of("sum", "n")}).where("q = 1").groupBy(*at, "a", "b").agg(F.sum("below").alias("below"))
+    own = points.where("q = 1").select(*at, "a", "b", F.col("n").alias("equal")).join(counted, [*at, "a", "b"])
+    found = own.select(*at, F.array("a", "b").alias("v"), (F.col("below") - F.col("equal")).alias("dominated_by"))
+    return now.join(found, [*at, "v"])

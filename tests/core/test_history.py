@@ -159,3 +159,22 @@ def test_promotion(spark):
     got = fidelity.promoted(df, "rung", "score", "trial", MAXIMIZE).where("promoted")
     assert {r["trial"] for r in got.collect()} == {1, 3}
     assert fidelity.warm_start(df, "rung", "score", "trial", MAXIMIZE).head()["trial"] == 1
+
+
+def test_dominators_by_intervals(spark):
+    """Two coordinates are counted without pairs: equal vectors, ties, signs of zero, NaN and nulls as in all pairs."""
+    import random
+
+    rng = random.Random(6)
+    some = [0.0, -0.0, 1.0, 2.0, 3.5, float("nan"), None]
+    draw = lambda: [rng.choice(some), rng.choice([*some, rng.random()])]
+    now = [(s, k, 1, draw()) for s in "ab" for k in range(40)]
+    them = [(s, 1, draw(), rng.randint(1, 3)) for s in "ab" for _ in range(60)]
+    # NaN is the largest number, as in Spark.
+    key = lambda x: (x != x, 0.0 if x != x else x)
+    beats = lambda w, v: None not in w + v and all(key(x) <= key(y) for x, y in zip(w, v)) and any(key(x) < key(y) for x, y in zip(w, v))
+    wanted = {(s, k): sum(n for t, _, w, n in them if t == s and beats(w, v)) for s, k, _, v in now if None not in v}
+    p = spark.createDataFrame(them, "study_id string, step long, v array<double>, n long").groupBy("study_id", "step", "v").agg(F.sum("n").alias("n"))
+    found = prune.dominators(spark.createDataFrame(now, "study_id string, trial_id long, step long, v array<double>"), p, 2)
+    assert "BroadcastNestedLoopJoin" not in found._jdf.queryExecution().toString()
+    assert {(r["study_id"], r["trial_id"]): r["dominated_by"] for r in found.collect()} == wanted
