@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,8 +33,10 @@ def width_of(df: DataFrame, vector: str) -> int:
 def matrix(column: pa.Array) -> np.ndarray:
     if not len(column):
         return np.zeros((0, 0))
-    rows = column.to_pylist()
-    return np.asarray(rows, np.float64)
+    flat, ends = column.flatten(), pc.list_value_length(column)
+    if column.null_count == flat.null_count == 0 and pc.min(ends) == pc.max(ends):
+        return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return np.asarray(column.to_pylist(), np.float64)
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "v", extra: str | None = None, skip_self: bool = False) -> DataFrame:
@@ -185,6 +188,17 @@ def kmeans(df: DataFrame, k: int, seed: int = 0, iterations: int = 50, key: str
     return out, centers, out.agg(F.sum("d2")).first()[0]
 
 
+def distances(rows: np.ndarray, q: np.ndarray, square: np.ndarray) -> np.ndarray:
+    """Euclidean distances by one product of matrices; those of near pairs, where that would lose digits, from differences. square: the queries' squared lengths."""
+    own = (rows * rows).sum(1)
+    d2 = np.c_[-2.0 * rows, own, np.ones(len(rows))] @ np.c_[q, np.ones(len(q)), square].T
+    if d2.size and not d2.min() > 1e-6 * (own.max() + square.max()):
+        near = ~(d2 > 1e-6 * (own[:, None] + square))
+        for i in np.flatnonzero(near.any(1)):
+            d2[i, near[i]] = ((q[near[i]] - rows[i]) ** 2).sum(1)
+    return np.sqrt(d2, out=d2)
+
+
 def silhouette(df: DataFrame, cluster: str, key: str = "id", vector: str = "v", queries: DataFrame | None = None) -> float:
     """The mean silhouette by Euclidean distance of the query rows (all by default) against all rows. Clusters of
     one row are left out; 0 if nothing remains. A task sends a row per query and cluster."""
@@ -197,13 +211,18 @@ def silhouette(df: DataFrame, cluster: str, key: str = "id", vector: str = "v",
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
+            square = (q * q).sum(1)
             for b in batches:
                 for s in range(0, b.num_rows, 256):
                     x = b.slice(s, 256)
                     m, labels = matrix(x.column(vector)), x.column(cluster).to_numpy(zero_copy_only=False)
-                    for i in range(len(labels)):
-                        d = np.sqrt(((q - m[i]) ** 2).sum(1))
-                        total[labels[i]] = total.get(labels[i], 0) + d
+                    for c in np.unique(labels):
+                        own = m[labels == c]
+                        if c not in total:
+                            total[c] = np.zeros(len(q))
+                        # A block of queries that stays in the processor's cache.
+                        for k in range(0, len(q), 1024):
+                            total[c][k : k + 1024] += distances(own, q[k : k + 1024], square[k : k + 1024]).sum(0)
             for c, d in total.items():
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([int(c)] * len(ids), pa.int64()), pa.array(d)], ["id", "cluster", "d"])
 

@@ -194,3 +194,15 @@ def test_lease_timers(spark, tmp_path):
     finally:
         q.stop()
     assert got == {(1, "Running"), (2, "Running"), (1, "Waiting")}
+
+
+def test_distances_of_blocks():
+    """One product for a block, and no digits lost where vectors are near or equal."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    q = rng.normal(100, 1, (50, 8))
+    rows = np.concatenate([q[:20], q[20:40] + 1e-9, rng.normal(100, 1, (30, 8))])
+    wanted = np.sqrt(((rows[:, None] - q) ** 2).sum(2))
+    np.testing.assert_allclose(vectors.distances(rows, q, (q * q).sum(1)), wanted, rtol=1e-7, atol=0)
+    assert vectors.distances(rows[:0], q, (q * q).sum(1)).shape == (0, 50)
