@@ -77,8 +77,8 @@ def encode_blocks(blocks: list[np.ndarray], table: Table, lanes: int = LANES, se
     """One coded block for each array of ids; blocks of like length go through together."""
     out: list[bytes] = [b""] * len(blocks)
     order = sorted(range(len(blocks)), key=lambda k: len(blocks[k]))
-    for k in range(0, len(order), 8):
-        group = order[k : k + 8]
+    for k in range(0, len(order), 16):
+        group = order[k : k + 16]
         for i, coded in zip(group, _encode([blocks[i] for i in group], table, lanes, segment), strict=True):
             out[i] = coded
     return out
@@ -91,28 +91,34 @@ def _encode(blocks: list[np.ndarray], table: Table, lanes: int, segment: int) ->
     for row, b in zip(grid, blocks, strict=True):
         row[: len(b)] = b
     grid = grid.reshape(n, top, lanes)
-    freq, start = table.freq, table.start
+    grid = np.ascontiguousarray(grid.swapaxes(0, 1))
     x = np.full((n, lanes), LOW, np.uint64)
-    words, emit = np.zeros((top, n, lanes), np.uint32), np.zeros((top, n, lanes), bool)
+    words, emit = np.zeros((n, top, lanes), np.uint32), np.zeros((n, top, lanes), bool)
     states: list[dict[int, np.ndarray]] = [{} for _ in blocks]
-    live = np.asarray(steps)[:, None]
-    shift, limit = np.uint64(BITS), np.uint64((1 << 63) >> BITS)
-    for t in range(top - 1, -1, -1):
-        f, s = freq[grid[:, t]], start[grid[:, t]]
-        on = np.broadcast_to(live > t, x.shape)
-        full = on & (x >= f * limit)
-        words[t], emit[t] = x.astype(np.uint32), full
-        x = np.where(full, x >> np.uint64(32), x)
-        q = x // np.maximum(f, np.uint64(1))
-        x = np.where(on, (q << shift) + (x - q * f) + s, x)
-        if t % segment == 0:
-            for k in range(n):
-                if steps[k] > t:
-                    states[k][t] = x[k].copy()
+    live, shortest = np.asarray(steps)[:, None], min(steps, default=0)
+    # q * 2**BITS + (x - q * f) + s is x + q * (2**BITS - f) + s.
+    freq = np.maximum(table.freq, np.uint64(1))
+    limits, rest = freq * np.uint64((1 << 63) >> BITS), np.uint64(1 << BITS) - freq
+    word = np.uint64(32)
+    for first in range((top - 1) // segment * segment, -1, -segment):
+        ids = grid[first : first + segment]
+        f, s, limit, more = (x_of.take(ids) for x_of in (freq, table.start, limits, rest))
+        for t in range(min(first + segment, top) - 1, first - 1, -1):
+            k = t - first
+            full = x >= limit[k]
+            if t >= shortest:
+                full &= live > t
+            words[:, t], emit[:, t] = x, full
+            y = np.where(full, x >> word, x)
+            y += y // f[k] * more[k] + s[k]
+            x = y if t < shortest else np.where(live > t, y, x)
+        for k in range(n):
+            if steps[k] > first:
+                states[k][first] = x[k].copy()
     out = []
     for k, b in enumerate(blocks):
-        own, at = emit[: steps[k], k], np.arange(0, steps[k], segment)
-        stream = words[: steps[k], k][own]
+        own, at = emit[k, : steps[k]], np.arange(0, steps[k], segment)
+        stream = words[k, : steps[k]][own]
         before = np.concatenate([[0], np.cumsum(own.sum(1))])[at] if len(at) else np.zeros(0)
         ids = np.asarray(b).astype("<u4")
         crcs = [zlib.crc32(ids[t * lanes : (t + segment) * lanes].tobytes()) for t in at]

@@ -137,3 +137,17 @@ def test_a_worker_remembers_one_owner():
     memory("ranks")["x"] = 1
     assert not memory("words") and not memory("ranks")
     assert word_hashes("some WORDS, some more").tolist() == first
+
+
+def test_blocks_of_a_group_do_not_touch_each_other():
+    """A block's bytes are the same alone and beside longer and shorter ones."""
+    import numpy as np
+
+    from studyloom.llm import rans
+
+    rng = np.random.default_rng(3)
+    blocks = [rng.integers(0, 300, n) for n in (0, 1, 63, 64, 65, 16384, 16385, 40000)] * 3
+    table = rans.Table.scaled(np.bincount(np.concatenate(blocks)))
+    coded = rans.encode_blocks(blocks, table)
+    assert coded == [rans.encode_blocks([b], table)[0] for b in blocks]
+    assert all((x == b).all() for x, b in zip(rans.decode_blocks(coded, table), blocks, strict=True))
