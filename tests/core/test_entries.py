@@ -31,3 +31,19 @@ def test_scratch_tables_can_be_cleared(spark):
 
     with pytest.raises(StorageError):
         scratch.root(Cluster)
+
+
+def test_report_state_and_parts(spark, monkeypatch):
+    """Reports come in parts of a bounded number of rows, and a stream's state stays on disk."""
+    from studyloom import entries
+    from studyloom.streaming import reports as stream
+
+    lines = spark.range(90).withColumnRenamed("id", "k")
+    assert entries.by_trial(lines, "k") is lines
+    monkeypatch.setattr(entries, "TASK_ROWS", 10)
+    assert entries.by_trial(lines, "k").rdd.getNumPartitions() == 9
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    with stream.state_on_disk(spark):
+        assert "RocksDB" in spark.conf.get(key)
+    assert spark.conf.get(key) == before
