@@ -8,7 +8,7 @@ What near-duplicate search and the n-gram join have in common. Documents with eq
    sets. Links give components.
 2. In buckets that still hold several components, pairs between components are compared in tiles: blocks of classes
    of about one size, against each other and against those of the next size band. A tile holds at most TILE_ELEMENTS elements
-   or eight classes a side, whatever the bucket. First only signatures meet; classes that have a partner left come again with
+   or eight classes a side, whatever the bucket; in large buckets no tile holds the largest component on both sides. First only signatures meet; classes that have a partner left come again with
    their texts, and their sets are compared. A tile sends out only links that join what it has not yet
    joined, fewer than it has members, so no list of pairs is ever made.
 """
@@ -32,6 +32,8 @@ from .words import word_hashes
 BLOCK, TILE_ELEMENTS = 512, 1 << 20
 #: A bucket has so many parts, and each of these as many.
 FAN = 64
+#: From so many members on a bucket's largest component is told apart.
+LARGE = 64
 TILE = ("band", "size_a", "block_a", "size_b", "block_b")
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -43,6 +45,10 @@ class Filter(Protocol):
         """Those of `others` that can be linked with i and share no earlier bucket with it."""
 
 
+#: The same for the pairs (a[k], b[k]) of two batches, for the many tiles of two classes.
+Pairs = Callable[[pa.RecordBatch, pa.RecordBatch], np.ndarray]
+
+
 def shingle_set(text: str, width: int) -> np.ndarray:
     """Sorted hashes of the text's shingles: A-Z lower-cased, words cut at ASCII white space; fewer words than
     `width` are one shingle, no words none."""
@@ -84,13 +90,26 @@ def classes_of(own: DataFrame, *carried: str) -> DataFrame:
     return grouped.select(F.monotonically_increasing_id().alias("node"), "set_key", "n", F.col("named.doc_id").alias("least_id"), F.col("named.text_key").alias("text_key"), *carried)
 
 
-def texts_of(nodes: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, set_key, text), one row per class: the text that the class is named after."""
-    named = nodes.select("node").distinct().join(classes.select("node", "least_id", F.col("text_key").alias("_key"), "set_key"), "node")
+def texts_of(nodes: DataFrame, classes: DataFrame, rows: DataFrame, *carried: str) -> DataFrame:
+    """(node, set_key, text, ...), one row per class: the text that the class is named after."""
+    named = nodes.select("node").distinct().join(classes.select("node", "least_id", F.col("text_key").alias("_key"), "set_key", *carried), "node")
     own = with_key(rows)
     found = own.join(named, (own["text_key"] == named["_key"]) & own["doc_id"].eqNullSafe(named["least_id"]))
     # Rows that repeat an id and a text are one.
-    return found.groupBy("node").agg(F.first("set_key").alias("set_key"), F.first("text").alias("text"))
+    return found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("set_key", "text", *carried)])
+
+
+def meeting(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """Of (band, node, n) or (band, node, n, most), the rows whose bucket holds another class that they could be linked with there, and
+    `members`, how many the bucket held. Buckets of two are judged by both rows' bounds, others by those of the bucket."""
+    n, bounds = F.col("n"), [F.sum("most").alias("_most"), F.min("n").alias("_low"), F.max("most").alias("_high")] if "most" in shared.columns else []
+    buckets = shared.groupBy("band").agg(F.count("*").alias("members"), F.sum("n").alias("_n"), *bounds).where("members > 1")
+    other = F.col("_n") - n
+    two, more = F.least(n, other) * den >= F.greatest(n, other) * num, F.lit(True)
+    if bounds:
+        two = two & (other <= F.col("most")) & (n <= F.col("_most") - F.col("most"))
+        more = (F.col("_low") <= F.col("most")) & (n <= F.col("_high"))
+    return shared.join(buckets, "band").where(F.when(F.col("members") == 2, two).otherwise(more)).select(*shared.columns, "members")
 
 
 def size_bands(rows: DataFrame, num: int, den: int) -> tuple[DataFrame, float]:
@@ -170,20 +189,33 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def dealt_to_tiles(shared: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+def largest(labelled: DataFrame) -> DataFrame:
+    """(band, top) of large buckets: the component with most members."""
+    each = labelled.where(F.col("members") >= LARGE).groupBy("band", "root").agg(F.count("*").alias("held"))
+    return each.groupBy("band").agg(F.max(F.struct("held", "root")).alias("top")).select("band", F.col("top.root").alias("top"))
+
+
+def dealt_to_tiles(shared: DataFrame, roots: DataFrame, num: int, den: int, tables: Tables) -> DataFrame:
     """(TILE..., node, root, n, side, most): members of buckets that hold several components, for every tile they are in; side is 0 for
-    the first block, 1 for the second, 2 where a block meets itself. most is the size that a partner in this bucket can have at most."""
+    the first block, 1 for the second, 2 where a block meets itself. most is the size that a partner in this bucket can have at most.
+    Blocks of a large bucket hold either classes of its largest component, and do not meet each other, or others."""
     sized, ratio = size_bands(shared if "most" in shared.columns else shared.withColumn("most", F.lit((1 << 63) - 1)), num, den)
     labelled = sized.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    mixed = mixed.join(largest(labelled), "band", "left")
+    labelled = tables.stage(labelled.join(mixed, "band").withColumn("inside", F.coalesce(F.col("root") == F.col("top"), F.lit(False))), "near-mixed")
     # So many classes of a size band take one block; sizes of a band differ by the factor den / num at most.
     room = F.least(F.lit(float(BLOCK)), F.greatest(F.lit(8.0), TILE_ELEMENTS / F.exp(F.col("size") * ratio)))
-    counted = labelled.groupBy("band", "size").agg(F.count("*").alias("members")).withColumn("blocks", F.ceil(F.col("members") / room).cast("int"))
-    by_size = counted.join(mixed, "band").groupBy("band").agg(F.map_from_entries(F.collect_list(F.struct("size", "blocks"))).alias("blocks"))
+    counted = labelled.groupBy("band", "size").agg(F.count_if(~F.col("inside")).alias("others"), F.count_if("inside").alias("ours"))
+    counted = counted.withColumn("open", F.ceil(F.col("others") / room).cast("int")).withColumn("blocks", F.col("open") + F.ceil(F.col("ours") / room).cast("int"))
+    by_size = counted.groupBy("band").agg(F.map_from_entries(F.collect_list(F.struct("size", F.struct("open", "blocks")))).alias("blocks"))
     members = labelled.join(by_size, "band")
-    of = lambda k: F.coalesce(F.try_element_at("blocks", F.col("size") + k), F.lit(0))
-    members = members.withColumn("own", F.pmod(F.xxhash64("node"), of(0)).cast("int"))
-    every = lambda k: F.when(of(k) > 0, F.sequence(F.lit(0), of(k) - 1)).otherwise(F.array().cast("array<int>"))
+    # Blocks of a size, those outside the largest component first.
+    of = lambda k, name: F.coalesce(F.try_element_at("blocks", F.col("size") + k)[name], F.lit(0))
+    first, room_for = F.when(F.col("inside"), of(0, "open")).otherwise(0), F.when(F.col("inside"), of(0, "blocks") - of(0, "open")).otherwise(of(0, "open"))
+    members = members.withColumn("own", (first + F.pmod(F.xxhash64("node"), room_for)).cast("int"))
+    met = lambda k: F.when(F.col("inside"), of(k, "open")).otherwise(of(k, "blocks"))
+    every = lambda k: F.when(met(k) > 0, F.sequence(F.lit(0), met(k) - 1)).otherwise(F.array().cast("array<int>"))
     tile = lambda a, x, b, y, side: F.struct(a.alias("size_a"), x.alias("block_a"), b.alias("size_b"), y.alias("block_b"), side.alias("side"))
     size, own = F.col("size"), F.col("own")
     same = F.transform(every(0), lambda k: tile(size, F.least(own, k), size, F.greatest(own, k), F.when(k == own, 2).when(k > own, 0).otherwise(1)))
@@ -206,6 +238,38 @@ def tiles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
+def whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of whole tiles, with the rows at which these start."""
+    held: pa.RecordBatch | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(c).to_numpy() for c in TILE])
+        starts = np.concatenate([[0], 1 + np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)), [b.num_rows]])
+        if held is not None:
+            if all(held.column(c)[0] == b.column(c)[0] for c in TILE):
+                held = pa.concat_batches([held, b.slice(0, starts[1])])
+                starts = starts[1:]
+                if len(starts) == 1:
+                    continue
+            yield held, np.zeros(1, np.int64)
+        if len(starts) > 2:
+            yield b.slice(starts[0], starts[-2] - starts[0]), starts[:-2] - starts[0]
+        held = b.slice(starts[-2])
+    if held is not None:
+        yield held, np.zeros(1, np.int64)
+
+
+def open_twos(b: pa.RecordBatch, starts: np.ndarray, pairs: Pairs) -> np.ndarray:
+    """Of tiles of two rows, the starts of those whose rows are a pair that open_pairs would give."""
+    side, root, n, most = (b.column(c).to_numpy() for c in ("side", "root", "n", "most"))
+    left = np.where(side[starts] != 1, starts, starts + 1)
+    right = 2 * starts + 1 - left
+    ok = (side[left] != 1) & (side[right] > 0) & (root[left] != root[right]) & (n[right] <= most[left]) & (n[left] <= most[right])
+    starts, left, right = starts[ok], left[ok], right[ok]
+    return starts[pairs(b.take(pa.array(left)), b.take(pa.array(right)))] if len(starts) else starts
+
+
 def open_pairs(held: list[dict], make: Callable[[list[dict]], Filter]) -> Iterator[tuple[int, np.ndarray]]:
     """(i, others): pairs of a tile between different components that the filter lets pass."""
     side, root, n, most = (np.asarray([r[c] for r in held]) for c in ("side", "root", "n", "most"))
@@ -262,24 +326,26 @@ def worth_a_look(dealt: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.join(tiles, same).where(fits).select(*dealt.columns)
 
 
-def between_components(shared: DataFrame, roots: DataFrame, classes: DataFrame, rows: DataFrame, looks: list[tuple[Callable[[list[dict]], Filter], list[str]]], width: int, num: int, den: int, tables: Tables) -> DataFrame:
+def between_components(shared: DataFrame, roots: DataFrame, classes: DataFrame, rows: DataFrame, looks: list[tuple[Callable[[list[dict]], Filter], Pairs, list[str]]], width: int, num: int, den: int, tables: Tables) -> DataFrame:
     """(a, b): links between classes of one bucket but different components, as many as connect what is linked
-    in a tile. shared: (band, node, n); looks: filters with the columns of classes that each reads, one after another, the
+    in a tile. shared: as of meeting(); looks: filters, also for pairs, with the columns of classes that each reads, one after another, the
     cheapest first; the last one's pairs are verified on texts."""
     spark = rows.sparkSession
     own = "band long, size_a int, block_a int, size_b int, block_b int, node long, root long, n long, side int, most long"
     names = [x.split()[0] for x in own.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
-    def survivors(make: Callable[[list[dict]], Filter]) -> Callable:
+    def survivors(make: Callable[[list[dict]], Filter], pairs: Pairs) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for held in tiles_of(batches):
-                stay: set[int] = set()
-                for i, others in open_pairs(held, make):
-                    stay.add(i)
-                    stay.update(others.tolist())
+            for b, starts in whole_tiles(batches):
+                sizes = np.diff(np.append(starts, b.num_rows))
+                twos = open_twos(b, starts[sizes == 2], pairs)
+                stay: set[int] = {*twos.tolist(), *(twos + 1).tolist()}
+                for at, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                    for i, others in open_pairs(b.slice(at, size).to_pylist(), make):
+                        stay.add(at + i)
+                        stay.update((at + others).tolist())
                 if stay:
-                    yield pa.RecordBatch.from_arrays([pa.array([held[k][c] for k in sorted(stay)], t) for c, t in zip(names, kinds, strict=True)], names)
+                    yield b.select(names).take(pa.array(sorted(stay)))
 
         return run
 
@@ -292,15 +358,15 @@ def between_components(shared: DataFrame, roots: DataFrame, classes: DataFrame,
     def in_tiles(df: DataFrame) -> DataFrame:
         return df.repartition(slots(spark), *TILE).sortWithinPartitions(*TILE, "node")
 
-    left = worth_a_look(tables.stage(dealt_to_tiles(shared, roots, num, den), "near-dealt"), num, den)
+    left = worth_a_look(tables.stage(dealt_to_tiles(shared, roots, num, den, tables), "near-dealt"), num, den)
     # Where one side has lost its last row, the tile goes.
     left = worth_a_look(tables.stage(left, "near-dealt"), num, den) if "most" in shared.columns else left
-    for make, columns in looks:
-        left = tables.stage(in_tiles(left.join(classes.select("node", *columns), "node")).mapInArrow(survivors(make), own), "near-tiles")
+    for make, pairs, columns in looks:
+        left = tables.stage(in_tiles(left.join(classes.select("node", *columns), "node")).mapInArrow(survivors(make, pairs), own), "near-tiles")
     if left.isEmpty():
         return spark.createDataFrame([], "a long, b long")
-    texts = tables.stage(texts_of(left, classes, rows), "near-texts")
-    full = left.join(classes.select("node", *looks[-1][1]), "node").join(texts, "node")
+    texts = tables.stage(texts_of(left, classes, rows, *looks[-1][2]), "near-texts")
+    full = left.join(texts, "node")
     return tables.stage(in_tiles(full).mapInArrow(verify, "a long, b long").distinct(), "near-links")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import setsketch
 from .common import Tables, doc_text, documents
-from .links import between_components, classes_of, components, grouped, set_key, shingle_set, star_pairs, verified, with_key
+from .links import between_components, classes_of, components, grouped, meeting, set_key, shingle_set, star_pairs, verified, with_key
 
 MARGIN = 5.0
 #: Equal registers are at least as probable as the similarity; that share is looked at before the likelihood.
@@ -101,6 +101,20 @@ class SketchFilter:
         return others[possible(one, self.registers[others], np.full(len(others), self.n[i]), self.n[others], self.share)]
 
 
+def similar(a: pa.RecordBatch, b: pa.RecordBatch, share: float) -> np.ndarray:
+    """What SketchFilter says about the pairs (a[k], b[k]), each of one bucket."""
+    out = np.zeros(a.num_rows, bool)
+    for k in range(0, a.num_rows, 2000):
+        x, y = a.slice(k, 2000), b.slice(k, 2000)
+        p, q = registers(x.column("sketch")), registers(y.column("sketch"))
+        keys = setsketch.band_keys(p)
+        own = (keys == x.column("band").to_numpy()[:, None]).argmax(1)
+        met = ((keys == setsketch.band_keys(q)) & (np.arange(keys.shape[1]) < own[:, None])).any(1)
+        at = np.flatnonzero(~met & ((p == q).mean(1) >= share - ROUGH))
+        out[k + at] = possible(p[at], q[at], x.column("n").to_numpy()[at], y.column("n").to_numpy()[at], share)
+    return out
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per input row.
 
@@ -117,10 +131,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     classes = tables.stage(classes_of(own, "sketch"), "near-classes")
     bands = bands_of(classes)
     crowded = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
-    shared = tables.stage(bands.join(crowded, "band"), "near-bands")
+    shared = tables.stage(meeting(tables.stage(bands.join(crowded, "band"), "near-bands"), num, den), "near-bands")
     star = tables.stage(estimated(star_pairs(shared, num, den), classes, share), "near-pairs")
     roots = components(verified(star, classes, rows, width, num, den, tables), tables)
-    more = between_components(shared, roots, classes, rows, [(lambda held: SketchFilter(held, share), ["sketch"])], width, num, den, tables)
+    looks = [(lambda held: SketchFilter(held, share), lambda a, b: similar(a, b, share), ["sketch"])]
+    more = between_components(shared, roots, classes, rows, looks, width, num, den, tables)
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more), tables)
     found = grouped(own, classes, roots, tables)

@@ -18,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Tables, doc_text, documents
-from .links import between_components, classes_of, components, grouped, set_key, shingle_set, star_pairs, verified, with_key
+from .links import between_components, classes_of, components, grouped, meeting, set_key, shingle_set, star_pairs, verified, with_key
 from .words import mixed, pack, unpack
 
 #: Of so many distinct texts one is counted for the order of elements; so many common elements, the commonest ones, are told to the tasks.
@@ -76,8 +77,8 @@ def bitmap(elements: np.ndarray) -> np.ndarray:
 
 
 def folded(bits: np.ndarray, words: int) -> np.ndarray:
-    while len(bits) > words:
-        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    while (now := bits.shape[-1]) > words:
+        bits = bits[..., : now // 2] | bits[..., now // 2 :]
     return bits
 
 
@@ -87,6 +88,20 @@ def may_link(only_a: np.ndarray, only_b: np.ndarray, n_a: np.ndarray, n_b: np.nd
     return den * most >= num * (n_a + n_b - most)
 
 
+def bits_allow(a: pa.Array, b: pa.Array, n_a: np.ndarray, n_b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the pairs (a[k], b[k]) of bitmaps can be linked, by their sizes and bits."""
+    ok = den * np.minimum(n_a, n_b) >= num * np.maximum(n_a, n_b)
+    lengths = np.stack([pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (a, b)])
+    for own in np.unique(lengths[:, ok], axis=1).T:
+        at, words = np.flatnonzero(ok & (lengths == own[:, None]).all(0)), int(own.min()) // 8
+        step = max(1, (1 << 22) // int(own.sum()))
+        for k in range(0, len(at), step):
+            part = at[k : k + step]
+            p, q = (folded(np.frombuffer(b"".join(x.take(pa.array(part)).to_pylist()), np.uint64).reshape(len(part), -1), words) for x in (a, b))
+            ok[part] = may_link(np.bitwise_count(p & ~q).sum(1, dtype=np.int64), np.bitwise_count(q & ~p).sum(1, dtype=np.int64), n_a[part], n_b[part], num, den)
+    return ok
+
+
 def signed(rows: DataFrame, width: int, common: tuple[np.ndarray, np.ndarray], num: int, den: int) -> DataFrame:
     """(doc_id, text_key, n, set_key, bits, prefix); a text without words has an empty set and no key."""
 
@@ -130,14 +145,7 @@ def bounded(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            alone: tuple[list[int], list[int]] = ([], [])
-            for a, b in zip(x.column("bits_a"), x.column("bits_b"), strict=True):
-                p, q = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                words = min(len(p), len(q))
-                p, q = folded(p, words), folded(q, words)
-                alone[0].append(int(np.bitwise_count(p & ~q).sum()))
-                alone[1].append(int(np.bitwise_count(q & ~p).sum()))
-            ok = may_link(np.asarray(alone[0], np.int64), np.asarray(alone[1], np.int64), x.column("n_a").to_numpy(), x.column("n_b").to_numpy(), num, den)
+            ok = bits_allow(*(x.column(c) for c in ("bits_a", "bits_b")), *(x.column(c).to_numpy() for c in ("n_a", "n_b")), num, den)
             yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return pairs.join(two, "b").join(one, "a").mapInArrow(run, "a long, b long")
@@ -163,6 +171,21 @@ class BitmapFilter:
         return others[may_link(self.counts[i] - both, self.counts[others] - both, self.n[i], self.n[others], self.num, self.den)]
 
 
+def bits_meet(a: pa.RecordBatch, b: pa.RecordBatch, num: int, den: int) -> np.ndarray:
+    """What BitmapFilter says about the pairs (a[k], b[k])."""
+    return bits_allow(a.column("bits"), b.column("bits"), a.column("n").to_numpy(), b.column("n").to_numpy(), num, den)
+
+
+def first_meet(a: pa.RecordBatch, b: pa.RecordBatch, num: int, den: int) -> np.ndarray:
+    """What FirstMeeting says about the pairs (a[k], b[k]), each of one bucket."""
+    ok, bands = bits_meet(a, b, num, den), a.column("band").to_numpy().view(np.uint64)
+    for k in np.flatnonzero(ok).tolist():
+        p, q = (unpack(x.column("prefix")[k].as_py()) for x in (a, b))
+        p, q = (x[: int((x == bands[k]).argmax())] for x in (p, q))
+        ok[k] = not len(np.intersect1d(p, q, assume_unique=True))
+    return ok
+
+
 class FirstMeeting(BitmapFilter):
     """Bitmaps, and which classes share an element before the tile's own in the common order."""
 
@@ -213,10 +236,13 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, i
     tables.drop(wide)
     each = prefix_rows(classes, num, den)
     several = each.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
-    shared = tables.stage(each.join(several, "band"), "join-prefixes")
+    shared = tables.stage(meeting(tables.stage(each.join(several, "band"), "join-prefixes"), num, den), "join-prefixes")
     star = tables.stage(bounded(star_pairs(shared, num, den), classes, num, den), "join-pairs")
     roots = components(verified(star, classes, rows, width, num, den, tables), tables)
-    looks = [(lambda held: BitmapFilter(held, num, den), ["bits"]), (lambda held: FirstMeeting(held, num, den), ["bits", "prefix"])]
+    looks = [
+        (lambda held: BitmapFilter(held, num, den), lambda a, b: bits_meet(a, b, num, den), ["bits"]),
+        (lambda held: FirstMeeting(held, num, den), lambda a, b: first_meet(a, b, num, den), ["bits", "prefix"]),
+    ]
     more = between_components(shared, roots, classes, rows, looks, width, num, den, tables)
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more), tables)

@@ -3,7 +3,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from common import awkward, frame, sentence
+from pyspark.sql import functions as F
 
 from studyloom.llm import exact_dedup, links, near_dedup, setsketch
 from studyloom.llm.common import Tables
@@ -247,3 +249,77 @@ def test_blocks_find_all_within_radius():
         print_ = np.packbits(bits)
         assert any(near[k][print_[k], 0] for k in range(d.BLOCKS))
     assert m == 7
+
+
+def test_largest_component_meets_only_others(spark, monkeypatch):
+    """A row for each class and block of those outside: in proportion to the component, not with its square."""
+    tables, counts = Tables(spark), []
+    for size in (2000, 4000):
+        shared = spark.range(size + 3).select(F.lit(7).alias("band"), F.col("id").alias("node"), F.lit(100).cast("long").alias("n"), F.lit(size + 3).cast("long").alias("members"))
+        roots = spark.range(size).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("root"))
+        counts.append(links.dealt_to_tiles(shared, roots, 80, 100, tables).count())
+        assert counts[-1] <= size + 3 * (2 + size // links.BLOCK)
+    assert counts[1] <= 2 * counts[0]
+    monkeypatch.setattr(links, "BLOCK", 4)
+    monkeypatch.setattr(links, "LARGE", 8)
+    shared = spark.range(60).select(F.col("id").alias("node"), F.expr("100 + 13 * (id % 5)").alias("n"), F.lit(7).alias("band"), F.lit(60).cast("long").alias("members"))
+    roots = spark.range(40).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("root"))
+    met, rows = Counter(), links.dealt_to_tiles(shared, roots, 80, 100, tables).collect()
+    for tile in {tuple(r[c] for c in links.TILE) for r in rows}:
+        held = [r.asDict() for r in rows if tuple(r[c] for c in links.TILE) == tile]
+        met.update(frozenset((held[i]["node"], held[j]["node"])) for i, others in links.open_pairs(held, lambda _: All()) for j in others.tolist())
+    n = {r["node"]: r["n"] for r in rows}
+    wanted = [p for p in itertools.combinations(range(60), 2) if p[1] >= 40 and min(n[p[0]], n[p[1]]) * 100 >= 80 * max(n[p[0]], n[p[1]])]
+    assert all(met[frozenset(p)] == 1 for p in wanted) and set(met.values()) == {1}
+
+
+class All:
+    def partners(self, i, others):
+        return others
+
+
+def test_rows_that_meet(spark):
+    rng = random.Random(5)
+    for bounds in (False, True):
+        rows = [(b, 100 * b + k, rng.randint(8, 14), rng.randint(7, 16)) for b in range(200) for k in range(rng.choice((1, 2, 2, 3, 5)))]
+        df = spark.createDataFrame(rows, "band long, node long, n long, most long")
+        got = {r["node"]: r["members"] for r in links.meeting(df if bounds else df.drop("most"), 80, 100).collect()}
+        fits = lambda x, y: x[0] == y[0] and x[1] != y[1] and min(x[2], y[2]) * 100 >= 80 * max(x[2], y[2]) and (not bounds or x[2] <= y[3] and y[2] <= x[3])
+        sizes = Counter(r[0] for r in rows)
+        partners = {x[1] for x in rows if any(fits(x, y) for y in rows)}
+        assert partners <= set(got) and all(got[x[1]] == sizes[x[0]] for x in rows if x[1] in got)
+        assert {x[1] for x in rows if sizes[x[0]] <= 2 and x[1] in got} == {x[1] for x in rows if sizes[x[0]] == 2 and x[1] in partners}
+
+
+def test_tiles_of_two(spark):
+    """The pairs of a batch at once, as the filter finds them one by one; tiles cut by batches are put together."""
+    rng, held = np.random.default_rng(3), []
+    for band in range(300):
+        base = rng.integers(0, 2**63, 120).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[: rng.integers(70, 121)], rng.integers(0, 2**63, 9).astype(np.uint64)])) for _ in range(rng.choice((1, 2, 2, 2, 4)))]
+        sketches = np.stack([setsketch.sketch(s) for s in sets])
+        keys = setsketch.band_keys(sketches)
+        sides = [(2, 2), (0, 1), (1, 0), (0, 0), (1, 1)][rng.integers(5)]
+        for k, s in enumerate(sets):
+            held.append({"band": held[-1]["band"] if k else int(keys[0, rng.integers(32)]), "size_a": 1, "block_a": band, "size_b": 1, "block_b": band, "node": len(held), "root": len(held) if rng.random() < 0.8 else -1, "n": len(s), "side": sides[k % 2], "most": int(rng.integers(80, 200)), "sketch": sketches[k].tobytes()})
+    # Only tiles whose classes share the bucket.
+    held = [r for r in held if all(r["band"] in setsketch.band_keys(np.frombuffer(x["sketch"], np.uint16)[None])[0] for x in held if x["block_a"] == r["block_a"])]
+    table = pa.Table.from_pylist(held)
+    whole, found = [], []
+    for b, starts in links.whole_tiles(iter(table.to_batches(max_chunksize=7))):
+        sizes = np.diff(np.append(starts, b.num_rows))
+        whole += [b.slice(a, m).column("node").to_pylist() for a, m in zip(starts.tolist(), sizes.tolist(), strict=True)]
+        found += [b.column("node")[k].as_py() for k in links.open_twos(b, starts[sizes == 2], lambda x, y: near_dedup.similar(x, y, 0.8)).tolist()]
+    tiles = [list(g) for _, g in itertools.groupby(held, lambda r: r["block_a"])]
+    assert whole == [[r["node"] for r in t] for t in tiles]
+    assert found == [t[0]["node"] for t in tiles if len(t) == 2 and list(links.open_pairs(t, lambda h: near_dedup.SketchFilter(h, 0.8)))]
+    assert 0 < len(found) < sum(len(t) == 2 for t in tiles)
+
+
+def test_near_groups_with_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(links, "BLOCK", 4)
+    monkeypatch.setattr(links, "LARGE", 3)
+    monkeypatch.setattr(near_dedup, "estimated", lambda pairs, *_: pairs.where("a % 3 = 0"))
+    rows = near_rows(21)
+    got = near_dedup.near_duplicates(frame(spark, rows)).collect()
+    assert Counter(map(tuple, got)) == brute_near(rows, 5, 80, 100)

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from common import awkward, frame, sentence
 from test_dedup import brute_near, near_rows
@@ -84,3 +85,34 @@ def test_awkward_rows(spark):
     assert Counter(map(tuple, got)) == without_kept(brute_near(rows, 5, 80, 100))
     assert ngram_join.ngram_join(frame(spark, [])).count() == 0
     assert [tuple(r) for r in ngram_join.ngram_join(frame(spark, [(3, None)])).collect()] == [(3, 0, 3)]
+
+
+def test_pairs_at_once_equal_filters(spark):
+    """What the filters say about tiles of two, one by one, is said of a batch of pairs."""
+    rng, tiles = np.random.default_rng(8), []
+    universe = np.unique(rng.integers(0, 2**63, 500).astype(np.uint64))
+    common = (universe[::3], rng.integers(4, 50, len(universe[::3])))
+    while len(tiles) < 400:
+        a = np.sort(rng.choice(universe, rng.integers(5, 300), replace=False))
+        b = np.union1d(np.delete(a, rng.integers(0, len(a), len(a) // 10)), rng.integers(0, 2**63, rng.integers(0, len(a) // 5 + 1)).astype(np.uint64))
+        prefixes = [ngram_join.prefix(x, common, 80, 100) for x in (a, b)]
+        both = np.intersect1d(*prefixes)
+        if len(both):
+            band = int(rng.choice(both).view(np.int64))
+            tiles.append([{"band": band, "n": len(x), "bits": ngram_join.bitmap(x).tobytes(), "prefix": ngram_join.pack(p)} for x, p in zip((a, b), prefixes, strict=True)])
+    x, y = (pa.RecordBatch.from_pylist([t[k] for t in tiles]) for k in (0, 1))
+    for kind, at_once in ((ngram_join.BitmapFilter, ngram_join.bits_meet), (ngram_join.FirstMeeting, ngram_join.first_meet)):
+        wanted = [bool(len(kind(t, 80, 100).partners(0, np.asarray([1])))) for t in tiles]
+        assert at_once(x, y, 80, 100).tolist() == wanted
+        assert 0 < sum(wanted) < len(tiles)
+
+
+@pytest.mark.parametrize("star", [False, True])
+def test_large_buckets(spark, monkeypatch, star):
+    if not star:
+        monkeypatch.setattr(ngram_join, "bounded", lambda pairs, *_: pairs.where("a % 3 = 0"))
+    monkeypatch.setattr(links, "BLOCK", 4)
+    monkeypatch.setattr(links, "LARGE", 3)
+    rows = near_rows(17)
+    got = ngram_join.ngram_join(frame(spark, rows)).collect()
+    assert Counter(map(tuple, got)) == without_kept(brute_near(rows, 5, 80, 100))
