@@ -111,6 +111,35 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.sql("SELECT * FROM ups").collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_epochs_of_upserts(spark, tmp_path):
+    """Reports come late, again and over a restart; a batch that is run again replaces itself."""
+    rng = random.Random(4)
+    kinds = "trial_id long, step long, metric string, value double, seq long"
+    rows = [(rng.randrange(40), rng.randrange(3), "loss", rng.random(), k) for k in range(400)]
+    rng.shuffle(rows)
+    source, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    write = reports.upsert_writer(out, 4)
+
+    def run():
+        q = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    for k in range(4):
+        spark.createDataFrame(rows[k * 100 : (k + 1) * 100] + rows[:5], kinds).coalesce(1).write.mode("append").parquet(source)
+        if k % 2:
+            run()
+    known = spark.read.parquet(out)
+    assert {r["epoch"] for r in known.select("epoch").distinct().collect()} == {0, 1, 2, 3} and known.groupBy("trial_id").agg({"bucket": "max"}).count() == known.select("trial_id", "bucket").distinct().count()
+    key = ("trial_id", "step", "metric")
+    last = sorted(map(tuple, reports.upserts(known, *key).collect()))
+    assert last == sorted(map(tuple, reports.upserts(spark.createDataFrame(rows, kinds), *key).collect()))
+    before = known.count()
+    write(spark.createDataFrame(rows[:50], kinds), 4)
+    write(spark.createDataFrame(rows[:50], kinds), 4)
+    again = spark.read.parquet(out)
+    assert before < again.count() <= before + 50 and sorted(map(tuple, reports.upserts(again, *key).collect())) == last
+
+
 def test_schedules_of_rows(spark):
     from studyloom.operators import fidelity
 

@@ -47,3 +47,23 @@ def test_report_state_and_parts(spark, monkeypatch):
     with stream.state_on_disk(spark):
         assert "RocksDB" in spark.conf.get(key)
     assert spark.conf.get(key) == before
+
+
+def test_report_stream_leaves_only_its_result(spark, monkeypatch):
+    """Several micro-batches and passes give what the batch query gives; no source, state or checkpoint stays on disk."""
+    import os
+
+    from studyloom import entries as core
+    from studyloom.plans import scratch
+
+    monkeypatch.setattr(core, "TASK_ROWS", 300)
+    monkeypatch.setattr(core, "PASS_ROWS", 2000, raising=False)
+    scratch.clear(spark)
+    got = entries.queries()["report_stream_upsert"](spark, "/root/testdata/sf0.001")
+    left = [p for p in scratch._MADE if os.path.isdir(p.removeprefix("file:"))]
+    assert len(left) == 1 and set(got.columns) == {"study_id", "trial_id", "step", "metric", "value"}
+    key = ["study_id", "trial_id", "step", "value"]
+    want = entries.queries()["reports_upsert"](spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
+    assert got.where("metric = 'price'").count() == got.count()
+    scratch.clear(spark)
