@@ -111,6 +111,14 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.sql("SELECT * FROM ups").collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_upserts_of_equal_and_missing_seq(spark):
+    """Of equal seq the highest value, whatever the order; reports without any seq have no last value."""
+    rows = [(1, 1.0, 5), (1, 3.0, 5), (1, 9.0, 4), (2, 7.0, None), (2, 8.0, None), (3, 2.0, None), (3, 1.0, 0), (4, None, 2), (4, 5.0, 1)]
+    df = spark.createDataFrame(rows, "trial_id long, value double, seq long")
+    for some in (df, df.orderBy(F.desc("value"))):
+        assert {tuple(r) for r in reports.upserts(some, "trial_id").collect()} == {(1, 3.0, 5), (2, None, None), (3, 1.0, 0), (4, None, 2)}
+
+
 def test_epochs_of_upserts(spark, tmp_path):
     """Reports come late, again and over a restart; a batch that is run again replaces itself."""
     rng = random.Random(4)
